@@ -4,26 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate as op9
-from . import neardup as op6
+from . import bpe, hmm, licenses, quality_rules, secrets
 from .common import table
+from .decontaminate import decontaminate
+from .line_quality import score_quality
+from .neardup import near_duplicates
+from .token_counts import count_tokens
+from .toxicity import score_toxicity
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.drop("text")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.drop("text")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summarize(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op9.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("item_ids", "n_near")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_near_duplicates, op9_decontaminate)}
+    found = (
+        op1_toxicity,
+        op2_token_counts,
+        op3_quality_classifier,
+        op4_bpe,
+        op5_license_scan,
+        op6_near_duplicates,
+        op7_language_model,
+        op8_secret_scan,
+        op9_decontaminate,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": licenses.oracle(), "op10_quality_rules": quality_rules.ORACLE}
