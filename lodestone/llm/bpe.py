@@ -176,7 +176,7 @@ class Bpe:
         """Ids of each piece as the bytes of 32-bit numbers."""
         parts = [self._words_of(p) for p in pieces]
         new = list({w for p in parts for w in p if isinstance(w, str)} - self.words.keys())
-        if len(self.words) + len(new) > 400_000:
+        if len(self.words) + len(new) > 200_000:
             self.words = {}
             new = list({w for p in parts for w in p if isinstance(w, str)})
         self.words.update(zip(new, (x.tobytes() for x in self.encode_words([w.encode() for w in new])), strict=True))
@@ -197,7 +197,7 @@ class Bpe:
 _models: dict[str, tuple[Bpe, PieceMemory]] = {}
 
 
-def load(path: str, most_pieces: int = 500_000) -> tuple[Bpe, PieceMemory]:
+def load(path: str, most_pieces: int = 300_000) -> tuple[Bpe, PieceMemory]:
     """The model of this worker; read once."""
     if path not in _models:
         bpe = Bpe(path)

@@ -88,11 +88,15 @@ def join_small_ids(big: DataFrame, ids: DataFrame, n_ids: int, keys: list[str],
     The thin side is broadcast only if its size is under Spark's own broadcast threshold. Beyond
     it the thin side becomes the hash table of a shuffled join, so the long rows are never sorted.
     """
-    limit = _bytes(big.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-    hint = "broadcast" if 0 <= n_ids * row_bytes <= limit else "shuffle_hash"
+    hint = "broadcast" if fits_broadcast(big.sparkSession, n_ids, row_bytes) else "shuffle_hash"
     return big.join(ids.hint(hint), keys, how)
 
 
+def fits_broadcast(spark: SparkSession, rows: int, row_bytes: int = 64) -> bool:
+    """Whether so many rows stay under Spark's broadcast threshold."""
+    return rows * row_bytes <= _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+
+
 def _bytes(text: str) -> int:
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     text = text.strip().lower().removesuffix("b")

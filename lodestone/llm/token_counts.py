@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_ids, materialize, null_safe_key, shared_path, ship_code
+from .common import fits_broadcast, join_small_ids, materialize, null_safe_key, shared_path, ship_code
 from .pretokens import PieceMemory
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
@@ -34,7 +34,7 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def counter(path: str, most_pieces: int = 1_000_000) -> PieceMemory:
+def counter(path: str, most_pieces: int = 600_000) -> PieceMemory:
     """Counts of pieces by the library for ``path``; one for each worker."""
     if path not in _counters:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,7 +86,10 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limi
     stored = read_cache(docs, cache_path).where(F.col("tokenizer") == version)
     misses = keys.groupBy("content").agg(F.min(null_safe_key(F.col("doc_id"))).alias("carrier")).join(stored, "content", "left_anti")
     misses = materialize(misses, "op2-misses")
-    carried = join_small_ids(rows.withColumn("carrier", null_safe_key(F.col("doc_id"))), misses, misses.count(), ["content", "carrier"], row_bytes=160)
+    n_misses = misses.count()
+    carried = join_small_ids(rows.withColumn("carrier", null_safe_key(F.col("doc_id"))), misses, n_misses, ["content", "carrier"], row_bytes=160)
+    if fits_broadcast(spark, n_misses, 160):  # else the join has brought repeated rows together
+        carried = carried.dropDuplicates(["content"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[str] = set()  # a repeated row can carry its text twice
