@@ -80,8 +80,8 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, n, rho: null under four pairs, 0 if a side doesn't vary. A group ranks in one task."""
     by = [F.col(c) for c in keys] or [F.lit(1)]
     ranked = pairs.select(*keys, average_rank(F.col(a), by).alias("ra"), average_rank(F.col(b), by).alias("rb"))
-    found = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("r"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
-    rho = F.when(F.col("n") < 4, None).when((F.col("sa") == 0) | (F.col("sb") == 0), 0.0).otherwise(F.col("r"))
+    found = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("ra", "rb").alias("c"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
+    rho = F.when(F.col("n") < 4, None).when((F.col("sa") == 0) | (F.col("sb") == 0), 0.0).otherwise(F.col("c") / (F.col("sa") * F.col("sb")))
     return found.select(*keys, "n", rho.alias("rho"))
 
 

@@ -52,7 +52,7 @@ def zip_members(rows: DataFrame, keep: list[str], left: str, right: str) -> Data
     """One row for each pair at the same place of two arrays, up to the shorter, with its position."""
     n = F.least(F.size(left), F.size(right))
     zipped = F.arrays_zip(F.slice(left, 1, n).alias("a"), F.slice(right, 1, n).alias("b"))
-    return rows.where(n > 0).select(*keep, F.posexplode(zipped).alias("position", "x")).select(*keep, "position", F.col("x.0").alias(left), F.col("x.1").alias(right))
+    return rows.where(n > 0).select(*keep, F.posexplode(zipped).alias("position", "x")).select(*keep, "position", F.col("x.a").alias(left), F.col("x.b").alias(right))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
