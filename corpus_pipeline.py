@@ -61,7 +61,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids and whether decoding gives the text back."""
-    coded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    coded = bpe.encode_and_decode(docs, VOCABULARY)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return coded.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -220,40 +220,53 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, path: str) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _id_lists(texts: pa.Array, path: str) -> pa.Array:
+    ids, offsets = encode_texts([t or "" for t in texts.to_pylist()], path)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+
+
+def _texts(runs: pa.Array, path: str) -> pa.Array:
+    runs = runs.fill_null(pa.scalar([], runs.type))
+    offsets = runs.offsets.to_numpy()
+    return pa.array(decode_ids(runs.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], path), pa.string())
+
+
 def encode(docs: DataFrame, path: str, column: str = "ids", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the ids of their text in ``column``."""
-    return _append(docs, path, text, column, pa.list_(pa.int32()), "array<int>")
+    return _append(docs, path, text, [(column, "array<int>", _id_lists)])
 
 
 def decode(encoded: DataFrame, path: str, column: str = "decoded", ids: str = "ids") -> DataFrame:
     """The rows of ``encoded`` with the text of their ids in ``column``; null ids give no text."""
-    return _append(encoded, path, ids, column, pa.string(), "string")
+    return _append(encoded, path, ids, [(column, "string", _texts)])
+
+
+def encode_and_decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", text: str = "text") -> DataFrame:
+    """:func:`encode`, then :func:`decode`, in one pass: a task needs one worker with one model."""
+    return _append(docs, path, text, [(ids, "array<int>", _id_lists), (decoded, "string", _texts)])
 
 
-def _append(frame: DataFrame, path: str, source: str, column: str, kind: pa.DataType, sql: str) -> DataFrame:
+def _append(frame: DataFrame, path: str, source: str, steps: list[tuple[str, str, Callable[[pa.Array, str], pa.Array]]]) -> DataFrame:
+    """The rows with a column for each step, which gets the source or what the step before it gave."""
     ship_code(frame.sparkSession)
-    frame = frame.drop(column)
+    names = [name for name, _, _ in steps]
+    frame = frame.drop(*names)
     at = frame.columns.index(source)
-    to_ids = pa.types.is_list(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                if to_ids:
-                    ids, offsets = encode_texts([t or "" for t in batch.column(at).to_pylist()], path)
-                    new = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                else:
-                    runs = batch.column(at).fill_null(pa.scalar([], batch.column(at).type))
-                    offsets = runs.offsets.to_numpy()
-                    new = pa.array(decode_ids(runs.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], path), pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, column])
+            for batch in k.row_slices(whole, at):
+                new, value = [], batch.column(at)
+                for _, _, step in steps:
+                    value = step(value, path)
+                    new.append(value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.mapInArrow(run, f"{fields}, `{column}` {sql}")
+    return frame.mapInArrow(run, fields + "".join(f", `{name}` {sql}" for name, sql, _ in steps))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return decode(encode(rows, path).drop("text"), path)
+    return encode_and_decode(rows, path).drop("text")

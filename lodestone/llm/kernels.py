@@ -67,6 +67,17 @@ def row_chunks(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int,
         lo = hi
 
 
+def row_slices(batch: pa.RecordBatch, at: int, most_bytes: int = 2 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, bounded by rows and by the size of one column of texts or lists."""
+    column = batch.column(at)
+    is_list = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+    sizes = pc.multiply(pc.list_value_length(column), 4) if is_list else pc.binary_length(column)
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))])
+    for lo, hi in row_chunks(offsets, most_bytes):
+        for i in range(lo, hi, most_rows):
+            yield batch.slice(i, min(most_rows, hi - i))
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and where each row's words begin (rows + 1 values)."""
     if not len(raw):
