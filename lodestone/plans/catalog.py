@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composites, phonetics, rates, strata, texts  # noqa: F401  they register their queries
+from . import composites, notations, phonetics, rates, strata, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
