@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import notation as n
+from lodestone.functions import phones
+from lodestone.functions import respelling as r
 from lodestone.operators import trials
 
 from .phonetics import spelled
@@ -95,3 +97,52 @@ def sound_plausibility(t: Tables) -> DataFrame:
     e = t.events.where("value is not null")
     score = trials.sound_score(F.length("props"), F.col("value") * 0.05, (F.col("event_id") % 100) / 100.0, (F.col("event_id") % 7) / 100.0, F.col("event_type") == "error")
     return e.select("event_id", F.round(score, 9).alias("score"))
+
+
+@query(r"""
+select page_id, nullif(trim(regexp_extract(replace(url, '*', ''), '/([^/\s][^/]{1,40}[^/\s])/', 1)), '') in_url,
+  nullif(trim(regexp_extract(replace(html, '*', ''), '/([^/\s][^/]{1,40}[^/\s])/', 1)), '') in_html from pages""")
+def slashed_phonetics(t: Tables) -> DataFrame:
+    """The first text between slashes of every page and its address."""
+    return t.pages.select("page_id", r.slashed_phonetics(F.col("url")).alias("in_url"), r.slashed_phonetics(F.col("html")).alias("in_html"))
+
+
+@query("""
+with p as (select p_partkey, regexp_extract_all(lower(p_name), '[a-z]+') w from part)
+select p_partkey, w[1] || '-' || w[2] hyphenated, w[1] || '-' || upper(w[2]) primed, upper(w[1]) || '-' || w[2] capitals
+from p where len(w) >= 2 and length(w[1]) <= 8 and length(w[2]) <= 8""")
+def respelled_names(t: Tables) -> DataFrame:
+    """A sentence that gives a name in three notations, and what each extractor finds in it."""
+    w = F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))
+    rows = t.part.select("p_partkey", F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("b")).where((F.length("a") <= 8) & (F.length("b") <= 8))
+    text = F.format_string("The 7 \"%1$s-%2$s\", (%3$s %2$s), 7. %1$s %2$s\u2032. *%3$s-%2$s*", F.col("a"), F.col("b"), F.upper("a"))
+    rows = rows.select("p_partkey", text.alias("text"))
+    return rows.select("p_partkey", F.array_join(r.hyphenated_respellings(F.col("text")), "|").alias("hyphenated"), r.primed_respelling(F.col("text")).alias("primed"), r.capitals_respelling(F.col("text")).alias("capitals"))
+
+
+@query()
+def respellings_in_text(t: Tables) -> DataFrame:
+    """Every candidate of every page, by notation."""
+    text = F.col("html")
+    return t.pages.select("page_id", F.array_join(r.hyphenated_respellings(text), "|").alias("hyphenated"), r.primed_respelling(text).alias("primed"), r.capitals_respelling(text).alias("capitals"))
+
+
+@query()
+def stem_stresses(t: Tables) -> DataFrame:
+    """Names' symbols with the last two taken as a stem, stressed in each mode."""
+    vowels = [s for s in phones.SYMBOLS if s[0] in "AEIOU"]
+    bare = F.split(F.regexp_replace(spelled(F.col("n_name")), "[0-2]", ""), " ")
+    modes = F.explode(F.array(F.lit("before"), F.lit("stem"), F.lit("keep"))).alias("mode")
+    rows = t.nation.select("n_name", bare.alias("phones"), F.slice(bare, -2, 2).alias("tail"), modes)
+    rows = rows.withColumn("root", r.root_of(F.col("phones"), F.col("tail"), vowels))
+    marked = r.stem_stress(F.col("root"), F.col("tail"), F.col("mode"), F.lit(0), vowels)
+    return rows.select("n_name", "mode", F.array_join(marked, " ").alias("symbols"))
+
+
+@query()
+def phone_edits(t: Tables) -> DataFrame:
+    """Names' symbols moved towards the next nation's, by kind of edit."""
+    vowels = [s for s in phones.TOKENS if s[0] in "AEIOU"]
+    rows = _references(t).where("other is not null").select("n_nationkey", F.split(F.get("variants", F.lit(0)), " ").alias("own"), F.split("other", " ").alias("wanted"))
+    kinds = ("vowels", "consonants", "all", "one")
+    return rows.select("n_nationkey", *(F.array_join(r.moved_towards(F.col("own"), F.col("wanted"), k, vowels), " ").alias(f"by_{k}") for k in kinds))
