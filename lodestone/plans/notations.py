@@ -146,3 +146,14 @@ def phone_edits(t: Tables) -> DataFrame:
     rows = _references(t).where("other is not null").select("n_nationkey", F.split(F.get("variants", F.lit(0)), " ").alias("own"), F.split("other", " ").alias("wanted"))
     kinds = ("vowels", "consonants", "all", "one")
     return rows.select("n_nationkey", *(F.array_join(r.moved_towards(F.col("own"), F.col("wanted"), k, vowels), " ").alias(f"by_{k}") for k in kinds))
+
+
+@query("""
+with p as (select p_partkey, regexp_extract_all(lower(p_name), '[a-z]+') w from part)
+select p_partkey, 'uh-' || upper(w[1]) || '-' || w[2] || 'ay' respelling, true canonical from p where len(w) >= 2""")
+def dictionary_respelling(t: Tables) -> DataFrame:
+    """Names in a dictionary's letters, written as respellings."""
+    w = F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))
+    raw = F.concat(F.lit("ə-ˈ"), F.get(w, F.lit(0)), F.lit("-"), F.get(w, F.lit(1)), F.lit("(ā), -x"))
+    rows = t.part.where(F.size(w) >= 2).select("p_partkey", r.from_dictionary(raw).alias("respelling"))
+    return rows.withColumn("canonical", r.is_canonical(F.col("respelling")))
