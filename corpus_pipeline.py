@@ -1,8 +1,8 @@
 """Corpus pipeline: quality, near duplicates, benchmark passages, secrets, tokens.
 
 Each stage takes what the stage before it kept. Quality, near duplicates and decontamination drop
-documents; the secret scan masks secrets in the text; the last stage adds token ids. Rows without
-an id pass the dropping stages that judge by id only if the stage says so below.
+documents; the secret scan masks secrets in the text; the last stage adds token ids. Every row is
+judged by itself: ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe
-from lodestone.llm.common import join_small_ids, materialize, null_safe_key, table
+from lodestone.llm.common import join_small_ids, materialize, numbered, table
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.line_quality import score_quality
 from lodestone.llm.neardup import near_duplicates
@@ -29,29 +29,26 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group, once. A row without id stays only if
-    no document with an id is in its group, and one such row for each text."""
-    found = materialize(near_duplicates(docs), "dedup-kept")
-    dropped = found.where(~F.col("kept")).select(null_safe_key(F.col("doc_id")).alias("key")).distinct()
-    repeats = found.groupBy(null_safe_key(F.col("doc_id")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kept").cast("int")).alias("kept"))
-    repeats = materialize(repeats.where("n > 1"), "dedup-repeats")
-    keyed = docs.withColumn("key", null_safe_key(F.col("doc_id").cast("long")))
-    if repeats.isEmpty():
-        dropped = materialize(dropped, "dedup-dropped")
-        return join_small_ids(keyed, dropped, dropped.count(), ["key"], "left_anti").select(*docs.columns)
-    # ids repeat: one row for each kept id, or for each text of the rows without id
-    kept = materialize(found.where("kept").select(null_safe_key(F.col("doc_id")).alias("key")).distinct(), "dedup-ids")
-    rows = join_small_ids(keyed, kept, kept.count(), ["key"], "left_semi")
-    body = F.when(F.col("key") == "null", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    return rows.withColumn("body", body).dropDuplicates(["key", "body"]).select(*docs.columns)
+    """One row of each near-duplicate group: the one of least id, and of rows with that id (or of
+    rows without id where no row of the group has one) the first. Decisions are joined by row."""
+    rows = numbered(docs, "dedup-rows")
+    found = materialize(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")), "dedup-found")
+    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    grouped = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"))
+    grouped = materialize(grouped.join(ids, "row"), "dedup-grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    kept = grouped.groupBy("component_id").agg(first.alias("row")).select("row")
+    dropped = materialize(grouped.select("row").join(kept, "row", "left_anti"), "dedup-dropped")
+    return join_small_ids(rows, dropped, dropped.count(), ["row"], "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage by the contamination rule."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(null_safe_key(F.col("doc_id")).alias("key")).distinct()
-    bad = materialize(bad, "contaminated")
-    keyed = docs.withColumn("key", null_safe_key(F.col("doc_id").cast("long")))
-    return join_small_ids(keyed, bad, bad.count(), ["key"], "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark passage by the contamination rule, each judged by its own text."""
+    rows = numbered(docs, "decontaminate-rows")
+    found = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("row")), "contaminated")
+    return join_small_ids(rows, bad, bad.count(), ["row"], "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

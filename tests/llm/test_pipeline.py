@@ -3,7 +3,7 @@ from lodestone.llm.bpe import load
 from lodestone.llm.queries import VOCABULARY
 from lodestone.llm.secrets import mask_text, scan
 
-from .helpers import awkward_docs, docs_frame
+from .helpers import awkward_docs, docs_frame, edited, prose
 from .test_decontaminate import brute_force as contamination
 from .test_neardup import brute_force as components
 
@@ -45,3 +45,22 @@ def test_awkward_rows(spark):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_rows_are_judged_by_themselves(spark, tmp_path):
+    """Null and repeated ids: a row's fate depends on its own text, in a table and in a frame."""
+    sf = "/root/testdata/sf0.001"
+    passage = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    texts = [prose(s, 120) for s in range(40, 46)]
+    rows = [(None, passage), (None, texts[0]), (7, passage), (7, texts[1]), (7, texts[2]), (8, edited(texts[2], 1, 120))]
+    rows += [(None, texts[3]), (None, edited(texts[3], 2, 120)), (None, texts[4]), (9, texts[5])]
+    frame = docs_frame(spark, rows)
+    frame.write.parquet(f"{tmp_path}/docs.parquet")
+    for docs in (frame, spark.read.parquet(f"{tmp_path}/docs.parquet")):
+        clean = {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect()}
+        assert clean == {r for r in rows if r[1] != passage}
+        kept = corpus_pipeline.keep_first_copies(spark, docs, sf).collect()
+        got = {(r.doc_id, r.text) for r in kept}
+        always = {(7, texts[1]), (7, texts[2]), (None, texts[0]), (None, texts[4]), (9, texts[5]), (7, passage)}
+        assert always <= got and len(kept) == len(got) == 7
+        assert len(got & {(None, texts[3]), (None, edited(texts[3], 2, 120))}) == 1
