@@ -1,14 +1,18 @@
 """Operator 5: licence scan by recognised sentences.
 
-A text is cut into sentences; each is normalised (lower case, runs of other characters than letters
-and digits become one space) and looked up in a fixed table of known licence sentences. The
-identifiers that a text holds, in order, are matched against ordered rules: a rule is a sequence of
-identifiers that must follow one another. A rule whose match is part of a longer rule's match, by
-listing the longer one first, yields to it.
+A text becomes one normalised stream (lower case, runs of other characters than letters and digits
+become one space) with two marks: X where a sentence or paragraph ends, Y where a line, a clause (: ;)
+or an abbreviation does. A known licence sentence may run across Y, so wrapped and commented notices
+match, but not across X. It begins at a mark and ends at one, but for the notices of ``RUN_ON``, whose
+sentences go on in the licence itself. The identifiers that a text holds, in order, are matched
+against ordered rules: a rule is a sequence of identifiers that must follow one another. A rule whose
+match is part of a longer rule's match, by listing the longer one first, yields to it.
 
-Null and empty texts have no sentences. Repeated rows are answered row by row. A sentence longer
-than the longest known one is not looked up, so very long texts cost one pass. Extra columns are
-not read.
+``n_sentences`` counts pieces between newlines and marks of punctuation, as the SQL twin does. The
+twin compares single pieces only: it is held equal on tables whose notices stand in one piece.
+
+Null and empty texts have no sentences. Repeated rows are answered row by row. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -81,23 +85,48 @@ RULES = (
     ("Proprietary", ("reserved",)),
 )
 _KNOWN = {s: i for i, forms in SENTENCES.items() for s in forms}
-_LONGEST = 2 * max(map(len, _KNOWN))
-#: A sentence that says nothing that any known one says can be skipped before it is normalised.
+#: Notices whose sentences go on after the known words.
+RUN_ON = ("apache2_copy", "mit_grant", "as_is", "gnu_free", "bsd_any", "mpl2")
+_OR_LATER = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {} of the license or at your option any later version"
+#: Sentences as the licences have them that hold more than one identifier, or known words otherwise put.
+_WHOLE = {_OR_LATER.format(3): "gnu_free,gnu_v3", _OR_LATER.format(2): "gnu_free,gnu_v2", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc"}
+#: A text without any of these words holds no known sentence.
 _HINT = r"(?i)licen|releas|permi|warrant|redistribut|rights|copyright|free|either|neither|terms|gpl|notice"
+#: Text to stream, in order. Each pattern takes a run from its first character on, so none backtracks far.
+_STEPS = (
+    (r"(?m)^[ \t]*(?:dnl|rem)\b", " "),
+    (r"[;:](?=[ \t])|(?<=\bv)\.(?=[ \t\n])", "Y"),
+    (r"[.!?](?=[ \t\n])", "X"),
+    (r"\n", "N"),
+    (r"[^a-z0-9XYN]+", " "),
+    (r"N[ YN]*N", "X"),
+    (r"X[ XYN]*", "X"),
+    (r"[YN][ YN]*", "Y"),
+    (r" ?Y? ?X ?", " X "),
+    (r" ?Y ?", " Y "),
+)
 
 
+def _pattern() -> str:
+    """Known sentences, the longest first; a list's number may stand before one."""
+    every = {s: i in RUN_ON for s, i in _KNOWN.items()} | {s: False for s in _WHOLE}
+    ends = {True: "(?= )", False: "(?= [XY] )"}
+    return "[XY] (?:[0-9]{1,2} )?(" + "|".join("(?:Y )?".join(f"{w} " for w in s.split())[:-1] + ends[e] for s, e in sorted(every.items(), key=lambda x: -len(x[0]))) + ")"
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids (joined, in order), licenses (distinct, in the
     rules' order, joined) and license (the first, or null)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     pieces = F.split(F.regexp_replace(text, r"([.;:!?])[ \t]+", "$1\n"), "\n")
-    sentences = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(pieces, lambda s: s.rlike("[A-Za-z0-9]")).alias("s"))
-    table = F.create_map(*[F.lit(x) for kv in _KNOWN.items() for x in kv])
-    near = F.filter("s", lambda s: (F.length(s) <= _LONGEST) & s.rlike(_HINT))
-    norm = F.transform(near, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(norm, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
-    known = sentences.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
+    stream = F.concat(F.lit("\n"), F.lower(text), F.lit("\n\n"))
+    for old, new in _STEPS:
+        stream = F.regexp_replace(stream, old, new)
+    table = F.create_map(*[F.lit(x) for kv in (_KNOWN | _WHOLE).items() for x in kv])
+    said = F.when(text.rlike(_HINT), F.regexp_extract_all(stream, F.lit(_pattern()), F.lit(1)))
+    names = F.transform(said, lambda s: F.split(F.try_element_at(table, F.regexp_replace(s, " Y ", " ")), ","))
+    ids = F.coalesce(F.flatten(names), F.array().cast("array<string>"))
+    count = F.size(F.filter(pieces, lambda s: s.rlike("[A-Za-z0-9]"))).cast("long")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), count.alias("n_sentences"), ids.alias("ids"))
     left = F.concat(F.lit(","), F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit(","))), ","))
     known = known.withColumn("left", left)
     hits = []

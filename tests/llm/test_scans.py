@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -106,6 +107,41 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_frame(spark)).count() == len(awkward_docs())
 
 
+def license_headers():
+    """(licence, the header as the licence has it, as one paragraph a line)."""
+    gnu = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."
+    as_is = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+    bsd = "Copyright (c) 2001, Someone\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    return [
+        ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n' + as_is),
+        ("GPL-3.0-or-later", gnu.format(":", ",", 3)),
+        ("GPL-2.0-or-later", gnu.format(";", ";", 2)),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'),
+        ("BSD-2-Clause", bsd),
+        ("BSD-3-Clause", bsd + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy."),
+    ]
+
+
+def test_real_license_headers(spark):
+    """Each header unwrapped, wrapped at several widths, and as a comment."""
+    rows, want = [], {}
+    for name, text in license_headers():
+        forms = [text]
+        for width in (40, 65, 78):
+            lines = [x for p in text.split("\n\n") for x in [*textwrap.wrap(p, width), ""]]
+            forms += ["\n".join(lines), "".join(f"# {x}\n" for x in lines), "/*\n" + "".join(f" * {x}\n" for x in lines) + " */\nint x;\n"]
+        for form in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), form))
+    rows += [(900, "Not released under the\nMIT License."), (901, "Released under the. MIT License."), (902, "Released under the\n\nMIT License."), (903, "; : . " * 5000 + "free " + "=" * 20000 + "\n" * 20000)]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs_frame(spark, rows)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert [got[i] for i in (900, 901, 902, 903)] == [""] * 4
+
+
 def test_sql_twins(spark):
     con = duckdb.connect()
     path = "/root/testdata/sf0.001/documents.parquet"
