@@ -121,6 +121,24 @@ def latency(rows: DataFrame, keys: list[str], value: str, digits: int = 9) -> Da
     )
 
 
+def middle_and_low(rows: DataFrame, keys: list[str], value: str, low: float) -> DataFrame:
+    """keys, n, median (the upper one) and low (at the rank rounded down), null values left out.
+
+    Ranks come from counts by distinct value, as in ``latency``.
+    """
+    from pyspark.sql import Window
+
+    steps = rows.groupBy(*keys, value).agg(F.count(value).alias("c"))
+    up = Window.partitionBy(*keys).orderBy(value)
+    placed = steps.select(*keys, value, "c", F.sum("c").over(up).alias("to"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("to") > rank) & (F.col("to") - F.col("c") <= rank), F.col(value)))
+
+    n = F.col("n")
+    return placed.groupBy(*keys).agg(F.sum("c").alias("n"), at(F.floor(n / 2)).alias("median"), at(F.floor(F.lit(low) * (n - 1))).alias("low"))
+
+
 def cost_totals(rows: DataFrame, keys: list[str], parts: Mapping[str, Column], digits: int = 6) -> DataFrame:
     """Sum of each cost component and of all; a component of unknown usage counts as nothing."""
     g = rows.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in parts.items()))

@@ -41,12 +41,26 @@ def widen(rows: DataFrame, keys: list[str], tie: str, start: str, end: str, most
 def running_best(rows: DataFrame, keys: list[str], order: list[str], score: str, margin: float) -> DataFrame:
     """keys, n, first, best: a candidate replaces the best so far only if it beats it by ``margin``.
 
-    The fold depends on all before it, so a key's scores meet in one array, in order.
+    Only a score above all before it can replace the best, so of a key's scores those that exceed
+    all earlier ones of their input partition meet in one array. Scores that rise all the time are
+    all such; others leave few.
     """
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(score).alias("score")))).alias("xs"))
-    first = F.get("xs", F.lit(0))["score"]
-    best = F.aggregate("xs", first, lambda a, x: F.when(x["score"] > a + margin, x["score"]).otherwise(a))
-    return g.select(*keys, F.size("xs").alias("n"), best.alias("best"), first.alias("first"))
+    x = F.struct(*order, F.col("score"))
+    g = rising(rows, keys, order, score, margin).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(x)["score"].alias("first"), F.array_sort(F.collect_list(F.when(F.col("rises"), x))).alias("xs")
+    )
+    best = F.aggregate("xs", F.col("first"), lambda a, x: F.when(x["score"] > a + margin, x["score"]).otherwise(a))
+    return g.select(*keys, F.col("n").cast("int").alias("n"), best.alias("best"), "first")
+
+
+def rising(rows: DataFrame, keys: list[str], order: list[str], score: str, margin: float) -> DataFrame:
+    """keys, order, score and rises: whether a score exceeds all earlier ones of its key in its
+    input partition. With a negative margin lower scores count too, so all are marked."""
+    part = rows.select(*keys, *order, F.col(score).alias("score"), F.spark_partition_id().alias("_part"))
+    earlier = F.max("score").over(Window.partitionBy("_part", *keys).orderBy(*order, "score").rowsBetween(Window.unboundedPreceding, -1))
+    seen = part.withColumn("_most", earlier)
+    rises = F.col("score").isNotNull() & (F.col("_most").isNull() | (F.col("score") > F.col("_most")) | F.lit(margin < 0))
+    return seen.select(*keys, *order, "score", rises.alias("rises"))
 
 
 def best_then_margin(base: DataFrame, candidates: DataFrame, keys: list[str], score: str, name: str, margin: float) -> DataFrame:

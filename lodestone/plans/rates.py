@@ -131,8 +131,7 @@ def nearest_rank_latency(t: Tables) -> DataFrame:
 with g as (select l_returnflag, list_sort(list(l_extendedprice)) xs, count(*) n from lineitem group by 1)
 select l_returnflag, n, xs[n // 2 + 1] median, xs[floor(0.1 * (n - 1))::int + 1] p10 from g""")
 def upper_median_low_tenth(t: Tables) -> DataFrame:
-    x = F.col("l_extendedprice")
-    return t.lineitem.groupBy("l_returnflag").agg(F.count(x).alias("n"), s.upper_median(x).alias("median"), s.floor_rank(x, 0.1).alias("p10"))
+    return a.middle_and_low(t.lineitem, ["l_returnflag"], "l_extendedprice", 0.1).withColumnRenamed("low", "p10")
 
 
 @query("""

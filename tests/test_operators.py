@@ -253,3 +253,27 @@ def test_windows_of_events(spark):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", "x", 1), ("2024-01-01 00:09:00", "x", 0), ("2024-01-01 00:11:00", "x", 1)], "at string, g string, ok int")
     got = sorted((q.n, q.k) for q in changelog.windowed_rates(rows, "at", "10 minutes", "1 hour", "g", F.col("ok") == 1).collect())
     assert got == [(1, 1), (2, 1)]
+
+
+def test_ranks_without_arrays(spark):
+    rows = spark.createDataFrame([("a", float(i * 7 % 101)) for i in range(1000)] + [("b", None), ("c", 2.0), ("c", 1.0)], "k string, v double")
+    found = a.middle_and_low(rows, ["k"], "v", 0.1)
+    xs = sorted(i * 7 % 101 for i in range(1000))
+    assert sorted(map(tuple, found.collect())) == [("a", 1000, xs[500], xs[99]), ("b", 0, None, None), ("c", 2, 2.0, 1.0)]
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_running_best_gathers_few(spark):
+    rng = random.Random(3)
+    data = [(i % 7 // 6, i, rng.random()) for i in range(20000)] + [(8, 0, None), (8, 1, 1.0), (9, 0, None), (10, 0, 1.0), (10, 1, None), (10, 2, 2.0)]
+    rows = spark.createDataFrame(data, "k int, at int, v double").repartition(5)
+    for margin in (0.005, 0.0, -0.01):
+        want = []
+        for k in sorted({x[0] for x in data}):
+            xs = [v for kk, _, v in data if kk == k]
+            best = xs[0]
+            for v in xs:
+                best = v if v is not None and best is not None and v > best + margin else best
+            want.append((k, len(xs), best, xs[0]))
+        assert sorted(map(tuple, w.running_best(rows, ["k"], ["at"], "v", margin).select("k", "n", "best", "first").collect())) == want
+    assert w.rising(rows, ["k"], ["at"], "v", 0.005).where("rises").count() < 400
