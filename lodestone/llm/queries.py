@@ -61,7 +61,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("item_ids", "n_near")
+    return found.drop("item_ids", "near_ids")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,13 +38,36 @@ def shown(frame):
     return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in frame.collect()), key=str)
 
 
-@pytest.mark.parametrize("block_words", [200_000, 20])
-def test_equals_brute_force(spark, block_words):
+def near_brute_force(rows, items, window=13, slop=2):
+    """Items of each document with a proximity match and no exact one."""
+    phrases = [(i, w[j : j + window]) for i, t in items if i is not None and (w := words(t)) for j in range(max(1, len(w) - window + 1))]
+    out = []
+    for d, t in rows:
+        w = words(t)
+        places = {}
+        for j, x in enumerate(w):
+            places.setdefault(x, []).append(j)
+        near, exact = set(), set()
+        for i, p in phrases:
+            if not all(x in places for x in p):
+                continue
+            if any(w[b : b + len(p)] == p for b in range(len(w))):
+                exact.add(i)
+            for b in range(-slop, len(w) + slop):
+                if all(any(abs(q - b - n) <= slop for q in places[x]) for n, x in enumerate(p)):
+                    near.add(i)
+                    break
+        out.append((d, sorted(near - exact)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_equals_brute_force(spark, block_bytes):
     rows = awkward_docs()
     items = [(1, prose(50, 40)), (2, rows[0][1][40:300]), (3, "one"), (4, ""), (5, None), (None, "one"), (6, "A-B c/d"), (2, rows[0][1][40:300]), (7, " ".join(rows[1][1].split()[20:33]))]
     rows += [(500, "begin " + items[0][1].upper() + " end"), (501, prose(1, 700) + " " + prose(50, 40)[:150]), (502, "not " + prose(50, 12))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate(docs_frame(spark, rows), bench, max_block_words=block_words)
+    got = decontaminate(docs_frame(spark, rows), bench, block_bytes=block_bytes)
     assert shown(got) == brute_force(rows, items)
 
 
@@ -55,6 +78,29 @@ def test_proximity(spark):
     assert (r.n_items, r.n_near, r.n_hit) == (0, 1, 0)
 
 
+@pytest.mark.parametrize(("block_bytes", "parts"), [(1 << 20, 1), (1 << 20, 7), (150, 2)])
+def test_proximity_equals_brute_force(spark, block_bytes, parts):
+    """Near matches lie within one document, wherever the rows are dealt and whatever stands beside them."""
+    items = [(i, prose(60 + i, 13 + i)) for i in range(6)] + [(10, "aa bb"), (11, "cc aa bb dd cc"), (12, "aa aa bb")]
+    bases = [words(t) for _, t in items]
+    rows = []
+    for i, w in enumerate(bases):
+        rows += [(100 + i, " ".join(w[1:])), (200 + i, " ".join(w[:4] + ["new"] + w[4:])), (300 + i, " ".join(w[:3] + w[4:5] + w[3:4] + w[5:]))]
+        rows += [(400 + i, " ".join(w[: len(w) // 2])), (500 + i, " ".join(w[len(w) // 2 :])), (600 + i, "x y " + " ".join(w[:5] + ["p", "q", "r"] + w[5:]))]
+    rows += [(700, "bb"), (701, "aa"), (702, "aa zz zz bb"), (703, "aa zz zz zz zz bb"), (704, "bb aa"), (705, None), (706, ""), (None, "bb x aa")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate(docs_frame(spark, rows).coalesce(1).repartition(parts), bench, block_bytes=block_bytes).collect()
+    assert sorted(((r.doc_id, sorted(r.near_ids)) for r in got), key=str) == near_brute_force(rows, items)
+    assert all(r.n_near == len(r.near_ids) for r in got)
+
+
+def test_column_names_clash(spark):
+    """Columns of the input that share a name with the operator's own are not read."""
+    docs = docs_frame(spark, [(1, prose(1, 30))]).selectExpr("doc_id", "text", "5 as row", "'x' as n_words", "1 as starts", "2 as item_ids")
+    r = decontaminate(docs, spark.createDataFrame([(9, prose(1, 30), 3)], "item_id long, text string, block int")).collect()
+    assert [(x.doc_id, x.n_words, x.n_items) for x in r] == [(1, 30, 1)]
+
+
 def test_whole_table_equals_brute_force(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
