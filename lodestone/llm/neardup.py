@@ -1,24 +1,29 @@
 """Operator 6: near-duplicate groups with circulant MinHash.
 
 1. A pass over the texts gives each document its set of word shingles (64-bit hashes), a 128-bit
-   digest of the set and, with two permutations, a MinHash signature: sigma places a shingle on a
-   ring, and coordinate k is the least value of pi, shifted by k places, over the set. The K values
-   that one shingle contributes are neighbours in memory, so coordinates cost one copy each.
-2. Documents with equal sets become one node. Rows of each signature band are keys; a node is
-   linked to the least node that shares a key. The connected components of these links hold every
-   linked pair (but for the banding's miss rate, 2e-7 at the threshold with the defaults).
-3. In each component all pairs are compared on full sets by a product of sparse 0/1 matrices. A
-   component beyond ``block_docs`` documents or ``block_shingles`` is cut into blocks by hash, and
-   each pair of blocks is a unit of work of its own, so no task holds a whole large group and no
-   pair is skipped. A unit returns a spanning forest of its confirmed links, not the pairs.
+   digest of the set and a MinHash signature from two permutations of a ring: sigma shuffles the
+   places that shingles fall on, pi ranks them, and coordinate k is the least rank over the set with pi
+   shifted by k places. The coordinates of one place are neighbours in memory, so they cost one copy.
+   Shingles that fall on one place (the ring has 2**20) only add candidates; links are decided on sets.
+2. Documents with equal sets (by all 128 bits) are one set. Rows of each signature band are keys; a set
+   is linked to the least one that shares a key. Components of these links hold every linked pair (but
+   for the banding's miss rate, 2e-7 at the threshold with the defaults).
+3. A component of at most ``block_docs`` sets and ``block_shingles`` shingles is compared in one task by
+   a product of sparse 0/1 matrices. In a larger one every set is first compared with the least set of
+   its buckets, in slices; then only buckets that still hold sets of different groups are compared, each
+   group against the others, cut into blocks, each pair of blocks a unit of work. So no task holds a
+   whole large group, no pair that shares a key is skipped, and copies of one text edited in places
+   need no pairs among themselves. A unit returns a spanning forest of its confirmed links.
 4. Components of the confirmed links, again by contraction.
 
-No caps: every pair that shares a band key is decided on its full sets.
+No caps: every pair that shares a band key is decided on its full sets or already in one group.
 
 Null or empty texts and texts without words have the empty set: no links, their own component. A
-text of fewer than ``shingle`` words is one shingle. Rows without an id take part as texts but are
-never the smallest id; their component is null unless another member has an id. Repeated rows are
-answered row by row. Extra columns are not read.
+text of fewer than ``shingle`` words is one shingle. Rows are told apart by a row number, so ids may be
+null or repeat: rows without an id take part as texts but are never the smallest id; their component is
+null unless another member has an id. Repeated rows are answered row by row; of equal ids each row is
+kept if the id is its component's. A very long text is one set, whatever its size. An empty table gives
+no rows. Extra columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -28,28 +33,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .common import join_small_ids, materialize, null_safe_key, ship_code
+from .common import join_small_ids, materialize, ship_code
 
 RING = 1 << 20
 _SEED = 20231
-_pi: list[np.ndarray] = []
+_tables: list[np.ndarray] = []
+
+
+def _permutations() -> list[np.ndarray]:
+    """sigma and pi, the two permutations of the ring."""
+    if not _tables:
+        r = np.random.default_rng(_SEED)
+        _tables.extend(r.permutation(RING).astype(np.uint32) for _ in range(2))
+    return _tables
 
 
 def ring_place(shingles: np.ndarray) -> np.ndarray:
-    """sigma: the place of each shingle on the ring."""
-    return (k.mix(shingles ^ k.U(_SEED)) & k.U(RING - 1)).astype(np.int64)
+    """sigma of the place that each shingle falls on."""
+    return _permutations()[0][(shingles & k.U(RING - 1)).astype(np.int64)].astype(np.int64)
 
 
 def _pi_windows(coordinates: int) -> np.ndarray:
     """Row p holds pi at the places p - 1, p - 2, ... p - coordinates (in memory order)."""
-    if not _pi:
-        _pi.append(np.random.default_rng(_SEED).permutation(RING).astype(np.uint32))
-    ring = np.concatenate([_pi[0][RING - coordinates :], _pi[0]])
-    return np.lib.stride_tricks.sliding_window_view(ring, coordinates)
+    pi = _permutations()[1]
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi[RING - coordinates :], pi]), coordinates)
 
 
 def signature(shingles: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -88,7 +99,7 @@ def _set_digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (two longs; null for the empty set), keys (of the bands).
+    """row, doc_id, n_shingles, digest (node and check; null for the empty set), keys (of the bands).
 
     A text that repeats within a batch has no keys again: its set has them already.
     """
@@ -99,7 +110,7 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         powers = k.mix(np.arange(1, rows + 1, dtype=k.U)) | k.U(1)
         salt = k.mix(np.arange(bands, dtype=k.U) + k.U(77))
         for batch in batches:
-            raw, offsets = k.text_buffer(batch.column(1))
+            raw, offsets = k.text_buffer(batch.column(2))
             for lo, hi in k.row_chunks(offsets):
                 sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
                 digests = [_set_digest(s) if len(s) else (None, None) for s in sets]
@@ -114,17 +125,16 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d[0] for d in digests], pa.int64()),
                         pa.array([d[1] for d in digests], pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "check", "keys"],
+                    names=["row", "doc_id", "n_shingles", "node", "check", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, check long, keys array<long>"
-    )
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_shingles long, node long, check long, keys array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
@@ -198,72 +208,148 @@ def linked_forest(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
     return [(int(nodes[i]), int(nodes[root[i]])) for i in range(n) if root[i] != i]
 
 
-def confirmed_links(docs: DataFrame, sketches: DataFrame, clusters: DataFrame, shingle: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within every cluster, decided on full sets."""
-    members = sketches.where("node is not null").join(clusters, "node").groupBy("node", "root").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    members = materialize(members, "op6-members")
-    totals = members.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    planned = members.join(totals.select("root", blocks.alias("blocks")), "root").select(
-        null_safe_key(F.col("doc_id")).alias("carrier"), "node", "root", "blocks", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int").alias("block")
-    )
-    planned = materialize(planned, "op6-planned")
-    texts = docs.select(null_safe_key(F.col("doc_id").cast("long")).alias("carrier"), F.col("text").cast("string").alias("text"))
-    carried = join_small_ids(texts, planned, planned.count(), ["carrier"])
+UNIT = ["u", "lo", "hi", "set", "block"]
+
+
+def held_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``wanted`` (set: a row number, and more columns) with the shingles of that row's text."""
+    carried = join_small_ids(rows.select(F.col("row").alias("set"), "text"), wanted, wanted.count(), ["set"])
+    others = [c for c in wanted.columns if c != "set"]
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = k.text_buffer(batch.column("text"))
-            node = batch.column("node").to_numpy()
             for lo, hi in k.row_chunks(offsets):
                 sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
-                # ids can repeat: only the text that the node stands for has its digest
-                keep = [i for i, s in enumerate(sets) if len(s) and _set_digest(s)[0] == node[lo + i]]
-                if keep:
-                    at = pa.array(np.array(keep) + lo)
-                    yield pa.record_batch([*(batch.column(c).take(at) for c in ("root", "node", "blocks", "block")), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["root", "node", "blocks", "block", "items"])
-
-    held = carried.select("root", "node", "blocks", "block", "text").mapInArrow(full_sets, "root long, node long, blocks int, block int, items binary")
-    units = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "items"
-    )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+                items = pa.array([x.tobytes() for x in sets], pa.binary())
+                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("set", *others)), items], names=["set", *others, "items"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "set")
+    return carried.select("set", *others, "text").mapInArrow(full_sets, f"set long, {fields}, items binary")
+
+
+def solve_units(units: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links between blocks ``lo`` and ``hi`` of every unit ``u``."""
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.select(*UNIT, "items").repartition(parts, "u", "lo", "hi").sortWithinPartitions("u", "lo", "hi")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held_rows = None, {}
+        key, held = None, {}
 
         def answer() -> pa.RecordBatch:
-            nodes = np.array(list(held_rows), np.int64)
-            sets = [np.frombuffer(x[1], np.uint64) for x in held_rows.values()]
-            block = np.array([x[0] for x in held_rows.values()])
-            forest = linked_forest(nodes, sets, block == key[1], block == key[2], percent)
+            sets = [np.frombuffer(x[1], np.uint64) for x in held.values()]
+            block = np.array([x[0] for x in held.values()])
+            forest = linked_forest(np.array(list(held), np.int64), sets, block == key[1], block == key[2], percent)
             return pa.record_batch([pa.array([x[0] for x in forest], pa.int64()), pa.array([x[1] for x in forest], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for *new, node, block, items in zip(*(batch.column(c).to_pylist() for c in ("root", "lo", "hi", "node", "block", "items")), strict=True):
+            for *new, one, block, items in zip(*(batch.column(c).to_pylist() for c in ("u", "lo", "hi", "set", "block", "items")), strict=True):
                 if new != key:
-                    if len(held_rows) > 1:
+                    if len(held) > 1:
                         yield answer()
-                    key, held_rows = new, {}
-                held_rows[node] = (block, items)
-        if len(held_rows) > 1:
+                    key, held = new, {}
+                held[one] = (block, items)
+        if len(held) > 1:
             yield answer()
 
-    return units.mapInArrow(solve, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, bands: int = 48, rows: int = 8, block_docs: int = 512, block_shingles: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
-    sketches = materialize(sketch(docs, shingle, bands, rows), "op6-sketches")
-    clusters = components(candidate_links(sketches), name="op6-candidates")
-    links = materialize(confirmed_links(docs, sketches, clusters, shingle, percent, block_docs, block_shingles), "op6-links")
-    roots = components(links, name="op6-links")
-    thin = sketches.select("doc_id", "n_shingles", "node")
-    nodes = thin.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = materialize(nodes.join(smallest, "root").select("node", "component_id"), "op6-components")
-    linked = thin.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
-    alone = thin.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return dealt.mapInArrow(solve, "a long, b long")
+
+
+def _blocks(count: str, shingles: str, block_docs: int, block_shingles: int) -> Column:
+    return F.greatest(F.ceil(F.col(count) / block_docs), F.ceil(F.col(shingles) / block_shingles), F.lit(1)).cast("int")
+
+
+def _dealt(column: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), column), blocks).cast("int")
+
+
+def star_units(members: DataFrame, links: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """Every set with the least set that shares a key with it, in slices of the sets of one hub."""
+    hubs = links.groupBy("a").agg(F.min("b").alias("hub"))
+    sets = members.select("node", "set", "n")
+    around = sets.join(hubs.withColumnRenamed("a", "node"), "node").select("set", "hub", "n")
+    totals = around.groupBy("hub").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    slices = totals.select("hub", _blocks("docs", "shingles", block_docs, block_shingles).alias("slices"))
+    rays = around.join(slices, "hub").select(F.col("hub").alias("u"), _dealt(F.col("set"), F.col("slices")).alias("lo"), "set", F.lit(1).alias("side"))
+    middles = sets.join(slices.withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("lo"), "set", F.lit(0).alias("side"))
+    # a slice's number is twice its place: the hub stands in the even block, its sets in the odd one
+    both = rays.unionAll(middles)
+    return both.select("u", (2 * F.col("lo")).alias("lo"), (2 * F.col("lo") + 1).alias("hi"), "set", (2 * F.col("lo") + F.col("side")).alias("block"))
+
+
+def bucket_units(members: DataFrame, keys: DataFrame, parts: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """Buckets that hold sets of different parts, cut into blocks; the largest part of a bucket is not
+    compared with itself. Buckets with the same sets are compared once."""
+    known = members.join(parts.select(F.col("node").alias("set"), F.col("root").alias("part")), "set", "left")
+    known = known.select("node", "set", "n", F.coalesce("part", "set").alias("part"))
+    rows = materialize(keys.join(known, "node").select("key", "set", "n", "part").distinct(), "op6-buckets")
+    by_part = rows.groupBy("key", "part").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64(F.lit(1), "set").cast("decimal(38,0)")).alias("one"), F.sum(F.xxhash64(F.lit(2), "set").cast("decimal(38,0)")).alias("two")
+    )
+    size = F.struct("docs", "shingles", "part")
+    buckets = by_part.groupBy("key").agg(
+        F.max(size).alias("main"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"), F.sum("one").alias("one"), F.sum("two").alias("two"), F.count(F.lit(1)).alias("parts")
+    )
+    buckets = buckets.where("parts > 1").groupBy("docs", "one", "two").agg(F.min(F.struct("key", "main", "shingles")).alias("b"))
+    rest = {"rest_docs": F.col("docs") - F.col("b.main.docs"), "rest_shingles": F.col("b.shingles") - F.col("b.main.shingles")}
+    cut = buckets.select(F.col("b.key").alias("key"), F.col("b.main").alias("main"), *(c.alias(n) for n, c in rest.items()))
+    cut = cut.select(
+        "key",
+        F.col("main.part").alias("main"),
+        _blocks("main.docs", "main.shingles", block_docs, block_shingles).alias("m"),
+        _blocks("rest_docs", "rest_shingles", block_docs, block_shingles).alias("o"),
+    )
+    placed = rows.join(materialize(cut, "op6-cut"), "key").withColumn("is_main", F.col("part") == F.col("main"))
+    block = F.when(F.col("is_main"), _dealt(F.col("set"), F.col("m"))).otherwise(F.col("m") + _dealt(F.col("set"), F.col("o")))
+    first = F.when(F.col("is_main"), F.col("m")).otherwise(F.lit(0))
+    placed = placed.select("key", "set", block.alias("block"), F.explode(F.sequence(first, F.col("m") + F.col("o") - 1)).alias("other"))
+    return placed.select(F.col("key").alias("u"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block")
+
+
+def confirmed_links(rows: DataFrame, sketches: DataFrame, sets: DataFrame, shingle: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """(a, b): links of sets that connect all sets linked through pairs with a common key."""
+    links = candidate_links(sketches)
+    clusters = components(links, name="op6-candidates")
+    members = sets.join(clusters, "node").select("node", "root", "set", "n")
+    totals = members.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    small = (F.col("docs") <= block_docs) & (F.col("shingles") <= block_shingles)
+    members = materialize(members.join(totals.select("root", small.alias("small")), "root"), "op6-members")
+    whole = members.where("small").select(F.col("root").alias("u"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "set", F.lit(0).alias("block"))
+    found = materialize(solve_units(held_sets(rows, whole, shingle), percent), "op6-links")
+    large = members.where("not small").select("node", "set", "n")
+    if large.isEmpty():
+        return found
+    items = materialize(held_sets(rows, large.select("set", F.col("n").alias("size")), shingle), "op6-sets-held").select("set", "items")
+    nodes = large.select("node").distinct()
+    stars = star_units(large, links.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi"), block_docs, block_shingles)
+    stars = materialize(solve_units(stars.join(items, "set"), percent), "op6-stars")
+    keys = sketches.where("keys is not null").join(nodes, "node", "left_semi").select("node", F.explode("keys").alias("key"))
+    buckets = bucket_units(large, keys, components(stars, name="op6-parts"), block_docs, block_shingles)
+    rest = materialize(solve_units(buckets.join(items, "set"), percent), "op6-rest")
+    return found.unionAll(stars).unionAll(rest)
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, percent: int = 85, bands: int = 48, rows: int = 8, block_docs: int = 512, block_shingles: int = 2_000_000, row: str | None = None
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id).
+
+    Rows need a number that stays the same when they are read again. ``row`` names a column of unique
+    longs in a stored table; without it the texts are written to the shared folder with one.
+    """
+    number = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    texts = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if row is None:
+        texts = materialize(texts, "op6-rows")
+    sketches = materialize(sketch(texts, shingle, bands, rows), "op6-sketches")
+    full = sketches.where("node is not null")
+    sets = full.groupBy("node", "check").agg(F.min("row").alias("set"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+    sets = materialize(sets, "op6-sets")
+    links = confirmed_links(texts, sketches, sets, shingle, percent, block_docs, block_shingles)
+    roots = components(links, name="op6-links").withColumnRenamed("node", "set")
+    of_set = sets.join(roots, "set", "left").select("node", "check", "least", F.coalesce("root", "set").alias("root"))
+    smallest = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_set = materialize(of_set.join(smallest, "root").select("node", "check", "component_id"), "op6-components")
+    linked = full.select("doc_id", "n_shingles", "node", "check").join(of_set, ["node", "check"]).select("doc_id", "n_shingles", "component_id")
+    alone = sketches.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,10 +1,13 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.neardup import components, near_duplicates
 
-from .helpers import awkward_docs, docs_frame, empty_frame
+from .helpers import awkward_docs, docs_frame, edited, empty_frame, prose
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -42,6 +45,45 @@ def test_equals_brute_force(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_groups_equal_brute_force(spark, block):
+    """Groups of different near texts, linked and unlinked, cut into slices, buckets and blocks."""
+    rows = []
+    for g in range(4):
+        base = prose(700 + g, 160)
+        for i in range(40):
+            rows.append((1000 * g + i, edited(base, 50 * g + i, (30, 45, 60, 90)[i % 4])))
+        rows += [(None, edited(base, 9, 80)), (None, base), (None, base), (1000 * g + 3, base)]
+    got = near_duplicates(docs_frame(spark, rows), block_docs=block).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_force(rows)
+
+
+def test_equal_half_digests_are_told_apart(spark, monkeypatch):
+    """Sets whose first 64 digest bits are equal are not merged."""
+    import lodestone.llm.neardup as neardup
+
+    full = neardup._set_digest
+    monkeypatch.setattr(neardup, "_set_digest", lambda s: (full(s)[0] % 5, full(s)[1]))
+    rows = awkward_docs()[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    texts = neardup.materialize(docs, "clash")
+    local = [neardup.shingle_sets(*neardup.k.text_buffer(pa.array([t], pa.string())), 5)[0] for _, t in rows]
+    assert len({neardup._set_digest(s)[0] for s in local if len(s)}) < len({full(s) for s in local if len(s)})
+    fake = texts.collect()
+    table = [(r.row, r.doc_id, len(s), *(neardup._set_digest(s) if len(s) else (None, None)), [1] if len(s) else None) for r in fake for s in neardup.shingle_sets(*neardup.k.text_buffer(pa.array([r.text], pa.string())), 5)]
+    sketches = spark.createDataFrame(table, "row long, doc_id long, n_shingles long, node long, check long, keys array<long>")
+    monkeypatch.setattr(neardup, "sketch", lambda *a: sketches)
+    got = neardup.near_duplicates(texts, row="row").collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_force(rows)
+
+
+def test_permutations():
+    from lodestone.llm.neardup import RING, _permutations, ring_place
+
+    assert all(np.array_equal(np.sort(p), np.arange(RING)) for p in _permutations())
+    assert np.array_equal(np.sort(ring_place(np.arange(RING, dtype=np.uint64))), np.arange(RING))
+
+
 def test_whole_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
