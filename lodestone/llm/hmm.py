@@ -3,14 +3,18 @@
 Counts of every word of every training text are gathered first. Words frequent enough to fit a table
 of at most ``most_words`` rows are symbols of their own; each other word is emitted through the class
 of its shape and then drawn within the class by its smoothed count, so the model is a distribution
-over whole texts and every word's count matters. States are trained by Baum-Welch: after a start on a
-bounded sample, each full round sums expected counts over all partitions of all training texts, long
-texts cut into runs of ``run`` tokens for this. A text's score is the exact likelihood of the
-whole text by the scaled forward recursion.
-
-Null and empty texts hold the end token alone. Repeated rows count as often as they occur. A row
-without an id is a training row. Without training texts all counts are 0 and the model is uniform
-over its few symbols. Extra columns are not read.
+over whole texts and every word's count matters. States are trained by Baum-Welch from a seeded random
+start: ``warm_rounds`` rounds over the share ``warm_share`` of the training texts (whole texts, drawn by
+hash, so the share grows with the corpus), then rounds over all of them until the gain for each token
+falls under ``least_gain``, ``most_rounds`` at most. Each round sums expected counts over all partitions. A
+text's score is the exact likelihood of the whole text by the scaled forward recursion. Long texts are
+worked off in runs side by side; forward and backward values are carried over the runs' borders, so
+counts and likelihoods are those of the whole text, and only a text's first word counts as a start.
+
+Null and empty texts hold the end token alone. Very long texts are whole, as said. Repeated rows count as
+often as they occur. A row without an id is a training row. Without training texts all counts are 0 and
+the model is uniform over its few symbols; an empty table gives no rows. Words of equal count enter the
+table together or not at all. Extra columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -83,15 +87,19 @@ class Packed:
         self.symbols = np.empty(int(self.at[-1]), np.int64)
         self.symbols[place] = symbols[k.ranges(offsets[:-1][self.order], ordered)]
 
-    def forward(self, model: Model, keep: bool = False):
-        """(scale of every token, scaled forward values or None)."""
+    def forward(self, model: Model, keep: bool = False, begin: np.ndarray | None = None):
+        """(scale of every token, scaled forward values or None, emissions).
+
+        ``begin`` has each sequence's chances of the first state, where they aren't the model's.
+        """
         emit = model.emit[self.symbols]
         scale = np.empty(len(emit))
         ahead = np.empty_like(emit) if keep else None
+        first = model.start if begin is None else begin[self.order]
         a = None
         for t, n in enumerate(self.alive):
             lo = self.at[t]
-            a = model.start * emit[lo : lo + n] if a is None else (a[:n] @ model.move) * emit[lo : lo + n]
+            a = first * emit[lo : lo + n] if a is None else (a[:n] @ model.move) * emit[lo : lo + n]
             s = a.sum(axis=1)
             a /= s[:, None]
             scale[lo : lo + n] = s
@@ -99,34 +107,94 @@ class Packed:
                 ahead[lo : lo + n] = a
         return scale, ahead, emit
 
-    def log10_likelihood(self, model: Model) -> np.ndarray:
-        scale, _, _ = self.forward(model)
+    def log10_likelihood(self, model: Model, begin: np.ndarray | None = None) -> np.ndarray:
+        scale, _, _ = self.forward(model, begin=begin)
         out = np.empty(len(self.order))
         out[self.order] = np.bincount(self.rank, np.log10(scale), len(self.order))
         return out
 
-    def expected(self, model: Model, totals: Counts) -> None:
+    def products(self, model: Model) -> np.ndarray:
+        """For each sequence the matrix (up to a factor) from the chances of its first token's state to
+        the forward values of its last token."""
+        states = len(model.start)
+        emit = model.emit[self.symbols]
+        out = np.empty((len(self.order), states, states))
+        a = None
+        for t, n in enumerate(self.alive):
+            e = emit[self.at[t] : self.at[t] + n, None, :]
+            if a is None:
+                a = np.eye(states)[None] * e
+            else:
+                if n < len(a):
+                    out[self.order[n : len(a)]] = a[n:]
+                a = (a[:n].reshape(-1, states) @ model.move).reshape(n, states, states) * e
+            if t % 16 == 15:
+                a /= a.sum(axis=(1, 2), keepdims=True)
+        if a is not None:
+            out[self.order[: len(a)]] = a
+        return out
+
+    def expected(self, model: Model, totals: Counts, carried: Carried | None = None) -> None:
         """Add the expected counts of these sequences (Baum-Welch) to ``totals``."""
         if not len(self.alive):
             return
-        scale, ahead, emit = self.forward(model, True)
-        back = np.ones((int(self.alive[-1]), len(model.start)))
+        scale, ahead, emit = self.forward(model, True, None if carried is None else carried.begin)
+        final = None if carried is None else carried.final[self.order]
+        back = np.ones((0, len(model.start)))
         both = np.empty_like(ahead)
         for t in range(len(self.alive) - 1, -1, -1):
             lo, n = self.at[t], self.alive[t]
-            if len(back) < n:
-                back = np.concatenate([back, np.ones((n - len(back), back.shape[1]))])
+            if len(back) < n:  # sequences that end here
+                m = len(back)
+                new = np.ones((n - m, back.shape[1]))
+                if final is not None:
+                    new = final[m:n] / (ahead[lo + m : lo + n] * final[m:n]).sum(axis=1, keepdims=True)
+                back = np.concatenate([back, new])
             both[lo : lo + n] = ahead[lo : lo + n] * back
+            out = emit[lo : lo + n] * back / scale[lo : lo + n, None]
             if t:
-                out = emit[lo : lo + n] * back / scale[lo : lo + n, None]
                 totals.move += (ahead[self.at[t - 1] : self.at[t - 1] + n].T @ out) * model.move
                 back = out @ model.move.T
-        totals.start += both[: self.alive[0]].sum(axis=0)
+        starts = np.ones(int(self.alive[0]), bool)
+        if carried is not None:
+            starts = carried.is_first[self.order]
+            totals.move += (carried.before[self.order][~starts].T @ out[~starts]) * model.move
+        totals.start += both[: self.alive[0]][starts].sum(axis=0)
         for s in range(both.shape[1]):
             totals.emit[:, s] += np.bincount(self.symbols, both[:, s], len(totals.emit))
         totals.log10 += float(np.log10(scale).sum())
 
 
+@dataclass(frozen=True)
+class Carried:
+    """What runs of texts get from the runs before and after them."""
+
+    is_first: np.ndarray
+    before: np.ndarray  # forward values of the token before the run
+    begin: np.ndarray  # chances of the first token's state, given all before
+    final: np.ndarray  # backward values of the last token (up to a factor)
+
+
+def carry(runs: Packed, pieces: np.ndarray, model: Model) -> Carried:
+    """Forward and backward values at the borders of runs; ``pieces`` has each text's number of runs."""
+    products = runs.products(model)
+    n, states = len(products), len(model.start)
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    ends = np.cumsum(pieces)
+    first[ends - pieces], last[ends - 1] = True, True
+    before, begin, final = np.zeros((n, states)), np.empty((n, states)), np.ones((n, states))
+    for r in range(n):
+        begin[r] = model.start if first[r] else before[r] @ model.move
+        if not last[r]:
+            a = begin[r] @ products[r]
+            before[r + 1] = a / a.sum()
+    for r in range(n - 1, -1, -1):
+        if not first[r]:
+            b = model.move @ (products[r] @ final[r])
+            final[r - 1] = b / b.sum()
+    return Carried(first, before, begin, final)
+
+
 class Counts:
     def __init__(self, symbols: int, states: int):
         self.start, self.move, self.emit, self.log10 = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
@@ -140,12 +208,25 @@ class Counts:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def cut_runs(offsets: np.ndarray, run: int) -> np.ndarray:
-    """Offsets of runs of at most ``run`` tokens within the sequences."""
+def cut_runs(offsets: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of runs of at most ``run`` tokens within the sequences, and each one's number of runs."""
     lengths = np.diff(offsets)
     pieces = -(-lengths // run)
     begins = np.repeat(offsets[:-1], pieces) + run * k.ranges(np.zeros(len(pieces), np.int64), pieces)
-    return np.concatenate([begins, offsets[-1:]])
+    return np.concatenate([begins, offsets[-1:]]), pieces
+
+
+def text_groups(ids: np.ndarray, offsets: np.ndarray, model: Model, run: int) -> Iterator[tuple[np.ndarray, Packed, Carried | None, np.ndarray]]:
+    """Texts in groups of similar length: their rows, sequences, what these are carried, and the place of
+    each sequence's text among the rows. Texts beyond eight runs are worked off in runs."""
+    for rows in token_chunks(offsets):
+        symbols, bounds = gather(ids, offsets, rows)
+        if bounds[1] - bounds[0] <= 8 * run:  # the longest comes first
+            yield rows, Packed(symbols, bounds), None, np.arange(len(rows))
+        else:
+            cut, pieces = cut_runs(bounds, run)
+            packed = Packed(symbols, cut)
+            yield rows, packed, carry(packed, pieces, model), np.repeat(np.arange(len(rows)), pieces)
 
 
 def token_chunks(offsets: np.ndarray, most: int = 400_000) -> Iterator[np.ndarray]:
@@ -263,19 +344,18 @@ def expected_counts(training: DataFrame, model: Model, symbols: int, run: int) -
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = Counts(symbols, states)
         for batch in batches:
-            ids, offsets = _sequences(batch, 0)
-            offsets = cut_runs(offsets, run)
-            for rows in token_chunks(offsets):
-                Packed(*gather(ids, offsets, rows)).expected(model, totals)
+            for _, packed, carried, _ in text_groups(*_sequences(batch, 0), model, run):
+                packed.expected(model, totals, carried)
         used = np.flatnonzero(totals.emit.any(axis=1))
         if len(used):
             keys = np.concatenate([used, -1 - np.arange(states), [-1 - states, -2 - states]])
             extra = np.zeros((1, states))
             extra[0, 0] = totals.log10
             values = np.concatenate([totals.emit[used], totals.move, totals.start[None], extra])
-            yield pa.record_batch([pa.array(keys), *(pa.array(values[:, s]) for s in range(states))], names=["symbol", *names])
+            columns = [pa.array(values[:, s].astype(np.float32)) for s in range(states)]  # sums of partitions are taken in doubles
+            yield pa.record_batch([pa.array(keys.astype(np.int32)), *columns], names=["symbol", *names])
 
-    parts = training.select("symbols").mapInArrow(step, "symbol long, " + ", ".join(f"{n} double" for n in names))
+    parts = training.select("symbols").mapInArrow(step, "symbol int, " + ", ".join(f"{n} float" for n in names))
     table = parts.groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
     totals = Counts(symbols, states)
     key, value = table.symbol.to_numpy(np.int64), table[names].to_numpy(np.float64)
@@ -291,34 +371,40 @@ def expected_counts(training: DataFrame, model: Model, symbols: int, run: int) -
     return totals
 
 
-def first_model(sample: list[np.ndarray], v: Vocabulary, states: int, rounds: int, strength: float, run: int, seed: int = 11) -> Model:
-    """A start for Baum-Welch: a few rounds on a bounded sample from a random emission table."""
-    r = np.random.default_rng(seed)
+def first_model(v: Vocabulary, states: int, seed: int = 11) -> Model:
+    """A random emission table about the words' own shares, and states that tend to stay."""
     unigram = v.unigram()
-    emit = unigram[:, None] * np.exp(r.normal(size=(len(unigram), states)))
+    emit = unigram[:, None] * np.exp(np.random.default_rng(seed).normal(size=(len(unigram), states)))
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-    if not sample:
-        return model
-    ids = np.concatenate(sample)
-    offsets = cut_runs(np.concatenate([[0], np.cumsum([len(s) for s in sample])]), run)
-    groups = [Packed(*gather(ids, offsets, rows)) for rows in token_chunks(offsets)]
-    for _ in range(rounds):
-        totals = Counts(len(unigram), states)
-        for g in groups:
-            g.expected(model, totals)
-        model = totals.model(unigram, strength)
-    return model
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
+
+
+def train(fit: DataFrame, v: Vocabulary, states: int, warm_rounds: int, warm_share: float, most_rounds: int, least_gain: float, strength: float, run: int) -> tuple[Model, list[float]]:
+    """The trained model, and the mean log10 likelihood of a token before each full round."""
+    model, seen = first_model(v, states), []
+    if not v.texts:
+        return model, seen
+    place = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
+    warm = materialize(fit.where(place < int(warm_share * (1 << 30))).select("symbols"), "op7-warm")
+    for _ in range(warm_rounds):
+        model = expected_counts(warm, model, v.end + 1, run).model(v.unigram(), strength)
+    for _ in range(most_rounds):
+        totals = expected_counts(fit, model, v.end + 1, run)
+        model = totals.model(v.unigram(), strength)
+        seen.append(totals.log10 / v.tokens)
+        if len(seen) > 1 and seen[-1] - seen[-2] < least_gain:
+            break
+    return model, seen
 
 
 def score_texts(
-    docs: DataFrame, states: int = 8, full_rounds: int = 2, most_words: int = 65_536, sample_texts: int = 1200, sample_tokens: int = 1000, sample_rounds: int = 12, strength: float = 5.0, run: int = 256, mod: int = 7
+    docs: DataFrame, states: int = 8, most_words: int = 65_536, warm_rounds: int = 8, warm_share: float = 1 / 16, most_rounds: int = 8, least_gain: float = 1e-3, strength: float = 5.0, run: int = 512, mod: int = 7
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    Bounds: ``most_words`` rows of the emission table (other words go through their shapes and a
-    join on the full counts); ``sample_texts`` texts of ``sample_tokens`` tokens start Baum-Welch.
+    Bound: ``most_words`` rows of the emission table; other words go through their shapes and a join on
+    the full counts.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -330,20 +416,15 @@ def score_texts(
     counts = materialize(count_words(training.select("text")), "op7-counts")
     v = vocabulary(counts, texts, most_words)
     encoded = materialize(encode(rows, v), "op7-encoded")
-    fit = encoded.where("not held_out")
-    place = F.pmod(F.xxhash64("row"), F.lit(1 << 30))  # few rows below the cut, so tasks send few to be ordered
-    near = fit.where(place < int(min(1.0, 4 * sample_texts / max(texts, 1)) * (1 << 30)))
-    start = near.select("row", F.slice("symbols", 1, sample_tokens).alias("s")).orderBy(place, "row").limit(sample_texts)
-    model = first_model([np.asarray(r["s"], np.int64) for r in start.collect()], v, states, sample_rounds, strength, run)
-    for _ in range(full_rounds if texts else 0):
-        model = expected_counts(fit, model, v.end + 1, run).model(v.unigram(), strength)
+    model, _ = train(encoded.where("not held_out").select("row", "symbols"), v, states, warm_rounds, warm_share, most_rounds, least_gain, strength, run)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, offsets = _sequences(batch, 3)
             out = np.zeros(batch.num_rows)
-            for chunk in token_chunks(offsets):
-                out[chunk] = Packed(*gather(ids, offsets, chunk)).log10_likelihood(model)
+            for chunk, packed, carried, of in text_groups(ids, offsets, model, run):
+                own = packed.log10_likelihood(model, None if carried is None else carried.begin)
+                out[chunk] = np.bincount(of, own, len(chunk))
             n = pa.array(np.diff(offsets))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), n, *(batch.column(c) for c in range(4, 7)), pa.array(out)], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "within", "path"])
 

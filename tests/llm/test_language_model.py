@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from lodestone.llm.hmm import Counts, Model, Packed, cut_runs, score_texts
+from lodestone.llm.hmm import Counts, Model, Packed, carry, cut_runs, count_words, encode, expected_counts, score_texts, text_groups, train, vocabulary
 
 from .helpers import awkward_docs, docs_frame, empty_frame
 
@@ -49,7 +49,48 @@ def test_forward_and_counts_equal_enumeration():
 
 
 def test_runs():
-    assert cut_runs(np.array([0, 5, 5, 7]), 2).tolist() == [0, 2, 4, 5, 7]
+    cut, pieces = cut_runs(np.array([0, 5, 5, 7]), 2)
+    assert cut.tolist() == [0, 2, 4, 5, 7] and pieces.tolist() == [3, 0, 1]
+
+
+def test_runs_give_the_counts_of_whole_texts():
+    """Forward and backward values are carried over borders: nothing differs from uncut texts."""
+    r = np.random.default_rng(4)
+    m = small_model(r)
+    offsets = np.cumsum([0, 40, 1, 7, 33])
+    ids = r.integers(0, 5, offsets[-1])
+    whole, cut = Counts(5, 3), Counts(5, 3)
+    Packed(ids, offsets).expected(m, whole)
+    bounds, pieces = cut_runs(offsets, 4)
+    packed = Packed(ids, bounds)
+    carried = carry(packed, pieces, m)
+    packed.expected(m, cut, carried)
+    for name in ("start", "move", "emit", "log10"):
+        assert np.allclose(getattr(whole, name), getattr(cut, name))
+    likelihoods = np.bincount(np.repeat(np.arange(4), pieces), packed.log10_likelihood(m, carried.begin))
+    assert np.allclose(likelihoods, Packed(ids, offsets).log10_likelihood(m))
+    grouped = Counts(5, 3)
+    for _, p, c, _ in text_groups(ids, offsets, m, 3):
+        p.expected(m, grouped, c)
+    assert np.allclose(whole.emit, grouped.emit) and np.allclose(whole.start, grouped.start) and np.allclose(whole.move, grouped.move)
+
+
+def test_a_round_counts_all_partitions(spark):
+    """A distributed round equals one over all texts in one place; rounds raise the likelihood."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    rows = docs.selectExpr("doc_id as row", "doc_id", "false as held_out", "text")
+    v = vocabulary(count_words(rows.select("text")), rows.count(), 5000)
+    encoded = encode(rows, v).select("row", "symbols").cache()
+    model, seen = train(encoded, v, 4, 2, 0.5, 4, -1.0, 5.0, 512)
+    assert len(seen) == 4 and all(a < b for a, b in zip(seen[:-1], seen[1:], strict=True))
+    got = expected_counts(encoded, model, v.end + 1, 512)
+    texts = [np.array(r.symbols) for r in encoded.orderBy(F.col("row")).collect()]
+    want = Counts(v.end + 1, 4)
+    Packed(np.concatenate(texts), np.cumsum([0, *map(len, texts)])).expected(model, want)
+    assert np.allclose(got.emit, want.emit, rtol=1e-4, atol=1e-4) and np.allclose(got.move, want.move, rtol=1e-4) and np.allclose(got.start, want.start, rtol=1e-4, atol=1e-4)
+    encoded.unpersist()
 
 
 def brute_base(rows):
@@ -73,7 +114,7 @@ def shown(frame):
 def test_base_scores_equal_brute_force(spark):
     rows = awkward_docs()
     for most in (65_536, 20, 0):
-        assert shown(score_texts(docs_frame(spark, rows), states=3, most_words=most, full_rounds=1)) == brute_base(rows)
+        assert shown(score_texts(docs_frame(spark, rows), states=3, most_words=most, warm_rounds=1, most_rounds=1)) == brute_base(rows)
 
 
 def test_score_is_a_distribution(spark):
