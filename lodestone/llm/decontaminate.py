@@ -36,6 +36,7 @@ SEGMENT_SCHEMA = (
     " terms array<long>, term_starts array<int>, positions array<int>"
 )
 MATCH_SCHEMA = "row long, doc_id long, n_words long, starts array<int>, ends array<int>, item_ids array<long>, near_ids array<long>"
+_SEGMENT_BYTES = 1 << 21
 _MOST_PLACES = 1 << 21
 _NEVER = 1 << 40
 
@@ -85,7 +86,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = k.text_buffer(batch.column(2))
-            for lo, hi in k.row_chunks(offsets):
+            for lo, hi in k.row_chunks(offsets, _SEGMENT_BYTES):
                 own = [batch.column(c).slice(lo, hi - lo) for c in (0, 1)]
                 yield _segment(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], *own)
 
