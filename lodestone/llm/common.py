@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,17 +74,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a ``row`` number that is the same each time the result is read.
 
-    A row of a Parquet table that is read as it is gets its file's number and its place there.
-    Anything else is written to the shared folder first, since its rows can come in another order.
+    Rows of a stored table get their file's number and their place in it. A frame without such places,
+    or with more rows of a file than it has places, is written to the shared folder with numbers first.
     """
-    plan = df._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower():
-        files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().limit(_MOST_FILES + 1).collect())
-        if 0 < len(files) <= _MOST_FILES:
-            number = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])
-            place = F.col("_metadata.row_index") + F.try_element_at(number, F.col("_metadata.file_path")).cast("long") * F.lit(1 << 40)
-            # an unknown path gives null, which must not pass for a number
-            return df.select("*", F.coalesce(place, F.raise_error(F.lit("a file of the table is not in its list")).cast("long")).alias("row"))
+    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        found = df.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("last")).limit(_MOST_FILES + 1).collect()
+    except AnalysisException:
+        found = []
+    if 0 < len(found) <= _MOST_FILES and all(r["n"] <= r["last"] + 1 for r in found):
+        number = F.create_map(*[F.lit(x) for i, f in enumerate(sorted(r["file"] for r in found)) for x in (f, i)])
+        row = place + F.try_element_at(number, file).cast("long") * F.lit(1 << 40)
+        # an unknown file gives null, which must not pass for a number
+        return df.select("*", F.coalesce(row, F.raise_error(F.lit("a file of the table is not in its list")).cast("long")).alias("row"))
     return materialize(df.withColumn("row", F.monotonically_increasing_id()), name)
 
 
@@ -111,6 +114,18 @@ def join_small_ids(big: DataFrame, ids: DataFrame, n_ids: int, keys: list[str],
     return big.join(ids.hint(hint), keys, how)
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame, n_chosen: int, most_chars: int | None = None) -> DataFrame:
+    """``chosen`` (doc_id and labels, ``n_chosen`` rows at most) with a text: of an id that repeats, the
+    text of least hash, so what is gathered follows the number of ids and not that of rows."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if most_chars is not None:
+        texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars)
+    others = [c for c in chosen.columns if c != "doc_id"]
+    found = join_small_ids(texts, chosen, n_chosen, ["doc_id"], row_bytes=8 + 4 * len(others))
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", *others)).alias("least")
+    return found.groupBy("doc_id").agg(least).select("doc_id", "least.text", *(f"least.{c}" for c in others))
+
+
 def fits_broadcast(spark: SparkSession, rows: int, row_bytes: int = 64) -> bool:
     """Whether so many rows stay under Spark's broadcast threshold."""
     return rows * row_bytes <= _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .common import join_small_ids, materialize, ship_code
+from .common import join_small_ids, materialize, numbered, ship_code
 
 RING = 1 << 20
 _SEED = 20231
@@ -208,30 +208,30 @@ def linked_forest(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
     return [(int(nodes[i]), int(nodes[root[i]])) for i in range(n) if root[i] != i]
 
 
-UNIT = ["u", "lo", "hi", "set", "block"]
+UNIT = "struct<u:long,lo:int,hi:int,block:int>"
 
 
-def held_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``wanted`` (set: a row number, and more columns) with the shingles of that row's text."""
-    carried = join_small_ids(rows.select(F.col("row").alias("set"), "text"), wanted, wanted.count(), ["set"])
-    others = [c for c in wanted.columns if c != "set"]
+def solved(rows: DataFrame, units: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links between blocks ``lo`` and ``hi`` of every unit ``u``.
+
+    ``units`` has set (the number of a row whose text has it), u, lo, hi and block. A text is read and
+    cut into shingles once, whatever the units that take its set, and its set is shuffled to those alone.
+    """
+    unit = F.struct(F.col("u"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), F.col("block").cast("int").alias("block"))
+    wanted = materialize(units.groupBy(F.col("set").alias("row")).agg(F.collect_set(unit).alias("units")), "op6-units")
+    carried = join_small_ids(rows.select("row", "text"), wanted, wanted.count(), ["row"])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = k.text_buffer(batch.column("text"))
+            raw, offsets = k.text_buffer(batch.column(2))
             for lo, hi in k.row_chunks(offsets):
                 sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
-                items = pa.array([x.tobytes() for x in sets], pa.binary())
-                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("set", *others)), items], names=["set", *others, "items"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "set")
-    return carried.select("set", *others, "text").mapInArrow(full_sets, f"set long, {fields}, items binary")
-
+                yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set", "units", "items"])
 
-def solve_units(units: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links between blocks ``lo`` and ``hi`` of every unit ``u``."""
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = units.select(*UNIT, "items").repartition(parts, "u", "lo", "hi").sortWithinPartitions("u", "lo", "hi")
+    held = carried.select("row", "units", "text").mapInArrow(full_sets, f"set long, units array<{UNIT}>, items binary")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.select("set", "items", F.explode("units").alias("x")).select("x.u", "x.lo", "x.hi", "set", "x.block", "items")
+    dealt = dealt.repartition(parts, "u", "lo", "hi").sortWithinPartitions("u", "lo", "hi")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -315,18 +315,15 @@ def confirmed_links(rows: DataFrame, sketches: DataFrame, sets: DataFrame, shing
     small = (F.col("docs") <= block_docs) & (F.col("shingles") <= block_shingles)
     members = materialize(members.join(totals.select("root", small.alias("small")), "root"), "op6-members")
     whole = members.where("small").select(F.col("root").alias("u"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "set", F.lit(0).alias("block"))
-    found = materialize(solve_units(held_sets(rows, whole, shingle), percent), "op6-links")
     large = members.where("not small").select("node", "set", "n")
-    if large.isEmpty():
-        return found
-    items = materialize(held_sets(rows, large.select("set", F.col("n").alias("size")), shingle), "op6-sets-held").select("set", "items")
     nodes = large.select("node").distinct()
     stars = star_units(large, links.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi"), block_docs, block_shingles)
-    stars = materialize(solve_units(stars.join(items, "set"), percent), "op6-stars")
+    found = materialize(solved(rows, whole.unionByName(stars), shingle, percent), "op6-links")
+    if large.isEmpty():
+        return found
     keys = sketches.where("keys is not null").join(nodes, "node", "left_semi").select("node", F.explode("keys").alias("key"))
-    buckets = bucket_units(large, keys, components(stars, name="op6-parts"), block_docs, block_shingles)
-    rest = materialize(solve_units(buckets.join(items, "set"), percent), "op6-rest")
-    return found.unionAll(stars).unionAll(rest)
+    buckets = bucket_units(large, keys, components(found, name="op6-parts"), block_docs, block_shingles)
+    return found.unionAll(materialize(solved(rows, buckets, shingle, percent), "op6-rest"))
 
 
 def near_duplicates(
@@ -334,13 +331,13 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id).
 
-    Rows need a number that stays the same when they are read again. ``row`` names a column of unique
-    longs in a stored table; without it the texts are written to the shared folder with one.
+    Rows need a number that stays the same when they are read again: a column ``row`` of unique longs
+    of a stored table, or else :func:`numbered` gives one.
     """
-    number = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
-    texts = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if row is None:
-        texts = materialize(texts, "op6-rows")
+        texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "op6-rows")
+    else:
+        texts = docs.select(F.col(row).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialize(sketch(texts, shingle, bands, rows), "op6-sketches")
     full = sketches.where("node is not null")
     sets = full.groupBy("node", "check").agg(F.min("row").alias("set"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
