@@ -2,17 +2,22 @@
 
 Every line is labelled good or bad. A line's features are figures of its own text and those of the
 lines before and after it, each figure cut into bins at quantiles of the training lines; the chain's
-transition weights tie neighbours. Training lines take their document's label. A document's score is
-the length-weighted mean of its lines' forward-backward marginals, mapped through a logistic curve
-that is fitted on the training documents' own labels.
-
-The model is fitted on at most ``most_docs`` labelled documents (those with the least hashed id),
-each with at most ``most_lines`` lines chosen evenly; the bound concerns the fit alone. All lines of
-all documents are scored.
-
-Null and empty texts are one empty line. Repeated rows are scored row by row, repeated labels of an
-id count once (the lowest). Rows without label or id are scored too. With no labels of one class the
-score is the share of the other (0.5 without labels). Other columns are never inputs.
+transition weights tie neighbours. Labels are given for documents only: a training line takes its
+document's label, so training chains never change label, and transitions learn how far neighbours
+speak for one another. The fit is maximum likelihood of the chains with a ridge, each document's
+likelihood weighted so that both classes weigh the same. A document's score is the length-weighted mean
+of its lines' forward-backward marginals, mapped through a logistic curve that is fitted on the
+training documents' own labels.
+
+The model is fitted on at most ``most_docs`` labelled documents (those with the least hashed id) of at most
+``most_chars`` characters, with all their lines; the bound concerns the fit alone. All lines of all
+documents are scored.
+
+Null and empty texts are one empty line. Very long texts are scored whole. Repeated rows are scored row by
+row; in the fit an id that repeats counts once, with the lowest of its labels and one of its texts. Rows
+without label or id are scored too. With no labels of one class the score is the share of the other (0.5
+without labels). An empty table gives no rows. Other columns are never inputs and pass through, but those
+named held_out, score or predicted are replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, join_small_ids, ship_code
+from .common import is_held_out, one_text_each, ship_code
 
 _NOT = {n: bytes(set(range(256)) - set(c)) for n, c in {"symbol": b"#*$%&<>{}[]=_~^@\\/", "upper": bytes(range(65, 91)), "digit": b"0123456789", "stop": b".,;:", "bang": b"!?", "bar": b"|"}.items()}
 FIGURES = (*_NOT, "length", "words", "word_length", "distinct", "repeats", "short", "seen", "ended")
@@ -88,8 +93,8 @@ def line_scores(bins: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> n
     return out
 
 
-def forward_backward(score: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Marginals of "good" per line (and expected transition counts), exact, in log-odds steps.
+def forward_backward(score: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, weights: np.ndarray | None = None):
+    """Marginals of "good" per line (and, with a weight for each text, expected transition counts), exact.
 
     Texts run in step, longest first; each step handles the texts that still have a line.
     """
@@ -117,9 +122,9 @@ def forward_backward(score: np.ndarray, offsets: np.ndarray, transitions: np.nda
         if b is not None:
             m = len(b)
             out = b * emit[rows[:m] + 1]
-            if pairs:
+            if weights is not None:
                 joint = ahead[rows[:m]][:, :, None] * t[None] * out[:, None, :]
-                counts += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                counts += (joint * (weights[order[:m]] / joint.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
             new[:m] = out @ t.T
         b = new / new.sum(axis=1, keepdims=True)
         behind[rows] = b
@@ -128,17 +133,16 @@ def forward_backward(score: np.ndarray, offsets: np.ndarray, transitions: np.nda
 
 
 def fit(figures: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, labels: np.ndarray, steps: int = 150, rate: float = 0.15, ridge: float = 1e-3) -> Model:
-    """Maximum likelihood by gradient ascent (Adam) with a ridge."""
+    """Maximum weighted likelihood by gradient ascent (Adam) with a ridge."""
     quantiles = np.quantile(figures, [0.5, 0.85, 0.97], axis=0).T.astype(np.float32)
     bins = binned(figures, quantiles)
     line_doc = np.repeat(np.arange(len(labels)), np.diff(offsets))
     want = labels[line_doc].astype(float)
     share = want.mean()
-    weight = np.where(want > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))[:, None]
+    weight = np.where(labels > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     seen = np.zeros((2, 2))
-    same = line_doc[1:] == line_doc[:-1]
     for x in (0, 1):
-        seen[x, x] = (same & (want[1:] == x)).sum()
+        seen[x, x] = ((np.diff(offsets) - 1) * weight)[labels == x].sum()
     theta = np.zeros(WIDTH + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     first = np.zeros(len(bins), bool)
@@ -147,8 +151,8 @@ def fit(figures: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, labels: np.
     n_lines = len(bins)
     for step in range(1, steps + 1):
         w, t = theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
-        p, counts = forward_backward(line_scores(bins, offsets, w), offsets, t, True)
-        gap = (want - p) * weight[:, 0]
+        p, counts = forward_backward(line_scores(bins, offsets, w), offsets, t, weight)
+        gap = (want - p) * weight[line_doc]
         g = np.zeros_like(theta)
         here = (bins + slot).ravel()
         width = len(FIGURES) * BINS
@@ -184,7 +188,7 @@ def document_odds(bins: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, mode
     return np.log(mean / (1 - mean))
 
 
-def training_lines(docs: DataFrame, labels: DataFrame, most_docs: int, most_lines: int, mod: int):
+def training_lines(docs: DataFrame, labels: DataFrame, most_docs: int, most_chars: int, mod: int):
     """(figures, offsets, sizes, labels) of the training documents."""
     held = is_held_out(F.col("doc_id"), mod)
     chosen = (
@@ -196,16 +200,14 @@ def training_lines(docs: DataFrame, labels: DataFrame, most_docs: int, most_line
         .limit(most_docs)
     )
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, quality int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = join_small_ids(texts, chosen, most_docs, ["doc_id"], row_bytes=12)
+    rows = one_text_each(docs, chosen, most_docs, most_chars)
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text in b.column("text").to_pylist():
                 f, sizes = text_figures(text)
-                keep = np.unique(np.linspace(0, len(f) - 1, min(len(f), most_lines)).astype(int))
-                out.append((f[keep].ravel(), sizes[keep]))
+                out.append((f.ravel(), sizes))
             yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.array([x for x, _ in out], pa.list_(pa.float32())), pa.array([x for _, x in out], pa.list_(pa.float64()))], names=["doc_id", "quality", "figures", "sizes"])
 
     found = rows.mapInArrow(figures, "doc_id long, quality int, figures array<float>, sizes array<double>").toPandas()
@@ -215,11 +217,11 @@ def training_lines(docs: DataFrame, labels: DataFrame, most_docs: int, most_line
     return join(found.figures, np.float32).reshape(-1, len(FIGURES)), np.cumsum([0, *lengths]), join(found.sizes, np.float64), found.quality.to_numpy(int)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_docs: int = 3000, most_lines: int = 40, mod: int = 4) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_docs: int = 3000, most_chars: int = 20_000, mod: int = 4) -> DataFrame:
     """The rows of ``docs`` with held_out, score (0 to 1) and predicted (1 if score >= threshold)."""
     ship_code(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
-    figures, offsets, sizes, wanted = training_lines(docs, labels, most_docs, most_lines, mod)
+    figures, offsets, sizes, wanted = training_lines(docs, labels, most_docs, most_chars, mod)
     model = fit(figures, offsets, sizes, wanted) if 0 < wanted.sum() < len(wanted) else None
     constant = float(wanted.mean()) if len(wanted) else 0.5
     at = docs.columns.index("text")
