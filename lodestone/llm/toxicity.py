@@ -3,16 +3,20 @@
 Categories are predicted one after another by logistic models. Each model sees the text's features
 and the probabilities of the earlier categories; in training these are out-of-fold predictions, so
 a later model learns from probabilities as it will meet them. The last category is ``toxic`` itself.
-Earlier ones are weak labels: a text labelled toxic that also matches the category's pattern.
+An earlier category is learned from the column of its name in ``labels`` where there is one. Where there
+is none, as in the tables at hand, its labels are weak: a text labelled toxic that also matches the
+category's pattern. Patterns mark training texts only; all scores come from the models.
 
 Features are words and word beginnings (5 to 7 bytes), chosen by the G-squared statistic of their
 document counts in labelled texts, counted over distinct words, with the text's length.
 
 The fit takes at most ``most_docs`` labelled documents (those with the least hashed id); all texts
-are scored whole. Null and empty texts have no features and get the model's base rate. Repeated rows
-are scored row by row, repeated labels of an id count once (the highest). Rows without label or id
-are scored. Without labels of both classes the score is the share of toxic labels (0 without any).
-Labels, lang, source and doc_id are never inputs. Extra columns pass through.
+are scored whole, very long ones too. Null and empty texts have no features and get the model's base rate.
+Repeated rows are scored row by row; in the fit an id that repeats counts once, with the highest of its
+labels and one of its texts. Features of equal statistic are taken by name. Rows without label or id are
+scored. Without labels of both classes the score is the share of toxic labels (0 without any). An empty
+table gives no rows. Labels, lang, source and doc_id are never inputs. Extra columns pass through, but
+those named held_out, predicted, score or p_<category> are replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, is_held_out, join_small_ids, ship_code
+from .common import id_remainder, is_held_out, materialize, one_text_each, ship_code
 
 # The chain's earlier categories and the words that mark them in a toxic text.
 CATEGORIES = {
@@ -54,25 +58,34 @@ class Features:
         self.words: dict[bytes, tuple[int, ...]] = {}
         self.most = most_words
 
-    def matrix(self, texts: list[str | None]) -> np.ndarray:
-        rows, columns = [], []
-        lengths = np.zeros(len(texts), np.float32)
-        for r, text in enumerate(texts):
+    def entries(self, texts: list[str | None]) -> tuple[list[list[int]], list[int]]:
+        """The columns that each text's distinct words count in, and the number of these words."""
+        columns, lengths = [], []
+        for text in texts:
             words = distinct_words(text)
-            lengths[r] = len(words)
+            lengths.append(len(words))
             if len(self.words) > self.most:
                 self.words = {}
-            seen = self.words
+            seen, own = self.words, []
             for w in words:
                 found = seen.get(w)
                 if found is None:
                     found = seen[w] = tuple(self.column[f] for f in word_features(w) if f in self.column)
-                if found:
-                    columns += found
-                    rows += [r] * len(found)
-        width = len(self.column)
-        counts = np.bincount(np.array(rows, np.int64) * width + np.array(columns, np.int64), minlength=len(texts) * width).reshape(len(texts), width)
-        return np.column_stack([np.log1p(counts), np.log1p(lengths) / 8, np.ones(len(texts))]).astype(np.float32)
+                own += found
+            columns.append(own)
+        return columns, lengths
+
+    def matrix(self, texts: list[str | None]) -> np.ndarray:
+        return dense(*self.entries(texts), len(self.column))
+
+
+def dense(columns: list, lengths: list[int], width: int) -> np.ndarray:
+    """Rows of the models' inputs from what :meth:`Features.entries` gives."""
+    n = len(columns)
+    row = np.repeat(np.arange(n), [len(c) for c in columns])
+    flat = np.concatenate([np.asarray(c, np.int64) for c in columns]) if n else np.zeros(0, np.int64)
+    counts = np.bincount(row * width + flat, minlength=n * width).reshape(n, width)
+    return np.column_stack([np.log1p(counts), np.log1p(np.array(lengths, np.float32)) / 8, np.ones(n)]).astype(np.float32)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, masks: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 2e-4) -> np.ndarray:
@@ -129,18 +142,19 @@ def apply_chain(x: np.ndarray, chain: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, most_docs: int, mod: int) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, categories: list[str], most_docs: int, mod: int) -> DataFrame:
+    """doc_id, text, toxic and, for each category that ``labels`` has, its label."""
+    known = ["toxic", *(c for c in categories if c in labels.columns)]
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
         .where(~is_held_out(F.col("doc_id"), mod))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .agg(*(F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in known))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_docs)
     )
-    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return join_small_ids(texts, chosen, most_docs, ["doc_id"], row_bytes=12)
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, " + ", ".join(f"{c} int" for c in known))
+    return materialize(one_text_each(docs, chosen, most_docs), "op1-labelled")
 
 
 def choose_features(texts: DataFrame, most_features: int, least_docs: int = 4) -> list[bytes]:
@@ -155,18 +169,15 @@ def choose_features(texts: DataFrame, most_features: int, least_docs: int = 4) -
             yield pa.record_batch([pa.array(names, pa.binary()), pa.array([counts[0][n] for n in names], pa.int64()), pa.array([counts[1][n] for n in names], pa.int64())], names=["feature", "clean", "toxic"])
 
     counts = texts.select("text", "toxic").mapInArrow(count, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where(F.col("clean") + F.col("toxic") >= least_docs).cache()
+    counts = materialize(counts.where(F.col("clean") + F.col("toxic") >= least_docs), "op1-features")
     totals = counts.where(F.length("feature") == 0).first()
     if totals is None or not totals["clean"] or not totals["toxic"]:
-        counts.unpersist()
         return []
     n0, n1 = float(totals["clean"]), float(totals["toxic"])
     share = (F.col("clean") + F.col("toxic")) / (n0 + n1)
     term = lambda seen, n, p: F.when(seen > 0, seen * F.log(seen / (n * p))).otherwise(0.0) + F.when(n > seen, (n - seen) * F.log((n - seen) / (n * (1 - p)))).otherwise(0.0)
     ranked = counts.where(F.length("feature") > 0).where(share < 1).withColumn("g", term(F.col("clean"), F.lit(n0), share) + term(F.col("toxic"), F.lit(n1), share))
-    names = [bytes(r["feature"]) for r in ranked.orderBy(F.desc("g"), "feature").limit(most_features).collect()]
-    counts.unpersist()
-    return names
+    return [bytes(r["feature"]) for r in ranked.orderBy(F.desc("g"), "feature").limit(most_features).collect()]
 
 
 def score_toxicity(
@@ -179,25 +190,29 @@ def score_toxicity(
     ship_code(docs.sparkSession)
     names = [*(f"p_{c}" for c in categories), "score"]
     docs = docs.drop("held_out", "predicted", *names)
-    texts = labelled_texts(docs, labels, most_docs, mod)
+    texts = labelled_texts(docs, labels, list(categories), most_docs, mod)
     chosen = choose_features(texts, most_features)
-    patterns = [re.compile(p, re.IGNORECASE) for p in categories.values()]
+    patterns = {c: re.compile(p, re.IGNORECASE) for c, p in categories.items() if c not in texts.columns}
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(chosen)
         for b in batches:
-            own = b.column("text").to_pylist()
-            x = features.matrix(own)
-            hits = [[int(bool(p.search(t or ""))) for p in patterns] for t in own]
-            yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(list(x), pa.list_(pa.float32())), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "toxic", "x", "hits"])
-
-    found = texts.mapInArrow(rows_of, "doc_id long, toxic int, x array<float>, hits array<int>").withColumn("fold", id_remainder(F.col("doc_id"), 4093) % FOLDS).toPandas().sort_values("doc_id", kind="stable")
-    toxic = found.toxic.to_numpy(np.float64)
+            own, toxic = b.column("text").to_pylist(), b.column("toxic").to_pylist()
+            columns, lengths = features.entries(own)
+            target = []
+            for c in categories:
+                marked = b.column(c).to_pylist() if c not in patterns else [int(bool(y and patterns[c].search(t or ""))) for t, y in zip(own, toxic, strict=True)]
+                target.append(pa.array(marked, pa.int32()))
+            yield pa.record_batch([b.column("doc_id"), pa.array(columns, pa.list_(pa.int32())), pa.array(lengths, pa.int32()), *target, b.column("toxic")], names=["doc_id", "columns", "lengths", *targets])
+
+    targets = [f"y{i}" for i in range(len(categories) + 1)]
+    found = texts.mapInArrow(rows_of, "doc_id long, columns array<int>, lengths int, " + ", ".join(f"{y} int" for y in targets))
+    found = found.withColumn("fold", id_remainder(F.col("doc_id"), 4093) % FOLDS).toPandas().sort_values("doc_id", kind="stable")
+    toxic = found[targets[-1]].to_numpy(np.float64)
     chain: list[np.ndarray] = []
     if chosen and 0 < toxic.sum() < len(toxic):
-        hits = np.stack(found.hits.to_numpy()).reshape(len(found), len(patterns))
-        targets = [toxic * hits[:, i] for i in range(len(patterns))] + [toxic]
-        chain, apart = fit_chain(np.stack(found.x.to_numpy()).astype(np.float32), targets, found.fold.to_numpy(int))
+        x = dense(found["columns"].to_list(), found.lengths.to_list(), len(chosen))
+        chain, apart = fit_chain(x, [found[y].to_numpy(np.float64) for y in targets], found.fold.to_numpy(int))
         threshold = best_threshold(apart, toxic) if threshold is None else threshold
     constant = float(toxic.mean()) if len(toxic) else 0.0
     at = docs.columns.index("text")
