@@ -8,11 +8,11 @@ sentences go on in the licence itself. The identifiers that a text holds, in ord
 against ordered rules: a rule is a sequence of identifiers that must follow one another. A rule whose
 match is part of a longer rule's match, by listing the longer one first, yields to it.
 
-``n_sentences`` counts pieces between newlines and marks of punctuation, as the SQL twin does. The
-twin compares single pieces only: it is held equal on tables whose notices stand in one piece.
+``n_sentences`` counts pieces between newlines and marks of punctuation.
 
-Null and empty texts have no sentences. Repeated rows are answered row by row. Extra columns are not
-read.
+Null and empty texts have no sentences. A text of any length is one stream. Of two known sentences that
+begin at one mark the longer wins; licences are listed in the order of the rules. Repeated rows are
+answered row by row. An empty table gives no rows. Extra columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -95,8 +95,9 @@ _HINT = r"(?i)licen|releas|permi|warrant|redistribut|rights|copyright|free|eithe
 #: Text to stream, in order. Each pattern takes a run from its first character on, so none backtracks far.
 _STEPS = (
     (r"(?m)^[ \t]*(?:dnl|rem)\b", " "),
-    (r"[;:](?=[ \t])|(?<=\bv)\.(?=[ \t\n])", "Y"),
-    (r"[.!?](?=[ \t\n])", "X"),
+    (r"[;:]([ \t])", "Y$1"),
+    (r"\bv\.([ \t\n])", "vY$1"),
+    (r"[.!?]([ \t\n])", "X$1"),
     (r"\n", "N"),
     (r"[^a-z0-9XYN]+", " "),
     (r"N[ YN]*N", "X"),
@@ -107,11 +108,15 @@ _STEPS = (
 )
 
 
-def _pattern() -> str:
+def _pattern(gap: str = " ", mark: str = "Y", run_on: str = "(?= )", stop: str = "(?= [XY] )") -> str:
     """Known sentences, the longest first; a list's number may stand before one."""
     every = {s: i in RUN_ON for s, i in _KNOWN.items()} | {s: False for s in _WHOLE}
-    ends = {True: "(?= )", False: "(?= [XY] )"}
-    return "[XY] (?:[0-9]{1,2} )?(" + "|".join("(?:Y )?".join(f"{w} " for w in s.split())[:-1] + ends[e] for s, e in sorted(every.items(), key=lambda x: -len(x[0]))) + ")"
+    forms = []
+    for s, goes_on in sorted(every.items(), key=lambda x: -len(x[0])):
+        *words, last = s.split()
+        forms.append("".join(f"{w}{gap}(?:{mark}{gap})?" for w in words) + last + (run_on if goes_on else stop))
+    return f"[XY]{gap}(?:[0-9]{{1,2}}{gap})?(" + "|".join(forms) + ")"
+
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids (joined, in order), licenses (distinct, in the
@@ -123,7 +128,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         stream = F.regexp_replace(stream, old, new)
     table = F.create_map(*[F.lit(x) for kv in (_KNOWN | _WHOLE).items() for x in kv])
     said = F.when(text.rlike(_HINT), F.regexp_extract_all(stream, F.lit(_pattern()), F.lit(1)))
-    names = F.transform(said, lambda s: F.split(F.try_element_at(table, F.regexp_replace(s, " Y ", " ")), ","))
+    names = F.transform(said, lambda s: F.split(F.try_element_at(table, F.trim(F.regexp_replace(s, "[ XY]+", " "))), ","))
     ids = F.coalesce(F.flatten(names), F.array().cast("array<string>"))
     count = F.size(F.filter(pieces, lambda s: s.rlike("[A-Za-z0-9]"))).cast("long")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), count.alias("n_sentences"), ids.alias("ids"))
@@ -146,7 +151,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    values = ", ".join(f"('{s}', '{i}')" for s, i in _KNOWN.items())
+    """The same in SQL. Its expressions look neither ahead nor behind, so gaps and marks are doubled: one
+    match takes the first half of the mark that ends it, the next match begins with the second."""
+    values = ", ".join(f"('{s}', '{i}')" for s, i in (_KNOWN | _WHOLE).items())
+    stream = "chr(10) || lower(body) || chr(10) || chr(10)"
+    for old, new in (*_STEPS, (" ", "  "), ("([XY])", "$1$1")):
+        stream = f"regexp_replace({stream}, '{old}', '{new.replace('$', chr(92))}', 'g')"
+    pattern = _pattern("  ", "YY", " ", "  [XY]")
     steps, last = [], "j"
     for n, (_, seq) in enumerate(RULES):
         run = ",,".join(seq)
@@ -155,10 +166,12 @@ def oracle() -> str:
     names = ", ".join(f"case when hit{n} then '{name}' end" for n, (name, _) in enumerate(RULES))
     return rf"""
 with known(s, id) as (values {values}),
-p as (select row_number() over () rid, doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[A-Za-z0-9]')) ss from documents),
-e as (select rid, i, trim(regexp_replace(lower(ss[i]), '[^a-z0-9]+', ' ', 'g')) s from p, unnest(range(1, len(ss) + 1)) u(i)),
-k as (select rid, list(id order by i) ids from e join known using (s) group by rid),
-j as (select doc_id, len(ss)::bigint n_sentences, coalesce(ids, []) ids,
+d as (select row_number() over () rid, doc_id, coalesce(text, '') body from documents),
+p as (select rid, doc_id, len(list_filter(string_split(regexp_replace(body, '([.;:!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[A-Za-z0-9]')))::bigint n_sentences,
+             regexp_extract_all({stream}, '{pattern}', 1) said from d),
+e as (select rid, i, trim(regexp_replace(said[i], '[ XY]+', ' ', 'g')) s from p, unnest(range(1, len(said) + 1)) u(i)),
+k as (select rid, string_split(string_agg(id, ',' order by i), ',') ids from e join known using (s) group by rid),
+j as (select doc_id, n_sentences, coalesce(ids, []) ids,
              ',' || array_to_string(list_transform(coalesce(ids, []), lambda x: x || ','), ',') rest0 from p left join k using (rid)),
 {", ".join(steps)},
 o as (select doc_id, n_sentences, ids, list_filter([{names}], lambda x: x is not null) all_names from {last})
