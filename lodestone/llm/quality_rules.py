@@ -5,9 +5,10 @@ the mean of all hosts with a beta prior whose two parameters are fitted to the h
 method of moments, so a host with few documents is not judged on them alone. A host whose shrunk
 rate is above ``max_rate`` is rejected, and its documents with it.
 
-Null texts have no words and fail the base rule. Rows without a host get no host verdict. Repeated
-rows count as often as they occur. Extra columns are not read. An empty table gives no rows. Very
-long texts stay within their row: windows are compared by 64-bit hashes, which sort in n log n.
+Null texts have no words and fail the base rule. Rows without a host get no host verdict, and a host
+named ``null`` is a host. Repeated rows count as often as they occur. A rate equal to ``max_rate`` is
+kept. Extra columns, of whatever name, are not read. An empty table gives no rows. Very long texts stay
+within their row: windows are compared by 64-bit hashes, which sort in n log n.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small_ids, materialize, null_safe_key
+from .common import join_small_ids, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -90,12 +91,11 @@ def host_rates(figures: DataFrame, least_strength: float = 1.0, most_strength: f
 
 def quality_rules(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """Base figures with ``base_failed``, ``host_rate`` and ``kept`` for every row."""
-    figures = materialize(base_figures(docs), "op10-figures").withColumn("host_key", null_safe_key(F.col("host")))
-    rates = materialize(host_rates(figures), "op10-rates")
-    verdicts = rates.select(null_safe_key(F.col("host")).alias("host_key"), "host_rate")
-    joined = join_small_ids(figures, verdicts, verdicts.count(), ["host_key"], "left")
-    rejected = F.coalesce((F.col("host_rate") > max_rate) & F.col("host").isNotNull(), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("host_key", "host")
+    figures = materialize(base_figures(docs), "op10-figures")
+    verdicts = materialize(host_rates(figures).select("host", "host_rate"), "op10-rates")
+    joined = join_small_ids(figures, verdicts, verdicts.count(), ["host"], "left")
+    rejected = F.coalesce(F.col("host_rate") > max_rate, F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("host")
 
 
 ORACLE = r"""

@@ -86,7 +86,7 @@ def test_rules_equal_brute_force(spark):
 
 def test_rejected_host(spark):
     good, bad = [(i, prose(i, 50), "good") for i in range(40)], [(100 + i, "too short", "bad") for i in range(39)] + [(200, prose(9, 60), "bad")]
-    docs = spark.createDataFrame(good + bad + [(300, prose(3, 60), None), (301, None, None)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame(good + bad + [(300, prose(3, 60), None), (301, None, None), (302, prose(4, 60), "null")] + [(400 + i, None, "null") for i in range(40)], "doc_id long, text string, source string")
     kept = {r.doc_id for r in quality_rules.quality_rules(docs).where("kept").collect()}
     assert kept == {*range(40), 300}
     assert quality_rules.quality_rules(docs.limit(0)).collect() == []
@@ -137,9 +137,22 @@ def test_real_license_headers(spark):
             want[len(rows)] = name
             rows.append((len(rows), form))
     rows += [(900, "Not released under the\nMIT License."), (901, "Released under the. MIT License."), (902, "Released under the\n\nMIT License."), (903, "; : . " * 5000 + "free " + "=" * 20000 + "\n" * 20000)]
-    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs_frame(spark, rows)).collect()}
+    stars = "*" * 300
+    rows += [(904, f"{stars} All rights reserved {stars}"), (905, f"{stars}\n* All rights *\n* reserved. *\n{stars}"), (906, "x\n" + "#" * 500 + "\nReleased under the MIT License\n" + "#" * 500)]
+    docs = docs_frame(spark, rows)
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()}
     assert {i: got[i] for i in want} == want
-    assert [got[i] for i in (900, 901, 902, 903)] == [""] * 4
+    assert [got[i] for i in range(900, 907)] == [""] * 4 + ["Proprietary", "Proprietary", "MIT"]
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text").toPandas()
+    con.register("documents", documents)
+    twin = con.execute(licenses.oracle()).df()
+    frame = licenses.scan_licenses(docs).toPandas()[list(twin.columns)]
+    assert sorted(map(str, frame.values.tolist())) == sorted(map(str, twin.values.tolist()))
+
+
+def test_every_known_sentence_meets_the_hint():
+    assert all(re.search(licenses._HINT[4:], s) for s in licenses._KNOWN | licenses._WHOLE)
 
 
 def test_sql_twins(spark):
