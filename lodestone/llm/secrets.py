@@ -155,7 +155,8 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.set_column(at, b.schema.field(at), pa.array([mask_text(x.as_py()) for x in b.column(at)], b.schema.field(at).type))
 
-    masked = docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
+    masked = plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return masked

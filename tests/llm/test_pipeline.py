@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestone.llm.bpe import load
 from lodestone.llm.queries import VOCABULARY
@@ -64,3 +66,17 @@ def test_rows_are_judged_by_themselves(spark, tmp_path):
         always = {(7, texts[1]), (7, texts[2]), (None, texts[0]), (None, texts[4]), (9, texts[5]), (7, passage)}
         assert always <= got and len(kept) == len(got) == 7
         assert len(got & {(None, texts[3]), (None, edited(texts[3], 2, 120))}) == 1
+
+
+def test_columns_that_clash_keep_their_values(spark):
+    """A user's columns pass every stage, even those named like a column that an operator uses."""
+    sf = "/root/testdata/sf0.001"
+    names = ["key", "body", "score", "held_out", "predicted", "ids", "decoded", "n_tokens", "row", "host", "component_id", "kept", "starts", "a.b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    assert out.columns[-3:] == ["n_tokens_", "ids_", "round_trip"]
