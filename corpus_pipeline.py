@@ -2,14 +2,15 @@
 
 Each stage takes what the stage before it kept. Quality, near duplicates and decontamination drop
 documents; the secret scan masks secrets in the text; the last stage adds token ids. Every row is
-judged by itself: ids may be null or repeat.
+judged by itself: ids may be null or repeat. Extra columns pass through all stages with their values,
+whatever their names. Very long texts are taken whole everywhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe
@@ -23,16 +24,36 @@ from lodestone.llm.secrets import mask_secrets
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns but doc_id and text under names that no operator uses."""
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"held{i}_") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+
+
+def restored(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, in its order, from a frame of :func:`apart`."""
+    return [F.col(c if c in ("doc_id", "text") else f"held{i}_").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; rows without id are judged like others."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier accepts. Each row is judged by its own text: null and
+    repeated ids are no matter, a null text is one empty line. An empty table stays empty."""
+    return score_quality(apart(docs), table(spark, sf_dir, "labels")).where("predicted = 1").select(*restored(docs))
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one of least id, and of rows with that id (or of
-    rows without id where no row of the group has one) the first. Decisions are joined by row."""
-    rows = numbered(docs, "dedup-rows")
-    found = materialize(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")), "dedup-found")
+    rows without id where no row of the group has one) the first. Rows whose text is null, empty or
+    without words are groups of their own, repeated or not. Decisions are joined by row, so ids may be
+    null or repeat; an empty table stays empty."""
+    rows = numbered(apart(docs), "dedup-rows")
+    found = materialize(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text", "row"), row="row"), "dedup-found")
     groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
     grouped = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"))
@@ -40,27 +61,33 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
     kept = grouped.groupBy("component_id").agg(first.alias("row")).select("row")
     dropped = materialize(grouped.select("row").join(kept, "row", "left_anti"), "dedup-dropped")
-    return join_small_ids(rows, dropped, dropped.count(), ["row"], "left_anti").select(*docs.columns)
+    return join_small_ids(rows, dropped, dropped.count(), ["row"], "left_anti").select(*restored(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark passage by the contamination rule, each judged by its own text."""
-    rows = numbered(docs, "decontaminate-rows")
+    """Rows that hold no benchmark passage by the contamination rule, each judged by its own text. Null
+    and empty texts hold none. Decisions are joined by row; an empty table stays empty."""
+    rows = numbered(apart(docs), "decontaminate-rows")
     found = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("row")), "contaminated")
-    return join_small_ids(rows, bad, bad.count(), ["row"], "left_anti").select(*docs.columns)
+    return join_small_ids(rows, bad, bad.count(), ["row"], "left_anti").select(*restored(docs))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their text."""
+    """All rows, with secrets masked in their text and n_chars set anew. Null texts stay null."""
     return mask_secrets(docs)
 
 
 def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids and whether decoding gives the text back."""
-    coded = bpe.encode_and_decode(docs, VOCABULARY)
+    """All rows with their token ids and whether decoding gives the text back; a null text is empty.
+
+    The new columns are n_tokens, ids and round_trip; where the table has such a name already, its
+    column stays and the new one gets an underscore behind its name.
+    """
+    coded = bpe.encode_and_decode(apart(docs), VOCABULARY)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return coded.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    new = {"n_tokens": F.size("ids").cast("long"), "ids": F.col("ids"), "round_trip": same}
+    return coded.select(*restored(docs), *(c.alias(free_name(n, docs.columns)) for n, c in new.items()))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
