@@ -399,7 +399,7 @@ def train(fit: DataFrame, v: Vocabulary, states: int, warm_rounds: int, warm_sha
 
 
 def score_texts(
-    docs: DataFrame, states: int = 8, most_words: int = 65_536, warm_rounds: int = 8, warm_share: float = 1 / 16, most_rounds: int = 8, least_gain: float = 1e-3, strength: float = 5.0, run: int = 512, mod: int = 7
+    docs: DataFrame, states: int = 8, most_words: int = 65_536, warm_rounds: int = 4, warm_share: float = 1 / 16, most_rounds: int = 6, least_gain: float = 5e-3, strength: float = 5.0, run: int = 512, mod: int = 7
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
