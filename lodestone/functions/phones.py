@@ -79,9 +79,10 @@ STRESS_LEVEL = {"": 0.0, "0": 0.0, "2": 0.5, "1": 1.0}
 PIVOT_LENGTH, LEAST_LENGTH = 8, 4
 # Clusters that may open a syllable.
 ONSETS = {
-    tuple(c.split())
-    for c in """S P R/S P L/S T R/S K R/S K W/S K L/S P Y/S T Y/S K Y/P R/B R/T R/D R/K R/G R/F R/TH R/SH R/P L/B L/K L/G L/F L/S L/T W/D W/K W/G W/S W/TH W/P Y/B Y/K Y/G Y/F Y/V Y/M Y/N Y/HH Y/L Y/S P/S T/S K/S M/S N/S F/Z L/V R/DH R""".split("/")
-}
+    "S P R", "S P L", "S T R", "S K R", "S K W", "S K L", "S P Y", "S T Y", "S K Y", "P R", "B R", "T R", "D R", "K R", "G R", "F R", "TH R", "SH R",
+    "P L", "B L", "K L", "G L", "F L", "S L", "T W", "D W", "K W", "G W", "S W", "TH W", "P Y", "B Y", "K Y", "G Y", "F Y", "V Y", "M Y", "N Y",
+    "HH Y", "L Y", "S P", "S T", "S K", "S M", "S N", "S F", "Z L", "V R", "DH R",
+}
 
 
 def _features() -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], set[str]]:
@@ -161,14 +162,22 @@ def cost_tables(refs: list[list[int]], hyps: list[list[int]]) -> tuple[np.ndarra
     return table, r, n, h, m
 
 
+def opening(consonants: list[str]) -> int:
+    """How many of the consonants between two vowels open the second one's syllable."""
+    tails = [" ".join(consonants[-n:]) for n in (3, 2)]
+    return next((len(t.split()) for t in tails if t in ONSETS), 1 if consonants else 0)
+
+
 def syllable_starts(ref: list[int]) -> list[int]:
-    """Where each syllable begins; as much of a cluster as may open a syllable goes to the right."""
-    nuclei = [i for i, c in enumerate(ref) if IS_VOWEL[c]]
-    starts = [0]
-    for left, right in zip(nuclei, nuclei[1:], strict=False):
-        cluster = tuple(TOKENS[c] for c in ref[left + 1 : right])
-        fits = [k for k in (3, 2) if len(cluster) >= k and cluster[-k:] in ONSETS]
-        starts.append(right - (fits[0] if fits else min(1, len(cluster))))
+    """Where each syllable begins: a vowel takes the longest allowed opening from the consonants before it."""
+    starts, between, spoken = [0], [], False
+    for place, code in enumerate(ref):
+        if not IS_VOWEL[code]:
+            between.append(TOKENS[code])
+            continue
+        if spoken:
+            starts.append(place - opening(between))
+        between, spoken = [], True
     return starts
 
 
