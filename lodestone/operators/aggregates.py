@@ -86,8 +86,16 @@ def sensitivity(rows: DataFrame, digits: int = 9) -> DataFrame:
     )
 
 
-def panel_median(scores: DataFrame, keys: list[str], score: str, least: int = 3) -> DataFrame:
-    """Median, spread and unanimity of odd panels of at least ``least`` judges (a panel is small)."""
+def panel_median(scores: DataFrame, keys: list[str], score: str, least: int = 3, judge: str | None = None) -> DataFrame:
+    """Median, spread and unanimity of odd panels of at least ``least`` judges (a panel is small).
+
+    A judge that scores an item twice, or a score outside 0 to 5, is an error.
+    """
+    if judge is not None:
+        twice = scores.groupBy(*keys, judge).agg(F.count(F.lit(1)).alias("_n"), F.first(score).alias(score))
+        scores = twice.where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit("a judge scored an item twice")).cast("boolean")))
+    legal = F.coalesce(F.col(score).between(0, 5), F.lit(False))
+    scores = scores.where(F.when(legal, True).otherwise(F.raise_error(F.lit("a score is not between 0 and 5")).cast("boolean")))
     g = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(score)).alias("xs")).where((F.col("n") >= least) & (F.col("n") % 2 == 1))
     low, high = F.get("xs", F.lit(0)), F.get("xs", F.size("xs") - 1)
     return g.select(*keys, "n", F.get("xs", F.floor(F.size("xs") / 2).cast("int")).alias("median"), (high - low).alias("spread"), (high == low).alias("unanimous"))
@@ -187,9 +195,13 @@ def weakest(tier: Column, order: list[str]) -> Column:
 
 
 def duplicate_groups(rows: DataFrame, content: Column, member: str) -> DataFrame:
-    """digest, n, members (sorted) of contents that more than one member shares."""
-    g = rows.groupBy(F.sha2(content, 256).alias("digest")).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    return g.where(F.size("members") > 1).select("digest", F.size("members").cast("long").alias("n"), "members")
+    """digest, n, member: contents that more than one member shares, one row for each member.
+
+    A group may have any number of members, so they are rows and not an array.
+    """
+    each = rows.select(F.sha2(content, 256).alias("digest"), F.col(member).alias("member")).distinct()
+    shared = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return each.join(shared, "digest").select("digest", "n", "member")
 
 
 def rate_outliers(rows: DataFrame, group: str, rate: Column, low: float = 0.5, high: float = 2.0) -> DataFrame:

@@ -21,6 +21,10 @@ class Retry:
     factor: float = 2.0
     most_s: float = 30.0
 
+    def wait(self, tried: int) -> float:
+        """Seconds before the next try, after so many."""
+        return min(self.initial_s * self.factor ** (tried - 1), self.most_s)
+
 
 RECORD = "item_id string, system_id string, text_sha256 string, status string, error string, attempt_count int, latency_ms double, seconds double, cost_usd double, seq long"
 
@@ -58,6 +62,8 @@ class Provider:
                 error = type(e).__name__
                 if not getattr(e, "transient", False):
                     break
+                if tried < self.retry.attempts:
+                    time.sleep(self.retry.wait(tried))
         return {
             "item_id": item_id, "system_id": self.system_id, "text_sha256": hashlib.sha256(text.encode()).hexdigest(), "status": "ok" if error is None else "error", "error": error,
             "attempt_count": tried, "latency_ms": (time.monotonic() - began) * 1e3, "seconds": seconds, "cost_usd": (seconds or 0.0) * self.price_per_second, "seq": seq,
@@ -68,6 +74,7 @@ class Mock(Provider):
     """Seconds from the text's digest; every seventh item fails once, every 31st for good."""
 
     system_id, price_per_second = "mock", 0.001
+    retry = Retry(initial_s=0.001)
 
     class Busy(RuntimeError):
         transient = True
@@ -91,12 +98,13 @@ def run_batch(work: DataFrame, manifest: DataFrame, provider: str, parallel: int
     answers are asked for at once.
     """
     build_provider(provider)  # an unknown one fails before any work
+    make = PROVIDERS[provider]  # goes to the executors, whose own registry lacks the caller's providers
     records = manifest.withColumn("path", F.lit(None).cast("string"))
     todo = resumable(work, records, "item_id", "text").where(~F.col("eligible")).select("item_id", "text")
     after = (manifest.agg(F.max("seq").alias("s")).first()["s"] or 0) + 1
 
     def answers(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = build_provider(provider)
+        p = make()
         for part in parts:
             yield pd.DataFrame([p.run(i, t, after) for i, t in zip(part.item_id, part.text, strict=True)], columns=[c.split(" ")[0] for c in RECORD.split(", ")])
 

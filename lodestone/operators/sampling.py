@@ -11,26 +11,40 @@ def hash_order(key: Column, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed: str, floor: int = 1) -> DataFrame:
-    """``size`` rows: at least ``floor`` of each stratum, the rest in proportion, remainders to the
-    largest fractions. Within a stratum rows are taken in hash order.
-
-    Strata are few; their counts are a small frame. Rows are numbered within their stratum after the
-    number that can be taken is known, so a large stratum keeps only its first rows (group limit).
+def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed: str, floor: int = 1, forced: Column | None = None, least_forced: int = 0) -> DataFrame:
+    """``size`` rows: ``floor`` of each stratum (or all it has), the others in proportion to what the
+    strata have beyond the floor, remainders to the largest fractions. In a stratum hash order decides.
+
+    If fewer than ``least_forced`` of them are ``forced``, the first forced rows in hash order that were not
+    taken come in and the last taken ones that are not forced go. Floors beyond ``size`` are an error.
+    Strata are few; their counts are a small frame. A stratum keeps its first ``size`` rows at most before
+    the allocation is known (group limit).
     """
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy()  # one row for each stratum
-    base = F.least(F.col("n"), F.lit(floor))
-    counts = counts.withColumns({"base": base, "total": F.sum("n").over(whole)})
-    counts = counts.withColumn("spare", F.greatest(F.lit(0), F.lit(size) - F.sum("base").over(whole)))
-    exact = F.col("spare") * F.col("n") / F.col("total")
-    counts = counts.withColumns({"extra": F.floor(exact), "fraction": exact - F.floor(exact)})
-    counts = counts.withColumn("left", F.col("spare") - F.sum("extra").over(whole))
+    counts = counts.withColumn("base", F.least(F.col("n"), F.lit(floor)))
+    left = F.lit(size) - F.sum("base").over(whole)
+    checked = F.when(left < 0, F.raise_error(F.lit("the floors need more rows than the sample has")).cast("long")).otherwise(left)
+    counts = counts.withColumns({"spare": F.col("n") - F.col("base"), "left": checked})
+    exact = F.when(F.sum("spare").over(whole) > 0, F.col("spare") * F.col("left") / F.sum("spare").over(whole)).otherwise(0.0)
+    counts = counts.withColumn("exact", F.least(exact, F.col("spare")))
+    counts = counts.withColumns({"extra": F.floor("exact"), "fraction": F.col("exact") - F.floor("exact")})
+    counts = counts.withColumn("over", F.col("left") - F.sum("extra").over(whole))
     turn = F.row_number().over(Window.orderBy(F.desc("fraction"), stratum))
-    quota = counts.select(stratum, F.least(F.col("n"), F.col("base") + F.col("extra") + (turn <= F.col("left")).cast("int")).alias("quota"))
-    ordered = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)
-    numbered = rows.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= size)
-    return numbered.join(F.broadcast(quota), stratum).where(F.col("place") <= F.col("quota"))
+    quota = counts.select(stratum, F.least(F.col("n"), F.col("base") + F.col("extra") + (turn <= F.col("over")).cast("int")).alias("quota"))
+    keyed = rows.withColumn("_order", hash_order(F.col(key), seed))
+    numbered = keyed.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("_order", key))).where(F.col("place") <= size)
+    chosen = numbered.join(quota, stratum).where(F.col("place") <= F.col("quota")).drop("quota")
+    if forced is None or not least_forced:
+        return chosen.drop("_order")
+    short = chosen.agg(F.greatest(F.lit(least_forced) - F.count_if(forced), F.lit(0)).alias("_short"))
+    pool = keyed.where(forced).join(chosen.select(key), key, "left_anti").orderBy("_order", key).limit(least_forced)
+    pool = pool.withColumn("place", F.row_number().over(Window.orderBy("_order", key)))
+    come = pool.join(F.broadcast(short)).where(F.col("place") <= F.col("_short")).drop("_short")
+    last = F.row_number().over(Window.orderBy(forced, F.desc(stratum), F.desc("_order"), F.desc(key)))  # at most ``size`` rows
+    gone = chosen.withColumn("_last", last).join(F.broadcast(come.agg(F.count(F.lit(1)).alias("_n"))))
+    stay = gone.where(forced | (F.col("_last") > F.col("_n"))).drop("_last", "_n")
+    return stay.unionByName(come).drop("_order")
 
 
 def era(rows: DataFrame, key: str, date: Column, cutoff: str, hit: Column) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import phones
+from lodestone.functions.notation import as_letters
+from lodestone.sources.tables import stored
+
 
 def unit(vector: Column) -> Column:
     """The vector over its norm (plus a hair, so a null vector is no division by zero)."""
@@ -16,29 +22,47 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+FRAMES = 256
+
+BEST = "struct<rows: array<double>, columns: array<double>>"
+
+
+def _best_matches(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """For every pair of frame blocks the best match of each row and of each column."""
+    rows, columns = [], []
+    for x, y in zip(a, b, strict=True):
+        product = np.stack(x) @ np.stack(y).T
+        rows.append(product.max(axis=1))
+        columns.append(product.max(axis=0))
+    return pd.DataFrame({"rows": rows, "columns": columns})
+
+
 def max_similarity(frames_a: DataFrame, frames_b: DataFrame, pairs: DataFrame, digits: int = 6) -> DataFrame:
     """a, b, precision, recall, f1 of each pair of clips in ``pairs`` (a, b).
 
-    Frames are (clip, frame, v) with unit vectors. A pair's frames of one side are gathered in an
-    array only on the ``b`` side, in parts of 256 frames; each a-frame meets those parts, so the
-    pairwise products are never rows.
+    Frames are (clip, frame, v) with unit vectors. A clip's frames are packed in blocks of ``FRAMES`` at
+    most; a pair's blocks meet in an equality join and are compared by one matrix product each, so
+    neither a whole clip nor the pairwise products are ever rows of one task.
     """
-    part = F.floor(F.row_number().over(Window.partitionBy("clip").orderBy("frame")) / 257)
-    packed = frames_b.withColumn("part", part).groupBy(F.col("clip").alias("b"), "part").agg(F.collect_list(F.struct("frame", "v")).alias("fs"))
-    met = pairs.join(frames_a.select(F.col("clip").alias("a"), F.col("frame").alias("fa"), F.col("v").alias("va")), "a").join(packed, "b")
-    sims = met.select("a", "b", "fa", F.transform("fs", lambda f: F.struct(f["frame"].alias("fb"), dot(F.col("va"), f["v"]).alias("s"))).alias("ss"))
-    rows = sims.select("a", "b", "fa", F.array_max(F.transform("ss", lambda x: x["s"])).alias("m")).groupBy("a", "b", "fa").agg(F.max("m").alias("m"))
-    precision = rows.groupBy("a", "b").agg(F.avg("m").alias("p"))
-    columns = sims.select("a", "b", F.explode("ss").alias("x")).groupBy("a", "b", "x.fb").agg(F.max("x.s").alias("m"))
-    recall = columns.groupBy("a", "b").agg(F.avg("m").alias("r"))
-    both = precision.join(recall, ["a", "b"])
+    place = F.row_number().over(Window.partitionBy("clip").orderBy("frame")) - 1
+    packed = lambda f: f.withColumn("part", F.floor(place / FRAMES)).groupBy("clip", "part").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("fs"))
+    left = packed(frames_a).select(F.col("clip").alias("a"), F.col("part").alias("pa"), F.transform("fs", lambda f: f["v"]).alias("va"))
+    right = packed(frames_b).select(F.col("clip").alias("b"), F.col("part").alias("pb"), F.transform("fs", lambda f: f["v"]).alias("vb"))
+    compare = F.pandas_udf(_best_matches, BEST)
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", compare("va", "vb").alias("m"))
+
+    def mean(side: str, part: str, other: str, name: str) -> DataFrame:
+        each = met.select("a", "b", part, F.posexplode(f"m.{side}").alias("i", "s")).groupBy("a", "b", part, "i").agg(F.max("s").alias("s"))
+        return each.groupBy("a", "b").agg(F.avg("s").alias(name))
+
+    both = mean("rows", "pa", "pb", "p").join(mean("columns", "pb", "pa", "r"), ["a", "b"])
     f1 = F.when(F.col("p") + F.col("r") <= 0, 0.0).otherwise(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))
     return both.select("a", "b", F.round("p", digits).alias("precision"), F.round("r", digits).alias("recall"), F.round(f1, digits).alias("f1"))
 
 
-def token_letters(tokens: Column, table: DataFrame | None = None) -> Column:
-    """Tokens as one ASCII letter each, so the built-in edit distance counts tokens."""
-    return F.array_join(F.transform(tokens, lambda t: F.chr(F.pmod(F.crc32(t.cast("binary")), F.lit(94)) + 33)), "")
+def token_error_rate(a: Column, b: Column) -> Column:
+    """:func:`error_rate` of two arrays of tokens."""
+    return F.transform(F.array(as_letters(a, b)), lambda p: error_rate(p["a"], p["b"]))[0]
 
 
 def error_rate(a: Column, b: Column) -> Column:
@@ -61,6 +85,34 @@ def nearest(queries: DataFrame, pool: DataFrame, name: str, k: int, reach: int)
     return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query", "neighbour", "distance", "place")
 
 
+def nearest_by_length(names: DataFrame, item: str, ref: str, k: int) -> DataFrame:
+    """item, neighbour, distance, place: the ``k`` nearest other items by scaled alignment cost, exactly.
+
+    Sequences meet by the difference of their lengths, the smallest first. The difference alone sets a
+    least cost, so after each round only items whose ``k``-th neighbour lies beyond the next round's least
+    cost go on. A round is an equality join; its pairs are aligned once.
+    """
+    sized = stored(names.select(F.col(item).alias("item"), F.col(ref).alias("ref")).withColumn("n", F.size(F.split("ref", " "))), "sized")
+    span = sized.agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
+    if span["low"] is None:
+        return sized.select("item", F.col("item").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("place"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("distance", "neighbour"))
+    best, open_items = None, sized
+    for gap in range(span["high"] - span["low"] + 1):
+        lengths = F.array(F.col("n") - gap, F.col("n") + gap) if gap else F.array("n")
+        pool = sized.select(F.col("item").alias("neighbour"), F.col("ref").alias("other"), F.col("n").alias("m"))
+        met = open_items.select("item", "ref", "n", F.explode(lengths).alias("m")).join(pool, "m").where("item <> neighbour")
+        found = met.select("item", "neighbour", (phones.segmental_cost("ref", "other") / phones.length_scale(F.col("n"))).alias("distance"))
+        every = found if best is None else best.select("item", "neighbour", "distance").unionByName(found)
+        best = stored(every.withColumn("place", place).where(F.col("place") <= k), "nearest")
+        reach = best.where(F.col("place") == k).select("item", F.col("distance").alias("_reach"))
+        beyond = F.col("_reach").isNull() | (phones.least_distance(F.col("n"), F.col("n") + gap + 1) <= F.col("_reach"))
+        open_items = sized.join(reach, "item", "left").where(beyond).drop("_reach")
+        if open_items.isEmpty():
+            break
+    return best
+
+
 def margins(nearest_rows: DataFrame, own: Column, narrow: float = 0.25) -> DataFrame:
     """query, margin to the nearest neighbour, confusable (margin <= 0), narrow."""
     first = nearest_rows.where("place = 1").withColumn("margin", F.col("distance") - own)

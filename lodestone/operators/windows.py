@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import stored
+
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """The last record of each key: one aggregation, reduced before the shuffle."""
@@ -81,10 +83,13 @@ def rank_fraction(rows: DataFrame, value: str, tie: str, into: str) -> DataFrame
 
 
 def global_rank(rows: DataFrame, order: list[str], into: str) -> tuple[DataFrame, int]:
-    """Row numbers from 0 in a total order without one task seeing all rows, and the row count."""
+    """Row numbers from 0 in a total order without one task seeing all rows, and the row count.
+
+    The range-partitioned rows are stored with their partition's number before they are counted: two
+    runs of a range partitioning need not cut alike.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    tagged = spread.withColumn("_part", F.spark_partition_id())
+    tagged = stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = {r["_part"]: r["n"] for r in tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, 0
     for p in sorted(sizes):
@@ -100,11 +105,6 @@ def tertiles(rows: DataFrame, value: str, tie: str, into: str) -> DataFrame:
     return ranked.withColumn(into, F.least(F.floor(F.col("_rank") / (max(total, 1) / 3)), F.lit(2)).cast("int")).drop("_rank")
 
 
-def ordered_distinct(rows: DataFrame, keys: list[str], value: Column, order: Column) -> DataFrame:
-    """keys, value, first: distinct values with the place where each was first seen."""
-    return rows.groupBy(*keys, value.alias("value")).agg(F.min(order).alias("first"))
-
-
 def checkpoints(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First, middle and last row of each key, by name."""
     ordered = Window.partitionBy(*keys).orderBy(order)

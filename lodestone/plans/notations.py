@@ -63,9 +63,9 @@ def phoneme_forms(t: Tables) -> DataFrame:
 
 @query()
 def nearest_windows(t: Tables) -> DataFrame:
-    """The run of a turn's first words nearest to its third to sixth word."""
+    """The run of a turn's words nearest to its third to sixth word."""
     words = F.split(F.trim("text"), r"\s+")
-    rows = t.conversations.where("text is not null").select("conv_id", "turn", F.slice(words, 1, 16).alias("heard"), F.slice(words, 3, 4).alias("wanted"))
+    rows = t.conversations.where("text is not null").select("conv_id", "turn", words.alias("heard"), F.slice(words, 3, 4).alias("wanted"))
     return rows.select("conv_id", "turn", F.array_join(n.nearest_window(F.col("heard"), F.col("wanted")), " ").alias("window"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fuzzy, phones
 from lodestone.functions import stats as s
 from lodestone.functions import text as x
+from lodestone.operators import similarity as sim
 
 from .registry import Tables, query
 
@@ -20,13 +21,32 @@ def spelled(name):
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit("[a-z]"), F.lit(0)), lambda c: F.try_element_at(table, c)), " ")
 
 
-@query("select 40 * 39 // 2 pairs, 40 symbols")
+def _values(rows: str, tables: tuple[dict, ...]) -> str:
+    """Feature rows as SQL values, names by their numbers."""
+    out = []
+    for name, *fields in (r.split() for r in rows.strip().splitlines()):
+        out.append(f"('{name}', " + ", ".join(str(float(t[f])) if t else f for f, t in zip(fields, tables, strict=True)) + ")")
+    return ", ".join(out)
+
+
+_SONORANT = [r.split()[0] for r in phones.CONSONANTS.strip().splitlines() if r.split()[2] in ("nasal", "liquid", "glide")]
+_LISTED = ", ".join(f"('{x}', '{y}', {c})" for pair, c in phones.PAIRS.items() for x, y in (pair, pair[::-1]))
+_WEIGHED = " + ".join(f"{w} * abs(x.f{i} - y.f{i})" for i, w in enumerate(phones.VOWEL_WEIGHTS))
+
+
+@query(f"""
+with c(s, place, manner, voiced) as (values {_values(phones.CONSONANTS, (phones.PLACES, phones.MANNERS, {}))}),
+v(s, f0, f1, f2, f3, f4, f5, f6) as (values {_values(phones.VOWELS, (phones.HEIGHTS, phones.BACKNESS, {}, {}, {}, phones.HEIGHTS, phones.BACKNESS))}),
+l(a, b, cost) as (values {_LISTED}), n as (select s from c union all select s from v),
+p as (select x.s a, y.s b from n x join n y on x.s < y.s),
+cc as (select x.s a, y.s b, ({phones.CONSONANT_WEIGHTS[0]} * abs(x.place - y.place) + {phones.CONSONANT_WEIGHTS[1]} * abs(x.manner - y.manner) + {phones.CONSONANT_WEIGHTS[2]} * abs(x.voiced - y.voiced)) / {sum(phones.CONSONANT_WEIGHTS)} cost from c x, c y),
+vv as (select x.s a, y.s b, ({_WEIGHED}) / {sum(phones.VOWEL_WEIGHTS)} cost from v x, v y)
+select p.a, p.b, round(coalesce(l.cost, cc.cost, vv.cost, case when p.a in {tuple(_SONORANT)} or p.b in {tuple(_SONORANT)} then {phones.ACROSS_SONORANT} else {phones.ACROSS} end)::double, 9) cost
+from p left join l on l.a = p.a and l.b = p.b left join cc on cc.a = p.a and cc.b = p.b left join vv on vv.a = p.a and vv.b = p.b""")
 def symbol_pairs(t: Tables) -> DataFrame:
-    """How many symbol pairs the cost table has."""
-    rows = t.spark.createDataFrame([(a,) for a in phones.SYMBOLS], "symbol string")
-    other = rows.withColumnRenamed("symbol", "b")
-    pairs = rows.join(F.broadcast(other), F.col("symbol") < F.col("b")).agg(F.count(F.lit(1)).alias("pairs"))
-    return pairs.withColumn("symbols", F.lit(len(phones.SYMBOLS)))
+    """The cost of every pair of symbols."""
+    rows = [(x, y, round(phones.symbol_cost(x, y), 9)) for x in sorted(phones.SYMBOLS) for y in sorted(phones.SYMBOLS) if x < y]
+    return t.spark.createDataFrame(rows, "a string, b string, cost double")
 
 
 @query()
@@ -42,14 +62,10 @@ def phonetic_scores(t: Tables) -> DataFrame:
 
 @query()
 def phonetic_neighbours(t: Tables) -> DataFrame:
-    """Three nearest other names by scaled alignment cost. Names meet by length, so a pair whose
-    lengths alone put it beyond the reach is never aligned."""
-    reach = 3
-    names = t.part.select("p_name").distinct().select(F.col("p_name").alias("item"), spelled(F.col("p_name")).alias("ref")).withColumn("n", F.size(F.split("ref", " ")))
-    pool = names.select(F.col("item").alias("neighbour"), F.col("ref").alias("other"), F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach)).alias("n"))
-    met = names.join(pool, "n").where("item <> neighbour").withColumn("distance", phones.segmental_cost("ref", "other") / phones.length_scale(F.col("n")))
-    near = Window.partitionBy("item").orderBy("distance", "neighbour")
-    return met.withColumn("place", F.row_number().over(near)).where("place <= 3").select("item", "neighbour", F.round("distance", 9).alias("distance"), "place")
+    """Three nearest other names by scaled alignment cost, whatever their lengths."""
+    names = t.part.select(F.col("p_name").alias("item")).distinct().withColumn("ref", spelled(F.col("item")))
+    near = sim.nearest_by_length(names, "item", "ref", 3)
+    return near.select("item", "neighbour", F.round("distance", 9).alias("distance"), "place")
 
 
 @query("""

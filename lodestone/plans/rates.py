@@ -69,11 +69,11 @@ def agreement_by_lang(t: Tables) -> DataFrame:
 @query("""
 with j as (select doc_id, quality * 5 a, case when n_chars >= 1000 then 5 when n_chars >= 400 then 4 else 2 end b from documents join labels using (doc_id))
 select doc_id, a, b, a - b gap, case when (a >= 4) <> (b >= 4) then 'pass/fail' else 'gap' end reason
-from j where abs(a - b) >= 2 or (a >= 4) <> (b >= 4) order by (a >= 4) = (b >= 4), -abs(a - b), doc_id limit 200""")
+from j where abs(a - b) >= 2 or (a >= 4) <> (b >= 4)""")
 def divergence_worklist(t: Tables) -> DataFrame:
-    """The 200 worst disagreements, pass against fail first."""
+    """All disagreements, pass against fail first, then the widest."""
     b = F.when(F.col("n_chars") >= 1000, 5).when(F.col("n_chars") >= 400, 4).otherwise(2)
-    return a.divergences(judged(t).select("doc_id", (F.col("quality") * 5).alias("a"), b.alias("b")), "doc_id").limit(200)
+    return a.divergences(judged(t).select("doc_id", (F.col("quality") * 5).alias("a"), b.alias("b")), "doc_id")
 
 
 SPAN_SQL = """spans as (select l_orderkey, l_linenumber, l_partkey, case when l_discount * 10 <= 0.2 then 5 when l_discount * 10 <= 0.45 then 4 when l_discount * 10 <= 0.95 then 3 when l_discount * 10 <= 1.7 then 2 when l_discount * 10 <= 2.8 then 1 else 0 end score from lineitem)"""

@@ -240,9 +240,10 @@ def tier_coverage(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left").groupBy("lang").agg(F.count_if(q == 1).alias("good"), F.count_if(q == 0).alias("bad"), F.count_if(q.isNull()).alias("unlabelled"))
 
 
-@query("select sha256(text) digest, count(distinct doc_id) n, array_to_string(list_sort(list(distinct doc_id)), ',') members from documents group by 1 having count(distinct doc_id) > 1")
+@query("with d as (select distinct sha256(text) digest, doc_id from documents), g as (select digest, count(*) n from d group by 1 having count(*) > 1) select digest, n, doc_id as member from d join g using (digest)")
 def duplicate_hash_groups(t: Tables) -> DataFrame:
-    return a.duplicate_groups(t.documents, F.col("text"), "doc_id").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    """Members of every group of equal texts, as rows."""
+    return a.duplicate_groups(t.documents, F.col("text"), "doc_id")
 
 
 @query("""
@@ -272,14 +273,18 @@ def validation_report(t: Tables) -> DataFrame:
 
 
 @query("""
-with c as (select lang, count(*) n from documents group by 1), b as (select *, least(n, 3) base, sum(n) over () total, 60 - sum(least(n, 3)) over () spare from c),
-x as (select *, floor(spare * n / total) extra, spare * n / total - floor(spare * n / total) fraction from b), y as (select *, spare - sum(extra) over () remaining, row_number() over (order by fraction desc, lang) turn from x),
-q as (select lang, least(n, base + extra + (turn <= remaining)::int) quota from y),
-r as (select doc_id, lang, row_number() over (partition by lang order by sha256('7:' || doc_id), doc_id) place from documents)
-select doc_id, r.lang from r join q on r.lang = q.lang where place <= quota""")
+with c as (select lang, count(*) n from documents group by 1), b as (select *, least(n, 3) base, n - least(n, 3) spare, 60 - sum(least(n, 3)) over () remaining from c),
+x as (select *, least(case when sum(spare) over () > 0 then spare * remaining / sum(spare) over () else 0 end, spare) exact from b), y as (select *, remaining - sum(floor(exact)) over () more, row_number() over (order by exact - floor(exact) desc, lang) turn from x),
+q as (select lang, least(n, base + floor(exact) + (turn <= more)::int) quota from y),
+r as (select doc_id, lang, sha256('7:' || doc_id) h, row_number() over (partition by lang order by sha256('7:' || doc_id), doc_id) place from documents),
+k as (select doc_id, r.lang, h, doc_id % 50 = 0 f from r join q on r.lang = q.lang where place <= quota), need as (select greatest(8 - count(*) filter (f), 0) m from k),
+come as (select doc_id, lang from (select doc_id, lang, row_number() over (order by h, doc_id) p from r where doc_id % 50 = 0 and doc_id not in (select doc_id from k)) where p <= (select m from need)),
+stay as (select *, row_number() over (order by f, lang desc, h desc, doc_id desc) p from k)
+select doc_id, lang from stay where f or p > (select count(*) from come) union all select * from come""")
 def stratified_sample(t: Tables) -> DataFrame:
-    """Sixty documents over the languages, in proportion with a floor."""
-    return sm.stratified_sample(t.documents.select("doc_id", "lang"), "lang", "doc_id", 60, "7", 3).select("doc_id", "lang")
+    """Sixty documents over the languages, in proportion with a floor, eight of them of a rare kind."""
+    rows = t.documents.select("doc_id", "lang")
+    return sm.stratified_sample(rows, "lang", "doc_id", 60, "7", 3, F.col("doc_id") % 50 == 0, 8).select("doc_id", "lang")
 
 
 @query("select doc_id from documents order by sha256('7:' || doc_id), doc_id limit 50")
@@ -332,24 +337,24 @@ def first_turns(t: Tables) -> DataFrame:
 
 
 @query("""
-with w as (select doc_id, pos - 1 place, string_split(text, ' ')[pos] word from (select doc_id, text, unnest(range(1, len(string_split(text, ' ')) + 1)) pos from documents where n_chars < 400)), x as (select word, min(doc_id) v from w group by 1 having count(*) >= 3)
+with w as (select doc_id, generate_subscripts(ws, 1) - 1 place, unnest(ws) word from (select doc_id, string_split(text, ' ') ws from documents)), x as (select word, min(doc_id) v from w group by 1 having count(*) >= 3)
 select doc_id, count(*) n_words, case when count(v) = count(*) then array_to_string(list(v order by place), ' ') end resolved from w left join x using (word) group by 1""")
 def word_resolution(t: Tables) -> DataFrame:
     """Texts whose every word is in a lexicon, and its values in order; all or nothing."""
-    d = t.documents.where("n_chars < 400").select("doc_id", "text")
+    d = t.documents.select("doc_id", "text")
     words = d.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
     lexicon = words.groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").cast("string").alias("v")).where("c >= 3")
     return r.resolve_words(d, "doc_id", F.split("text", " "), lexicon, "word", "v")
 
 
 @query("""
-with a as (select doc_id, i * 40 as start, i * 40 + 25 as "end" from documents, range(0, 20) r(i) where n_chars > i * 40), b as (select doc_id, i * 70 + 10 as start, i * 70 + 40 as "end" from documents, range(0, 12) r(i) where n_chars > i * 70)
+with a as (select doc_id, i * 40 as start, i * 40 + 25 as "end" from documents, unnest(range(0, n_chars // 40 + 1)) r(i) where n_chars > i * 40), b as (select doc_id, i * 70 + 10 as start, i * 70 + 40 as "end" from documents, unnest(range(0, n_chars // 70 + 1)) r(i) where n_chars > i * 70)
 select a.doc_id, a.start a_start, b.start b_start from a join b on a.doc_id = b.doc_id and a.start < b."end" and a."end" > b.start""")
 def range_overlap(t: Tables) -> DataFrame:
     """Overlapping ranges of the same text."""
     i = F.col("i")
-    each = lambda n, step, at, width: t.documents.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).where(F.col("n_chars") > i * step).select("doc_id", (i * step + at).cast("long").alias("start"), (i * step + at + width).cast("long").alias("end"))
-    return r.overlap_join(each(20, 40, 0, 25), each(12, 70, 10, 30), ["doc_id"]).select("doc_id", "a_start", "b_start")
+    each = lambda step, at, width: t.documents.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / step).cast("int"))).alias("i")).where(F.col("n_chars") > i * step).select("doc_id", (i * step + at).cast("long").alias("start"), (i * step + at + width).cast("long").alias("end"))
+    return r.overlap_join(each(40, 0, 25), each(70, 10, 30), ["doc_id"]).select("doc_id", "a_start", "b_start")
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats as s
@@ -40,9 +40,9 @@ def base_forms(t: Tables) -> DataFrame:
 
 
 @query("""
-select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(left(text, 300), ',\\s*and\\s+|,\\s*|\\s+and\\s+'), lambda p: trim(p, ' ')), lambda p: p <> ''), '|') members from documents where lang = 'en'""")
+select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, ',\\s*and\\s+|,\\s*|\\s+and\\s+'), lambda p: trim(p, ' ')), lambda p: p <> ''), '|') members from documents""")
 def split_members(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", F.array_join(x.split_list(F.left("text", F.lit(300))), "|").alias("members"))
+    return t.documents.select("doc_id", F.array_join(x.split_list(F.col("text")), "|").alias("members"))
 
 
 @query("""
@@ -55,28 +55,28 @@ def locate_spans(t: Tables) -> DataFrame:
 
 
 @query("""
-with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda a: a <> '') ws from documents where lang = 'en')
+with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda a: a <> '') ws from documents)
 select doc_id, greatest(1, list_sum([0] || list_transform(ws, lambda a: greatest(1, len(regexp_extract_all(a, '[aeiouy]+'))))))::int syllables from w""")
 def syllable_estimate(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", x.syllables(F.col("text")).alias("syllables"))
+    return t.documents.select("doc_id", x.syllables(F.col("text")).alias("syllables"))
 
 
 SYMBOLS = ["sch", "tion", "ing", "the", "er", "en", "ch", "an", "on", "re"]
 
 
 @query(r"""
-select doc_id, array_to_string(regexp_extract_all(left(text, 200), 'tion|ing|sch|the|an|ch|en|er|on|re'), ' ') tokens from documents""")
+select doc_id, array_to_string(regexp_extract_all(text, 'tion|ing|sch|the|an|ch|en|er|on|re'), ' ') tokens from documents""")
 def greedy_notation(t: Tables) -> DataFrame:
     """Longest-first tokens of a notation."""
-    return t.documents.select("doc_id", F.array_join(x.greedy_tokens(F.left("text", F.lit(200)), SYMBOLS), " ").alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(x.greedy_tokens(F.col("text"), SYMBOLS), " ").alias("tokens"))
 
 
 @query(r"""
-with w as (select distinct unnest(string_split(replace(left(text, 400), chr(10), ' '), ' ')) w from documents),
+with w as (select distinct unnest(string_split(replace(text, chr(10), ' '), ' ')) w from documents),
 p as (select w, string_split(w, '-') ss from w where w <> '')
 select w as word, regexp_matches(w, '^[A-Za-z]+(?:-[A-Za-z]+)*$') and len(list_filter(ss, lambda s: regexp_matches(s, '^[A-Z]+$'))) = 1 and len(list_filter(ss, lambda s: not regexp_matches(s, '^(?:[A-Z]+|[a-z]+)$'))) = 0 canonical from p""")
 def canonical_words(t: Tables) -> DataFrame:
-    w = t.documents.select(F.explode(F.split(F.replace(F.left("text", F.lit(400)), F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''").distinct()
+    w = t.documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''").distinct()
     return w.select("word", x.canonical_respelling(F.col("word")).alias("canonical"))
 
 
@@ -90,11 +90,10 @@ def text_detectors(t: Tables) -> DataFrame:
 
 
 @query(r"""
-select doc_id, array_to_string(regexp_extract_all(left(text, 500), '[A-Za-z]+-[A-Za-z]+') || regexp_extract_all(left(text, 500), '\([A-Z]+\)') || regexp_extract_all(left(text, 500), '/[a-z]+/'), '|') found from documents""")
+select doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+-[A-Za-z]+') || regexp_extract_all(text, '\([A-Z]+\)') || regexp_extract_all(text, '/[a-z]+/'), '|') found from documents""")
 def pattern_extracts(t: Tables) -> DataFrame:
     """Several patterns' matches, one list after the other."""
-    head = F.left("text", F.lit(500))
-    parts = [F.regexp_extract_all(head, F.lit(p), F.lit(0)) for p in ("[A-Za-z]+-[A-Za-z]+", r"\([A-Z]+\)", "/[a-z]+/")]
+    parts = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in ("[A-Za-z]+-[A-Za-z]+", r"\([A-Z]+\)", "/[a-z]+/")]
     return t.documents.select("doc_id", F.array_join(F.concat(*parts), "|").alias("found"))
 
 
@@ -177,11 +176,23 @@ def thresholds(t: Tables) -> DataFrame:
 
 
 @query("""
-with a as (select doc_id, substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 40) a, substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 21, 40) b from documents), d as (select doc_id, a, b, greatest(length(a), length(b)) m from a)
-select doc_id, round(case when m = 0 then 0e0 when length(a) = 0 or length(b) = 0 then 1e0 else levenshtein(a, b) / m end, 9) error_rate from d""")
+with a as (select conv_id, turn, regexp_replace(lower(text), '[^a-z]', '', 'g') a, regexp_replace(lower(coalesce(lag(text) over (partition by conv_id order by turn), '')), '[^a-z]', '', 'g') b from conversations), d as (select *, greatest(length(a), length(b)) m from a)
+select conv_id, turn, round(case when m = 0 then 0e0 when length(a) = 0 or length(b) = 0 then 1e0 else levenshtein(a, b) / m end, 9) error_rate from d""")
+def letter_error_rate(t: Tables) -> DataFrame:
+    """How far each turn's letters are from those of the turn before."""
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    rows = t.conversations.select("conv_id", "turn", letters("text").alias("a"), letters(before).alias("b"))
+    return rows.select("conv_id", "turn", F.round(sim.error_rate(F.col("a"), F.col("b")), 9).alias("error_rate"))
+
+
+@query()
 def token_error_rate(t: Tables) -> DataFrame:
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return t.documents.select("doc_id", F.round(sim.error_rate(F.substring(letters, 1, 40), F.substring(letters, 21, 40)), 9).alias("error_rate"))
+    """How far each turn's words are from those of the turn before."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    rows = t.conversations.select("conv_id", "turn", words("text").alias("a"), words(before).alias("b"))
+    return rows.select("conv_id", "turn", F.round(sim.token_error_rate(F.col("a"), F.col("b")), 9).alias("error_rate"))
 
 
 @query("""
@@ -203,13 +214,13 @@ def closest_pairs(t: Tables) -> DataFrame:
 
 
 @query("""
-with f as (select label clip, vec_id frame, list_transform(embedding, lambda e: e::double / (sqrt(list_sum(list_transform(embedding, lambda z: z::double * z::double))) + 1e-8)) v from embeddings where vec_id < 120),
-s as (select x.clip a, y.clip b, x.frame fa, y.frame fb, list_sum(list_transform(range(1, 65), lambda i: x.v[i] * y.v[i])) s from f x join f y on x.clip < y.clip and x.clip < 4 and y.clip < 4),
+with f as (select label clip, vec_id frame, list_transform(embedding, lambda e: e::double / (sqrt(list_sum(list_transform(embedding, lambda z: z::double * z::double))) + 1e-8)) v from embeddings),
+s as (select x.clip a, y.clip b, x.frame fa, y.frame fb, list_sum(list_transform(range(1, 65), lambda i: x.v[i] * y.v[i])) s from f x join f y on x.clip < y.clip),
 p as (select a, b, avg(m) p from (select a, b, fa, max(s) m from s group by all) group by all), r as (select a, b, avg(m) r from (select a, b, fb, max(s) m from s group by all) group by all)
 select a, b, round(p, 6) as "precision", round(r, 6) recall, round(case when p + r <= 0 then 0 else 2 * p * r / (p + r) end, 6) f1 from p join r using (a, b)""")
 def max_similarity(t: Tables) -> DataFrame:
-    """Frame sets compared by their best matches. The pairs asked for are those of four clips."""
-    f = t.embeddings.where("vec_id < 120").select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), sim.unit(F.col("embedding")).alias("v"))
-    c = t.spark.range(4).select(F.col("id").cast("int").alias("a"))
-    pairs = c.join(F.broadcast(c.withColumnRenamed("a", "b")), F.col("a") < F.col("b"))
+    """Frame sets of all pairs of clips compared by their best matches."""
+    f = t.embeddings.select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), sim.unit(F.col("embedding")).alias("v"))
+    c = t.embeddings.select(F.col("label").alias("a")).distinct()
+    pairs = c.join(c.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
     return sim.max_similarity(f, f, pairs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,23 +10,31 @@ from lodestone.operators.windows import last_per_key
 
 
 def upsert_stream(changes: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Keep ``table`` (a Parquet folder of versions) at the last record of each key.
+    """Append each batch's last record of every key to ``table``, a Parquet folder with a part for each batch.
 
-    Each batch writes version ``batch_id`` from the version before it and its own changes, so a batch
-    that is run again gives the same version. Readers take the highest version.
+    A batch writes its own changes and nothing else; a batch that is run again writes the same part.
+    :func:`current` merges the parts, :func:`compact` writes them as one.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id:
-            rows = spark.read.schema(batch.schema).parquet(f"{table}/version={batch_id - 1}").unionByName(batch)
-        keep = [c for c in rows.columns if c not in keys]
-        last_per_key(rows, keys, order, keep).select(*batch.columns).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        keep = [c for c in batch.columns if c not in keys]
+        last_per_key(batch, keys, order, keep).select(*batch.columns).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, table: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The last record of every key over all batches; of equal records that of the later batch."""
+    rows = spark.read.parquet(table)
+    keep = [c for c in rows.columns if c not in (*keys, "batch")]
+    return last_per_key(rows, keys, [*order, "batch"], keep)
+
+
+def compact(spark: SparkSession, table: str, into: str, keys: list[str], order: list[str]) -> None:
+    """The current records as the first part of a new table, to which a stream can go on to append."""
+    current(spark, table, keys, order).write.mode("errorifexists").parquet(f"{into}/batch=-1")
+
+
 def windowed_rates(events: DataFrame, at: str, width: str, late: str, group: str, passed) -> DataFrame:
     """Pass rates by time window; records later than ``late`` are left out (batch or stream)."""
     timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)

@@ -245,8 +245,10 @@ def test_streamed_changelog(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
         stream = spark.readStream.schema(schema).json(str(source))
         changelog.upsert_stream(stream, table, str(tmp_path / "check"), ["id"], ["seq"]).awaitTermination()
-        got = {(q.id, q.v) for q in spark.read.parquet(f"{table}/version={i}").collect()}
+        got = {(q.id, q.v) for q in changelog.current(spark, table, ["id"], ["seq"]).collect()}
         assert got == ({("a", 1), ("b", 2)} if i == 0 else {("a", 9), ("b", 2)})
+    changelog.compact(spark, table, str(tmp_path / "one"), ["id"], ["seq"])
+    assert {(q.id, q.v) for q in changelog.current(spark, str(tmp_path / "one"), ["id"], ["seq"]).collect()} == {("a", 9), ("b", 2)}
 
 
 def test_windows_of_events(spark):
@@ -277,3 +279,51 @@ def test_running_best_gathers_few(spark):
             want.append((k, len(xs), best, xs[0]))
         assert sorted(map(tuple, w.running_best(rows, ["k"], ["at"], "v", margin).select("k", "n", "best", "first").collect())) == want
     assert w.rising(rows, ["k"], ["at"], "v", 0.005).where("rises").count() < 400
+
+
+@pytest.mark.parametrize("parts", [4, 8, 200])
+def test_global_rank_whatever_the_partitions(spark, parts):
+    rows = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", F.length("p_name").alias("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.p_partkey: r.place for r in w.global_rank(rows, ["n", "p_partkey"], "place")[0].collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {k: i for i, (_, k) in enumerate(sorted((r.n, r.p_partkey) for r in rows.collect()))}
+    assert got == want
+
+
+def test_forced_rows_in_a_sample(spark):
+    from lodestone.operators import sampling as sm
+
+    rows = spark.range(1000).selectExpr("id", "case when id % 10 = 0 then 'rare' when id % 3 = 0 then 'a' else 'b' end k")
+    got = sm.stratified_sample(rows, "k", "id", 30, "s", 4, F.col("id") % 97 == 0, 5).collect()
+    assert len(got) == 30 and sum(r.id % 97 == 0 for r in got) == 5 and all(sum(r.k == k for r in got) >= 3 for k in ("rare", "a", "b"))
+    with pytest.raises(Exception, match="floors"):
+        sm.stratified_sample(rows, "k", "id", 5, "s", 4).collect()
+
+
+def test_panel_of_judges_is_checked(spark):
+    scores = spark.createDataFrame([("i", "x", 4), ("i", "y", 5), ("i", "z", 1)], "item string, judge string, score int")
+    assert a.panel_median(scores, ["item"], "score", judge="judge").first()["median"] == 4
+    for bad, text in ((scores.unionAll(scores.limit(1)), "twice"), (scores.withColumn("score", F.col("score") + 3), "between")):
+        with pytest.raises(Exception, match=text):
+            a.panel_median(bad, ["item"], "score", judge="judge").collect()
+
+
+def test_retries_wait_and_ship_the_provider(spark):
+    from lodestone.operators import runs
+
+    assert [runs.Retry(initial_s=1.0, most_s=3.0).wait(k) for k in (1, 2, 3)] == [1.0, 2.0, 3.0]
+
+    class Mine(runs.Provider):
+        system_id = "mine"
+
+        def answer(self, item_id, text, attempt):
+            return float(len(text))
+
+    runs.register_provider("mine", Mine)
+    work = spark.createDataFrame([("1", "ab"), ("2", "abc")], "item_id string, text string")
+    done = spark.createDataFrame([], runs.RECORD)
+    assert sorted(r.seconds for r in runs.run_batch(work, done, "mine").collect()) == [2.0, 3.0]
