@@ -324,6 +324,44 @@ def divergence_bucket(whole: Column, compact: Column, both: Column, ratio: Colum
     )
 
 
+def mixup_flags(name: Column, ipa: Column, url: Column, others: Column, generic: Column, generic_ipa: Column, brand: Column) -> Column:
+    """Signs that phonetic text belongs to another name: none, not phonetic, another name in the address, like
+    the generic's sound, the generic named beside it, a site of users' guesses, an antibody's ending."""
+    flat = stripped(ipa)
+    a, b = folded(ipa), folded(F.coalesce(generic_ipa, F.lit("")))
+    near = (a != "") & (b != "") & (F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) <= 0.35)
+    near = F.coalesce(near, F.lit(False))
+    named = F.coalesce((squeezed(generic) != "") & F.contains(squeezed(F.concat(ipa, url)), squeezed(generic)), F.lit(False))
+    address = F.regexp_replace(url, "^https?://", "")
+    found = names_in(address, others, name)
+    flags = F.array(
+        F.when(~source_ipa(ipa), "not_ipa_glyphs"),
+        F.when(F.size(found) > 0, F.concat(F.lit("url_other:"), F.array_join(F.slice(found, 1, 3), ","))),
+        F.when(near, F.concat(F.lit("ipa_matches_generic:"), generic)),
+        F.when(named & ~near, F.concat(F.lit("citation_generic:"), generic)),
+        F.when(F.contains(url, F.lit("howtopronounce.com")), "howtopronounce"),
+        F.when(brand & flat.rlike("mæb|juːmæb|umab") & ~F.contains(F.lower(name), F.lit("mab")), "mab_ipa_on_non_mab_brand"),
+    )
+    return F.when(flat == "", F.array(F.lit("no_ipa"))).otherwise(F.array_compact(flags))
+
+
+def query_variants(name: Column, other: Column) -> Column:
+    """Search texts for a name; with a paired name some leave that one out."""
+    say = lambda pattern: F.format_string(pattern, name)
+    plain = F.array(say("%s IPA transcription"), say('"%s" IPA'), say("%s brand name IPA"), say("%s dictionary IPA"))
+    apart = F.array(F.format_string("%s IPA -%s", name, other), F.format_string("saying %s and not %s, IPA", name, other))
+    return F.when(F.coalesce(other, F.lit("")) == "", plain).otherwise(F.concat(plain, apart))
+
+
+def speech_markup(sentence: Column, name: Column, ipa: Column) -> Column:
+    """The sentence as speech markup with the name's phonetic text, all text escaped."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    at = F.instr(F.lower(sentence), F.lower(name))
+    spoken = F.substr(sentence, at, F.length(name))
+    tagged = F.format_string('<phoneme alphabet="ipa" ph="%s">%s</phoneme>', escape(ipa), escape(spoken))
+    return F.when(at > 0, F.concat(F.lit("<speak>"), escape(F.left(sentence, at - 1)), tagged, escape(F.substr(sentence, at + F.length(name))), F.lit("</speak>")))
+
+
 def open_gap(best: Column, delta: Column, holdout: Column) -> Column:
     """Worth another round: a low best score, a loss against the plain form, or a low score in the holdout."""
     return F.coalesce((best < 0.70) | (delta < -0.03) | (holdout & (best < 0.72)), F.lit(False)) & best.isNotNull()

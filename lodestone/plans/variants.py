@@ -283,3 +283,61 @@ def salt_forms(t: Tables) -> DataFrame:
     forms = F.array(n, F.concat(F.upper(n), F.lit("  extra")), F.concat(F.replace(n, F.lit(" "), F.lit("-")), F.lit("_salt")), F.concat(n, F.lit("s")), F.concat(F.lit("x "), n))
     rows = t.part.select(F.col("p_name").alias("target")).distinct().select("target", F.explode(forms).alias("candidate"))
     return rows.withColumn("is_form", v.is_salt_form(F.col("target"), F.col("candidate")))
+
+
+@query(f"""
+with {WORDS}, x as (select word, reverse(word) g, case when length(word) % 7 = 0 then 'n/a' else 'ˈ' || {_sounds("word")} || '..' end ipa, case when length(word) % 5 = 0 then 'https://howtopronounce.com/' || word when length(word) % 5 = 1 then 'https://x.org/' || reverse(word) else 'https://x.org/a' end url from words),
+y as (select *, {_sounds("word")} a, {_sounds("g")} b, contains(regexp_replace(lower(ipa || url), '[^a-z0-9]+', '', 'g'), g) named, contains('howtopronouncecomx' || word, 'pronounce') p from x),
+z as (select *, levenshtein(translate(a, '{SOUNDS}', '{PLAIN}'), translate(b, '{SOUNDS}', '{PLAIN}')) / length(word) <= 0.35 near from y)
+select word, case when ipa = 'n/a' then 'no_ipa' else concat_ws(' ', 'not_ipa_glyphs', case when contains(url, 'howtopronounce') and not contains(word, 'pronounce') then 'url_other:pronounce' end,
+  case when near then 'ipa_matches_generic:' || g end, case when named and not near then 'citation_generic:' || g end, case when length(word) % 5 = 0 then 'howtopronounce' end,
+  case when length(word) % 2 = 0 and contains(a, 'mæb') and not contains(word, 'mab') then 'mab_ipa_on_non_mab_brand' end) end flags from z""".replace(f"levenshtein(translate(a, '{SOUNDS}', '{PLAIN}'), translate(b, '{SOUNDS}', '{PLAIN}'))", "levenshtein(replace(replace(word, 'q', 'k'), 'c', 'k'), replace(replace(g, 'q', 'k'), 'c', 'k'))"))
+def mixup_flags(t: Tables) -> DataFrame:
+    """Signs that a word's phonetic text belongs to another."""
+    w, n = F.col("word"), F.length("word")
+    ipa = F.when(n % 7 == 0, "n/a").otherwise(F.concat(F.lit("ˈ"), sounds(w), F.lit("..")))
+    url = F.when(n % 5 == 0, F.concat(F.lit("https://howtopronounce.com/"), w)).when(n % 5 == 1, F.concat(F.lit("https://x.org/"), F.reverse(w))).otherwise("https://x.org/a")
+    flags = v.mixup_flags(w, ipa, url, F.array(F.lit("pronounce"), F.lit("org")), F.reverse(w), sounds(F.reverse(w)), n % 2 == 0)
+    return vocabulary(t).select("word", F.array_join(flags, " ").alias("flags"))
+
+
+@query("""
+with n as (select distinct p_name k, case when length(p_name) % 2 = 0 then string_split(p_name, ' ')[2] else '' end o from part)
+select k as name, unnest(case when o = '' then [k || ' IPA transcription', '"' || k || '" IPA', k || ' brand name IPA', k || ' dictionary IPA'] else [k || ' IPA transcription', '"' || k || '" IPA', k || ' brand name IPA', k || ' dictionary IPA', k || ' IPA -' || o, 'saying ' || k || ' and not ' || o || ', IPA'] end) query from n""")
+def query_variants(t: Tables) -> DataFrame:
+    """Search texts for every name."""
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    other = F.when(F.length("name") % 2 == 0, F.split("name", " ")[1]).otherwise("")
+    return names.select("name", F.explode(v.query_variants(F.col("name"), other)).alias("query"))
+
+
+@query("""
+select n_nationkey, '<speak>A &amp; &quot;' || '<phoneme alphabet="ipa" ph="ˈx&quot;">' || n_name || '</phoneme>' || '&quot; &lt; b</speak>' markup from nation""")
+def speech_markups(t: Tables) -> DataFrame:
+    """Sentences as speech markup with the name's phonetic text."""
+    sentence = F.concat(F.lit('A & "'), "n_name", F.lit('" < b'))
+    return t.nation.select("n_nationkey", v.speech_markup(sentence, F.lower("n_name"), F.lit('ˈx"')).alias("markup"))
+
+
+@query("""
+with s as (select lang || '/' || case when n_chars >= 1000 then 'long' else 'short' end stratum, doc_id % 5 = 0 combo from documents)
+select stratum, count(*) n, count(*) filter (combo) combos from s group by 1 union all select '*', count(*), count(*) filter (combo) from s""")
+def sample_summary(t: Tables) -> DataFrame:
+    """A sample's rows by stratum, and how many are of a special kind."""
+    rows = t.documents.select(F.concat("lang", F.when(F.col("n_chars") >= 1000, "/long").otherwise("/short")).alias("stratum"), (F.col("doc_id") % 5 == 0).alias("combo"))
+    g = rows.rollup("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if("combo").alias("combos"))
+    return g.select(F.coalesce("stratum", F.lit("*")).alias("stratum"), "n", "combos")
+
+
+@query("""
+with b as (select p_brand, string_agg(distinct p_name, '; ' order by p_name) || ' (and many more)' head from part group by 1), m as (select distinct p_brand, p_name component from part),
+i as (select distinct p_name || case when length(p_name) % 2 = 0 then ' salt' else '' end ingredient from part)
+select p_brand, component, ingredient from m join i on ingredient = component or starts_with(ingredient, component || ' ')""")
+def headed_ingredients(t: Tables) -> DataFrame:
+    """Members of headings with every ingredient that they name, exactly or as its first words."""
+    from lodestone.operators.resolve import prefix_join
+
+    heads = t.part.groupBy("p_brand").agg(F.concat(F.array_join(F.array_sort(F.collect_set("p_name")), "; "), F.lit(" (and many more)")).alias("head"))
+    members = heads.select("p_brand", F.explode(v.list_members(F.col("head"))).alias("component")).withColumn("component", v.without_annotation(F.col("component")))
+    names = t.part.select(F.concat("p_name", F.when(F.length("p_name") % 2 == 0, " salt").otherwise("")).alias("ingredient")).distinct()
+    return prefix_join(names, members, "ingredient", "component").select("p_brand", "component", "ingredient")
