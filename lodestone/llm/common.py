@@ -14,17 +14,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Beyond so many files, a map from path to number is dearer than writing the rows again.
 _MOST_FILES = 2000
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once per application.
+    """Send this package to the executors once per application, and bound the batches that workers get
+    unless the session has a bound of its own.
 
     Python workers import ``lodestone.llm`` by name, so they need the package even where the
     executors were started without it on their path.
     """
     sc = spark.sparkContext
+    # what a Python worker holds at once follows bytes, not rows: by default a batch may have 64 MB
+    if spark.conf.get(_BATCH, None) == "67108864b":
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
