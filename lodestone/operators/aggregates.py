@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats as s
@@ -79,11 +79,11 @@ AGGREGATORS = ("worst", "mean", "best")
 
 
 def sensitivity(rows: DataFrame, digits: int = 9) -> DataFrame:
-    """Pass rate and mean score under each aggregator."""
+    """Pass rate and mean score under each aggregator, and how far the pass rates lie apart at most."""
     long = rows.select(F.explode(F.create_map(*[c for a in AGGREGATORS for c in (F.lit(a), F.col(a))])).alias("aggregator", "score"))
-    return long.groupBy("aggregator").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("score") >= PASS).cast("int")), digits).alias("pass_rate"), F.round(F.avg("score"), digits).alias("mean_score")
-    )
+    g = long.groupBy("aggregator").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= PASS).cast("int")).alias("p"), F.round(F.avg("score"), digits).alias("mean_score"))
+    every = Window.partitionBy()  # one row for each aggregator
+    return g.select("aggregator", "n", F.round("p", digits).alias("pass_rate"), "mean_score", F.round(F.max("p").over(every) - F.min("p").over(every), digits).alias("max_delta"))
 
 
 def panel_median(scores: DataFrame, keys: list[str], score: str, least: int = 3, judge: str | None = None) -> DataFrame:
@@ -114,8 +114,6 @@ def latency(rows: DataFrame, keys: list[str], value: str, digits: int = 9) -> Da
     Ranks come from counts by distinct value, summed before they are ordered, so a key with most of
     the rows orders its distinct values and not its rows.
     """
-    from pyspark.sql import Window
-
     steps = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
     up = Window.partitionBy(*keys).orderBy(value)
     placed = steps.select(*keys, value, "c", F.sum("c").over(up).alias("to"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
@@ -134,8 +132,6 @@ def middle_and_low(rows: DataFrame, keys: list[str], value: str, low: float) ->
 
     Ranks come from counts by distinct value, as in ``latency``.
     """
-    from pyspark.sql import Window
-
     steps = rows.groupBy(*keys, value).agg(F.count(value).alias("c"))
     up = Window.partitionBy(*keys).orderBy(value)
     placed = steps.select(*keys, value, "c", F.sum("c").over(up).alias("to"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))

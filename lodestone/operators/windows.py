@@ -105,6 +105,19 @@ def tertiles(rows: DataFrame, value: str, tie: str, into: str) -> DataFrame:
     return ranked.withColumn(into, F.least(F.floor(F.col("_rank") / (max(total, 1) / 3)), F.lit(2)).cast("int")).drop("_rank")
 
 
+def difficulty_bands(rows: DataFrame, key: str, length: str, nearest: str, penalty: Column) -> DataFrame:
+    """The rows with length_rank, crowding_rank, composite and band (0 easy to 2 hard).
+
+    Long names are hard to say, and those near to another name are easily taken for it: the composite is
+    0.4 of the length's rank, 0.4 of one minus the rank of the distance to the nearest name, and 0.2 of a
+    penalty from 0 to 1 for doubtful references. Bands are thirds by rank of the composite.
+    """
+    ranked = rank_fraction(rank_fraction(rows, length, key, "length_rank"), nearest, key, "_near")
+    ranked = ranked.withColumn("crowding_rank", 1 - F.col("_near")).drop("_near")
+    ranked = ranked.withColumn("composite", 0.4 * F.col("length_rank") + 0.4 * F.col("crowding_rank") + 0.2 * penalty)
+    return tertiles(ranked, "composite", key, "band")
+
+
 def checkpoints(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First, middle and last row of each key, by name."""
     ordered = Window.partitionBy(*keys).orderBy(order)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import stats as s
 from lodestone.operators import aggregates as a
+from lodestone.operators import similarity as sim
 from lodestone.operators import windows as w
 
 from .registry import Tables, query
@@ -95,7 +96,7 @@ def order_scores(t: Tables) -> DataFrame:
 @query(f"""
 with {SPAN_SQL}, r as (select l_orderkey, min(score) worst, round_even(avg(score), 0) mean, max(score) best from spans group by 1),
 u as (unpivot (select worst::double worst, mean::double mean, best::double best from r) on worst, mean, best into name aggregator value score)
-select aggregator, count(*) n, round(avg((score >= 4)::int), 9) pass_rate, round(avg(score), 9) mean_score from u group by 1""")
+select aggregator, count(*) n, round(avg((score >= 4)::int), 9) pass_rate, round(avg(score), 9) mean_score, round(max(avg((score >= 4)::int)) over () - min(avg((score >= 4)::int)) over (), 9) max_delta from u group by 1""")
 def aggregator_sensitivity(t: Tables) -> DataFrame:
     rows = a.row_scores(spans(t), ["l_orderkey"], "score", "l_linenumber")
     return a.sensitivity(rows)
@@ -242,12 +243,12 @@ def attribution_by_length(t: Tables) -> DataFrame:
 
 @query("""
 with g as (select lang, count(*) n, avg(quality) p, sum((n_chars < 500)::int) low from documents join labels using (doc_id) group by 1)
-select lang, e, round(p, 9) p, round(1.959963984540054 * sqrt(p * (1 - p) / n + low * e * (1 - e) / (n * n)), 9) half_width, n - low::bigint confirmed
+select lang, e, round(p, 9) p, round(1.959963984540054 * sqrt(p * (1 - p) / n + low * e * (1 - e) / (n * n)), 9) half_width, n - low::bigint confirmed, round((n - low) / n, 9) confirmed_share
 from g, (values (0.0), (0.1), (0.2), (0.3)) v(e)""")
 def uncertainty_sweep(t: Tables) -> DataFrame:
     """Half width of the interval if a share e of doubtful labels were wrong."""
     g = judged(t).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("p"), F.count_if(F.col("n_chars") < 500).alias("low"))
-    return a.uncertainty(g, [0.0, 0.1, 0.2, 0.3]).select("lang", "e", F.round("p", 9).alias("p"), F.round("half_width", 9).alias("half_width"), (F.col("n") - F.col("low")).alias("confirmed"))
+    return a.uncertainty(g, [0.0, 0.1, 0.2, 0.3]).select("lang", "e", F.round("p", 9).alias("p"), F.round("half_width", 9).alias("half_width"), (F.col("n") - F.col("low")).alias("confirmed"), F.round((F.col("n") - F.col("low")) / F.col("n"), 9).alias("confirmed_share"))
 
 
 @query("""
@@ -338,3 +339,17 @@ def tertile_bands(t: Tables) -> DataFrame:
     composite = 0.4 * F.col("r1") + 0.4 * (1 - F.col("r2")) + 0.2 * (F.col("p_partkey") % 3) / 2
     rows = w.tertiles(rows.withColumn("composite", composite), "composite", "p_partkey", "band")
     return rows.select("p_partkey", F.round("r1", 9).alias("rank_fraction"), F.round("composite", 9).alias("composite"), "band")
+
+
+@query("""
+with n as (select p_name, length(p_name) len from (select distinct p_name from part)), d as (select a.p_name, a.len, min(levenshtein(a.p_name, b.p_name)) near from n a join n b on a.p_name <> b.p_name group by 1, 2),
+r as (select *, count(*) over () n, row_number() over (order by len, p_name) - 1 r1, row_number() over (order by near, p_name) - 1 r2 from d),
+f as (select *, r1 / greatest(n - 1, 1) fr, 1 - r2 / greatest(n - 1, 1) crowd from r), c as (select *, 0.4e0 * fr + 0.4e0 * crowd + 0.2e0 * (len % 3) / 2 composite from f),
+b as (select *, row_number() over (order by composite, p_name) - 1 rn from c)
+select p_name, near::int near, round(fr, 9) length_rank, round(crowd, 9) crowding_rank, round(composite, 9) composite, least(floor(rn / (n / 3)), 2)::int band from b""")
+def difficulty_profile(t: Tables) -> DataFrame:
+    """Names by how hard they are to say and to tell from their nearest neighbour, in three bands."""
+    near = sim.nearest(t.part, t.part, "p_name", 1, 40).select(F.col("query").alias("p_name"), F.col("distance").alias("near"))
+    rows = near.withColumn("len", F.length("p_name"))
+    bands = w.difficulty_bands(rows, "p_name", "len", "near", (F.col("len") % 3) / 2)
+    return bands.select("p_name", "near", *(F.round(c, 9).alias(c) for c in ("length_rank", "crowding_rank", "composite")), "band")
