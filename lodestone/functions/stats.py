@@ -6,10 +6,12 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lodestone.operators.windows import cumulative
+
 Z95 = 1.959963984540054  # fixed value: two-sided 95 %
 Z80 = 0.8416212335729143  # fixed value: 80 % power
 
@@ -72,16 +74,26 @@ def kappa(both: Column, first: Column, second: Column, neither: Column) -> Colum
     return F.when(chance >= 1, 1.0).otherwise((seen - chance) / (1 - chance))
 
 
-def average_rank(value: Column, partition: list[Column]) -> Column:
-    """Rank within the partition, ties sharing the mean of their positions."""
-    ordered = Window.partitionBy(*partition).orderBy(value)
-    return F.rank().over(ordered) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2
+def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, rank: the rank of each distinct value, ties sharing the mean of their positions."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = cumulative(counts, keys, value, ["n"])
+    return ranked.select(*keys, value, (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, n, rho: null under four pairs, 0 if a side doesn't vary. A group ranks in one task."""
-    by = [F.col(c) for c in keys] or [F.lit(1)]
-    ranked = pairs.select(*keys, average_rank(F.col(a), by).alias("ra"), average_rank(F.col(b), by).alias("rb"))
+    """keys, n, rho: null under four pairs, 0 if a side doesn't vary. Pairs with a null are left out.
+
+    Ranks are those of distinct values, from counts, so no task orders all rows of a key.
+    """
+    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("a"), F.col(b).alias("b"))
+    ranked = both
+    for side in ("a", "b"):
+        ranks = average_ranks(both, keys, side).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(side).alias("_v"), F.col("rank").alias(f"r{side}"))
+        same = F.col(side) == F.col("_v")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        ranked = ranked.join(ranks, same).drop("_v", *(f"_{k}" for k in keys))
     found = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("ra", "rb").alias("c"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
     rho = F.when(F.col("n") < 4, None).when((F.col("sa") == 0) | (F.col("sb") == 0), 0.0).otherwise(F.col("c") / (F.col("sa") * F.col("sb")))
     return found.select(*keys, "n", rho.alias("rho"))
@@ -90,30 +102,13 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 def auc(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
     """n_pos, n_neg, auc: chance that a positive scores above a negative, ties half.
 
-    Counts by distinct score are summed first, so only distinct scores are ordered, not rows.
+    Counts by distinct score are summed first and then cumulated over range partitions.
     """
     steps = rows.where(score.isNotNull()).groupBy(score.alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = steps.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("w"))
+    won = cumulative(steps, [], "s", ["q"]).select("p", "q", (F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("w"))
     return won.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("w").alias("w")).select("n_pos", "n_neg", (F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at the nearest rank of a group, ties to even: ``values`` is an aggregate's input."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.least(F.rint(F.lit(p) * (F.size(ordered) - 1)).cast("int"), F.size(ordered) - 1))
-
-
-def floor_rank(values: Column, p: float) -> Column:
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.lit(p) * (F.size(ordered) - 1)).cast("int"))
-
-
-def upper_median(values: Column) -> Column:
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
