@@ -151,6 +151,18 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def absolute(url: Column, href: Column) -> Column:
+    """The link in full: as it is with a scheme, else against the page's scheme, site or folder."""
+    site = F.regexp_extract(url, "^([a-z]+://[^/?#]+)", 1)
+    folder = F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/[^/]*$", "/")
+    return (
+        F.when(href.rlike("^[a-z]+:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(url, "^([a-z]+:)", 1), href))
+        .when(href.startswith("/"), F.concat(site, href))
+        .otherwise(F.concat(folder, href))
+    )
+
+
 def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^https?://([^/?#]+)", 1)
 
@@ -173,13 +185,6 @@ def url_class(url: Column, rules: list[tuple[str, str]], other: str) -> Column:
     return out
 
 
-HEDGES = r"(?i)\b(?:likely|probably|possibly|presumably|might be|could be|may be|approximately|i think|not certain)\b"
-
-
-def speculative(text: Column) -> Column:
-    return text.rlike(HEDGES)
-
-
 def json_object(text: Column, schema: str) -> Column:
     """The object inside a text: within a code fence, else from the first brace to the last."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)

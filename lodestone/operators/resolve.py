@@ -41,11 +41,11 @@ def resumable(work: DataFrame, manifest: DataFrame, key: str, text: str, files:
 
 def replace_source(old: DataFrame, fresh: DataFrame, source: str, value: str) -> DataFrame:
     """All rows of one source replaced by fresh ones."""
-    return old.where(~F.col(source).eqNullSafe(F.lit(value))).unionByName(fresh)
+    return old.where(~F.col(source).eqNullSafe(F.lit(value))).unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert(old: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    return pending(old, fresh, keys).unionByName(fresh)
+    return pending(old, fresh, keys).unionByName(fresh, allowMissingColumns=True)
 
 
 def zip_members(rows: DataFrame, keep: list[str], left: str, right: str) -> DataFrame:

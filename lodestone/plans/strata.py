@@ -292,9 +292,9 @@ def hash_shuffle_head(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").orderBy(sm.hash_order(F.col("doc_id"), "7"), "doc_id").limit(50)
 
 
-@query("select event_id from events where event_id % 101 = 3 union select event_id from (select event_id from events where value is not null order by value, event_id limit 25)")
+@query("select event_id from events where event_id % 101 = 3 union select event_id from (select event_id from events where value <= 20 order by value, event_id limit 25)")
 def holdout_and_worst(t: Tables) -> DataFrame:
-    worst = t.events.where("value is not null").orderBy("value", "event_id").limit(25).select("event_id")
+    worst = t.events.where("value <= 20").orderBy("value", "event_id").limit(25).select("event_id")
     return t.events.where("event_id % 101 = 3").select("event_id").union(worst).distinct()
 
 

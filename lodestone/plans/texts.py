@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import stats as s
 from lodestone.functions import text as x
+from lodestone.functions import variants as v
 from lodestone.operators import similarity as sim
 
 from .registry import Tables, query
@@ -81,12 +82,12 @@ def canonical_words(t: Tables) -> DataFrame:
 
 
 @query(r"""
-select doc_id, regexp_matches(text, '(?i)\b(?:likely|probably|possibly|presumably|might be|could be|may be|approximately|i think|not certain)\b') speculative,
- (regexp_matches(text, '[A-Z]{3,}')::int + regexp_matches(text, '\d{4}')::int + regexp_matches(text, '\|')::int + regexp_matches(text, '!!')::int) >= 2 spelled from documents""")
+select doc_id, regexp_matches(text, '__GUESS__') speculative,
+ (regexp_matches(text, '[A-Z]{3,}')::int + regexp_matches(text, '\d{4}')::int + regexp_matches(text, '\|')::int + regexp_matches(text, '!!')::int) >= 2 spelled from documents""".replace("__GUESS__", v.GUESSES.replace("'", "''")))
 def text_detectors(t: Tables) -> DataFrame:
-    """Hedged wording; and texts that hit two of a list of patterns."""
+    """Texts that guess; and texts that hit two of a list of patterns."""
     hits = sum((F.col("text").rlike(p).cast("int") for p in ("[A-Z]{3,}", r"\d{4}", r"\|", "!!")), F.lit(0))
-    return t.documents.select("doc_id", x.speculative(F.col("text")).alias("speculative"), (hits >= 2).alias("spelled"))
+    return t.documents.select("doc_id", v.speculative_answer(F.col("text")).alias("speculative"), (hits >= 2).alias("spelled"))
 
 
 @query(r"""
@@ -196,12 +197,13 @@ def token_error_rate(t: Tables) -> DataFrame:
 
 
 @query("""
-with n as (select distinct p_name q from part), m as (select a.q as query, b.q neighbour, levenshtein(a.q, b.q) distance from n a join n b on a.q <> b.q and abs(length(a.q) - length(b.q)) <= 4),
-r as (select *, row_number() over (partition by query order by distance, neighbour) place from m where distance <= 4)
+with n as (select distinct p_name q from part), m as (select a.q as query, b.q neighbour, levenshtein(a.q, b.q) distance from n a join n b on a.q <> b.q),
+r as (select *, row_number() over (partition by query order by distance, neighbour) place from m)
 select query, neighbour, distance::int distance, place::int place from r where place <= 3""")
 def nearest_names(t: Tables) -> DataFrame:
-    """Three nearest names within four edits."""
-    return sim.nearest(t.part, t.part, "p_name", 3, 4)
+    """Three nearest names, whatever the distance: no two names differ by more edits than the longest is long."""
+    longest = t.part.agg(F.max(F.length("p_name")).alias("n")).first()["n"] or 1
+    return sim.nearest(t.part, t.part, "p_name", 3, longest)
 
 
 @query("""
@@ -224,3 +226,46 @@ def max_similarity(t: Tables) -> DataFrame:
     c = t.embeddings.select(F.col("label").alias("a")).distinct()
     pairs = c.join(c.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
     return sim.max_similarity(f, f, pairs)
+
+
+@query(r"""
+with l as (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) href from pages)
+select page_id, href, case when regexp_matches(href, '^[a-z]+:') then href when starts_with(href, '//') then regexp_extract(url, '^([a-z]+:)', 1) || href when starts_with(href, '/') then regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href
+  else regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || href end target from l""")
+def absolute_links(t: Tables) -> DataFrame:
+    """Links of every page in full."""
+    rows = t.pages.select("page_id", "url", F.explode(x.anchors(F.col("html"))["href"]).alias("href"))
+    return rows.select("page_id", "href", x.absolute(F.col("url"), F.col("href")).alias("target"))
+
+
+@query(r"""
+with p as (select page_id, html || '<audio><source type="a" src="' || page_id || '.mp3"></audio>' h from pages)
+select page_id, unnest(regexp_extract_all(h, '<source[^>]*src="([^"]+)"', 1)) src from p""")
+def page_sounds(t: Tables) -> DataFrame:
+    """Addresses of the sounds that a page plays."""
+    html = F.concat("html", F.lit('<audio><source type="a" src="'), F.col("page_id").cast("string"), F.lit('.mp3"></audio>'))
+    return t.pages.select("page_id", F.explode(x.sources(html)).alias("src"))
+
+
+@query("select distinct p_name, array_to_string(list_transform(list_filter(string_split(replace(lower(p_name), ' ', ''), ''), lambda c: c <> ''), lambda c: c || 'ee'), ' ') letters from part")
+def letter_names(t: Tables) -> DataFrame:
+    """Names spelled out letter by letter."""
+    names = {c: f"{c}ee" for c in "abcdefghijklmnopqrstuvwxyz"}
+    return t.part.select("p_name").distinct().select("p_name", x.spelled_out(F.replace("p_name", F.lit(" "), F.lit("")), names).alias("letters"))
+
+
+@query(r"""
+with w as (select distinct w from (select unnest(regexp_extract_all(text, '[!-~]+')) w from conversations)) select w as word, regexp_replace(w, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g') bare from w""")
+def edge_stripped(t: Tables) -> DataFrame:
+    """Words without punctuation at their edges."""
+    w = t.conversations.select(F.explode(F.regexp_extract_all("text", F.lit("[!-~]+"), F.lit(0))).alias("word")).distinct()
+    return w.select("word", x.edge_stripped(F.col("word")).alias("bare"))
+
+
+@query("""
+with n as (select distinct p_name q from part), d as (select a.q as query, b.q neighbour, levenshtein(a.q, b.q) distance from n a join n b on a.q <> b.q), f as (select *, row_number() over (partition by query order by distance, neighbour) place from d)
+select query, neighbour, (distance - length(query) % 4)::int margin, distance - length(query) % 4 <= 0 confusable, distance - length(query) % 4 > 0 and distance - length(query) % 4 < 2 narrow from f where place = 1""")
+def name_margins(t: Tables) -> DataFrame:
+    """How far each name's nearest other name lies beyond its own distance."""
+    near = sim.nearest(t.part, t.part, "p_name", 1, 40)
+    return sim.margins(near, F.length("query") % 4, 2)
