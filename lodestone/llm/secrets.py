@@ -8,7 +8,8 @@ every 32nd character, which a run of 32 must cover.
 Kinds: ``assign``, ``access`` and ``hex`` are the base kinds; ``crc_token`` (prefix, 30 base-62
 characters, then the six base-62 digits of their CRC-32) is the method's addition. Positions are
 code points, end exclusive. Null texts are empty. Texts of any length are scanned whole, one row at
-a time. Repeated rows are answered row by row; other columns pass unread.
+a time. Spans that begin together are listed by kind, in the order above. Repeated rows are answered row
+by row; an empty table gives no rows; other columns, of whatever name, pass unread.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ count: null becomes the empty text. Keys are joined to the cache; only distinct
 are encoded, once each, by the tokenizer's own library, and their counts appended to it.
 
 The cache is a Parquet table (content, tokenizer, n_tokens); a key that two writers appended is
-read once. Null texts are empty. Repeated texts cost one encoding. Rows with a repeated or null id
-are answered row by row. An empty table reads and appends nothing. Extra columns are not read.
+read once. Null texts are empty. Very long texts are encoded whole. Repeated texts cost one encoding. Rows with a
+repeated or null id are answered row by row. There are no ties to break: a key has one count. An empty
+table reads and appends nothing. Extra columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
