@@ -70,7 +70,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = numbered(apart(docs), "decontaminate-rows")
     found = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("row")), "contaminated")
-    return join_small_ids(rows, bad, bad.count(), ["row"], "left_anti").select(*restored(docs))
+    # a row of one long is 16 bytes to Spark, so the few contaminated rows need no shuffle of the texts
+    return join_small_ids(rows, bad, bad.count(), ["row"], "left_anti", row_bytes=16).select(*restored(docs))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
