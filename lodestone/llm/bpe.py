@@ -7,7 +7,10 @@ batch and remembered. Only words that fail it are merged exactly, in rank order.
 
 The vocabulary's path is a parameter. Special strings inside a text become their ids, as is the
 tokenizers library's default. Null texts are empty and give no ids. Long texts and long words are
-handled whole: exact merging takes n log n steps. Repeated rows are answered row by row.
+handled whole: exact merging of a long word takes n log n steps. Of pairs of equal rank the leftmost
+merges first. Repeated rows are answered row by row; an empty table gives no rows. Other columns pass
+:func:`encode` and :func:`decode`, but those named like a new column are replaced; :func:`round_trip` does
+not read them.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from .pretokens import WORDS, PieceMemory
 
 NEVER = np.int64(1) << 40
 _SEPARATOR = "Ā"
+_SHORT, _NO_RANK = 40, 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,6 +71,8 @@ class Bpe:
     def _lay_out(self, size: int) -> None:
         self.size = size
         pairs = np.array([a * size + b for a, b in self.merges], np.int64)
+        self.rank_of = {code: rank for code, (rank, _) in zip(pairs.tolist(), self.merges.values(), strict=True)}
+        self.born_of = {rank: c for rank, c in self.merges.values()}
         order = np.argsort(pairs)
         self.pair_codes = pairs[order]
         self.pair_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
@@ -154,6 +160,22 @@ class Bpe:
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: the merge of least rank first, the leftmost among equals."""
         ids = [self.byte_ids[b] for b in word]
+        if len(ids) > _SHORT:
+            return self._merge_long(ids)
+        size, rank = self.size, self.rank_of.get
+        ranks = [rank(a * size + b, _NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < _NO_RANK:
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.born_of[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] * size + ids[i], _NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] * size + ids[i + 1], _NO_RANK)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """:meth:`merge` with a queue, for words whose pairs are too many to look through each time."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(self.merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges]

@@ -89,3 +89,17 @@ def test_sentencepiece_counts(spark):
     rows = [(1, "one two  three"), (2, None), (3, "é\n\nx")]
     got = {r.doc_id: r.n_tokens for r in count_tokens(docs_frame(spark, rows), path, by_pieces=False).collect()}
     assert got == {d: len(model.encode(t or "")) for d, t in rows}
+
+
+def test_short_and_long_merges_are_equal():
+    """Looking through the pairs and the queue give the same tokens."""
+    import random
+
+    from lodestone.llm.bpe import load
+    from lodestone.llm.queries import VOCABULARY
+
+    model, _ = load(VOCABULARY)
+    r = random.Random(5)
+    for _ in range(3000):
+        word = "".join(r.choice("aaeinorst hlüé#1") for _ in range(r.randrange(1, 41))).encode()[:40]
+        assert model.merge(word) == model._merge_long([model.byte_ids[b] for b in word])
