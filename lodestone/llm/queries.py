@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, licenses, quality_rules, secrets
+from . import bpe, fim, hmm, licenses, merkle, quality_rules, secrets
 from .common import table
 from .decontaminate import decontaminate
 from .line_quality import score_quality
@@ -68,6 +68,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digests = (F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    proved = merkle.manifest(docs, offered=merkle.without_newlines(docs))
+    return merkle.audit(proved, "offered").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity,
@@ -80,9 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_decontaminate,
         op10_quality_rules,
+        op11_fill_in_middle,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle(), "op10_quality_rules": quality_rules.ORACLE}
+    return {"op5_license_scan": licenses.oracle(), "op10_quality_rules": quality_rules.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op13_merkle_manifest": merkle.oracle()}
