@@ -31,6 +31,7 @@ _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+UNCHANGED = np.arange(256, dtype=np.uint8)
 
 
 def _byte_set(*spans: tuple[int, int]) -> np.ndarray:
@@ -97,8 +98,8 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word with A-Z lower-cased: a rolling polynomial, then scrambled.
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, read_as: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hash of every word, by default with A-Z lower-cased: a rolling polynomial, then scrambled.
 
     Two given different words share a value with probability about 2**-64.
     """
@@ -109,7 +110,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         base, stop = int(starts[lo]), int(ends[hi - 1])
         power, inverse = _power_tables(stop - base + 1)
         sums = np.zeros(stop - base + 1, U)
-        np.cumsum(_BYTE_CODES[LOWER[raw[base:stop]]] * power[: stop - base], out=sums[1:])
+        np.cumsum(_BYTE_CODES[read_as[raw[base:stop]]] * power[: stop - base], out=sums[1:])
         a, b = starts[lo:hi] - base, ends[lo:hi] - base
         out[lo:hi] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(U)
         lo = hi

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, hmm, licenses, merkle, quality_rules, secrets
+from . import bpe, fim, hmm, licenses, merkle, quality_rules, recompression, secrets
 from .common import table
 from .decontaminate import decontaminate
 from .line_quality import score_quality
@@ -74,6 +74,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     proved = merkle.manifest(docs, offered=merkle.without_newlines(docs))
@@ -93,10 +98,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_decontaminate,
         op10_quality_rules,
         op11_fill_in_middle,
+        op12_substring_dedup,
         op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle(), "op10_quality_rules": quality_rules.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op13_merkle_manifest": merkle.oracle()}
+    return {
+        "op5_license_scan": licenses.oracle(),
+        "op10_quality_rules": quality_rules.ORACLE,
+        "op11_fill_in_middle": fim.ORACLE,
+        "op12_substring_dedup": recompression.ORACLE,
+        "op13_merkle_manifest": merkle.oracle(),
+    }
