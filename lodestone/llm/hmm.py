@@ -4,10 +4,11 @@ Counts of every word of every training text are gathered first. Words frequent e
 of at most ``most_words`` rows are symbols of their own; each other word is emitted through the class
 of its shape and then drawn within the class by its smoothed count, so the model is a distribution
 over whole texts and every word's count matters. States are trained by Baum-Welch from a seeded random
-start: ``warm_rounds`` rounds over the share ``warm_share`` of the training texts (whole texts, drawn by
-hash, so the share grows with the corpus), then rounds over all of them until the gain for each token
-falls under ``least_gain``, ``most_rounds`` at most. Each round sums expected counts over all partitions. A
-text's score is the exact likelihood of the whole text by the scaled forward recursion. Long texts are
+start: ``warm_rounds`` rounds over a share of the training texts (whole texts, drawn by a hash of id and
+text, so by no order of rows), then rounds over all of them until the gain for each token falls under
+``least_gain``, ``most_rounds`` at most. The share is ``warm_share``, or what gives about ``warm_tokens`` tokens if
+that is more, so a small corpus is its own share. Each round sums expected counts over all partitions in
+doubles; a round without any leaves the model as it is. A text's score is the exact likelihood of the whole text by the scaled forward recursion. Long texts are
 worked off in runs side by side; forward and backward values are carried over the runs' borders, so
 counts and likelihoods are those of the whole text, and only a text's first word counts as a start.
 
@@ -31,6 +32,7 @@ from . import kernels as k
 from .common import is_held_out, materialize, ship_code
 
 SHAPES = 31 * 4
+_DRAWS = 1 << 30
 _LAST = np.full(256, 30, np.int64)
 _LAST[97:123] = np.arange(26)
 _LAST[65:91] = np.arange(26)
@@ -286,14 +288,14 @@ def vocabulary(counts: DataFrame, texts: int, most_words: int) -> Vocabulary:
 
 
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """row, doc_id, held_out, symbols (with the end), known (frequent tokens), base (their part of the
+    """row, doc_id, held_out, drawn (a number from id and text, for samples), symbols (with the end), known (frequent tokens), base (their part of the
     base score), within (what shapes take off the score), rare and rare_n (other words, distinct)."""
     logs = np.log10(v.counts.astype(np.float64) + 1)
     shape_log = np.log10(v.rare_total + v.rare_types + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = k.text_buffer(batch.column(3))
+            raw, offsets = k.text_buffer(batch.column(4))
             for lo, hi in k.row_chunks(offsets):
                 rows = hi - lo
                 part = raw[offsets[lo] : offsets[hi]]
@@ -314,7 +316,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 rare_at = pa.array(np.searchsorted(other_row[first], np.arange(rows + 1)).astype(np.int32))
                 yield pa.record_batch(
                     [
-                        *(batch.column(c).slice(lo, rows) for c in range(3)),
+                        *(batch.column(c).slice(lo, rows) for c in range(4)),
                         pa.ListArray.from_arrays(pa.array((bounds + np.arange(rows + 1)).astype(np.int32)), pa.array(ids)),
                         pa.array(np.bincount(row[frequent], minlength=rows).astype(np.int64)),
                         pa.array(base.astype(np.float64)),  # without words numpy counts in integers
@@ -322,11 +324,12 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
                         pa.ListArray.from_arrays(rare_at, pa.array(other[first].view(np.int64))),
                         pa.ListArray.from_arrays(rare_at, pa.array(np.diff(np.r_[first, len(other)]).astype(np.int32))),
                     ],
-                    names=["row", "doc_id", "held_out", "symbols", "known", "base", "within", "rare", "rare_n"],
+                    names=["row", "doc_id", "held_out", "drawn", "symbols", "known", "base", "within", "rare", "rare_n"],
                 )
 
-    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(
-        run, "row long, doc_id long, held_out boolean, symbols array<int>, known long, base double, within double, rare array<long>, rare_n array<int>"
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_DRAWS)).alias("drawn")
+    return docs.select("row", "doc_id", "held_out", drawn, "text").mapInArrow(
+        run, "row long, doc_id long, held_out boolean, drawn long, symbols array<int>, known long, base double, within double, rare array<long>, rare_n array<int>"
     )
 
 
@@ -352,10 +355,12 @@ def expected_counts(training: DataFrame, model: Model, symbols: int, run: int) -
             extra = np.zeros((1, states))
             extra[0, 0] = totals.log10
             values = np.concatenate([totals.emit[used], totals.move, totals.start[None], extra])
-            columns = [pa.array(values[:, s].astype(np.float32)) for s in range(states)]  # sums of partitions are taken in doubles
+            columns = [pa.array(np.ascontiguousarray(values[:, s])) for s in range(states)]
             yield pa.record_batch([pa.array(keys.astype(np.int32)), *columns], names=["symbol", *names])
 
-    parts = training.select("symbols").mapInArrow(step, "symbol int, " + ", ".join(f"{n} float" for n in names))
+    # a task's counts are a table of all its words, so fewer and larger tasks send less
+    tasks = training.coalesce(max(1, training.rdd.getNumPartitions() // 2))
+    parts = tasks.select("symbols").mapInArrow(step, "symbol int, " + ", ".join(f"{n} double" for n in names))
     table = parts.groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
     totals = Counts(symbols, states)
     key, value = table.symbol.to_numpy(np.int64), table[names].to_numpy(np.float64)
@@ -380,15 +385,16 @@ def first_model(v: Vocabulary, states: int, seed: int = 11) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def train(fit: DataFrame, v: Vocabulary, states: int, warm_rounds: int, warm_share: float, most_rounds: int, least_gain: float, strength: float, run: int) -> tuple[Model, list[float]]:
+def train(fit: DataFrame, v: Vocabulary, states: int, warm_rounds: int, warm_share: float, warm_tokens: int, most_rounds: int, least_gain: float, strength: float, run: int) -> tuple[Model, list[float]]:
     """The trained model, and the mean log10 likelihood of a token before each full round."""
     model, seen = first_model(v, states), []
     if not v.texts:
         return model, seen
-    place = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
-    warm = materialize(fit.where(place < int(warm_share * (1 << 30))).select("symbols"), "op7-warm")
+    share = min(1.0, max(warm_share, warm_tokens / v.tokens))
+    warm = materialize(fit.where(F.col("drawn") < int(share * _DRAWS)).select("symbols"), "op7-warm")
     for _ in range(warm_rounds):
-        model = expected_counts(warm, model, v.end + 1, run).model(v.unigram(), strength)
+        totals = expected_counts(warm, model, v.end + 1, run)
+        model = totals.model(v.unigram(), strength) if totals.start.any() else model
     for _ in range(most_rounds):
         totals = expected_counts(fit, model, v.end + 1, run)
         model = totals.model(v.unigram(), strength)
@@ -399,7 +405,7 @@ def train(fit: DataFrame, v: Vocabulary, states: int, warm_rounds: int, warm_sha
 
 
 def score_texts(
-    docs: DataFrame, states: int = 8, most_words: int = 65_536, warm_rounds: int = 4, warm_share: float = 1 / 16, most_rounds: int = 6, least_gain: float = 5e-3, strength: float = 5.0, run: int = 512, mod: int = 7
+    docs: DataFrame, states: int = 8, most_words: int = 65_536, warm_rounds: int = 4, warm_share: float = 1 / 16, warm_tokens: int = 1 << 20, most_rounds: int = 6, least_gain: float = 5e-3, strength: float = 5.0, run: int = 512, mod: int = 7
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
@@ -416,7 +422,7 @@ def score_texts(
     counts = materialize(count_words(training.select("text")), "op7-counts")
     v = vocabulary(counts, texts, most_words)
     encoded = materialize(encode(rows, v), "op7-encoded")
-    model, _ = train(encoded.where("not held_out").select("row", "symbols"), v, states, warm_rounds, warm_share, most_rounds, least_gain, strength, run)
+    model, _ = train(encoded.where("not held_out").select("drawn", "symbols"), v, states, warm_rounds, warm_share, warm_tokens, most_rounds, least_gain, strength, run)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

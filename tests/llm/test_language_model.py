@@ -4,10 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from lodestone.llm.hmm import Counts, Model, Packed, carry, cut_runs, count_words, encode, expected_counts, score_texts, text_groups, train, vocabulary
+from lodestone.llm.hmm import Counts, Model, Packed, carry, cut_runs, count_words, encode, expected_counts, first_model, score_texts, text_groups, train, vocabulary
 
-from .helpers import awkward_docs, docs_frame, empty_frame
+from .helpers import awkward_docs, docs_frame, empty_frame, prose
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -82,8 +83,8 @@ def test_a_round_counts_all_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
     rows = docs.selectExpr("doc_id as row", "doc_id", "false as held_out", "text")
     v = vocabulary(count_words(rows.select("text")), rows.count(), 5000)
-    encoded = encode(rows, v).select("row", "symbols").cache()
-    model, seen = train(encoded, v, 4, 2, 0.5, 4, -1.0, 5.0, 512)
+    encoded = encode(rows, v).select("row", "drawn", "symbols").cache()
+    model, seen = train(encoded, v, 4, 2, 0.5, 0, 4, -1.0, 5.0, 512)
     assert len(seen) == 4 and all(a < b for a, b in zip(seen[:-1], seen[1:], strict=True))
     got = expected_counts(encoded, model, v.end + 1, 512)
     texts = [np.array(r.symbols) for r in encoded.orderBy(F.col("row")).collect()]
@@ -135,5 +136,45 @@ def test_better_than_unigrams_on_held_out_texts(spark):
     assert r.s / r.n > r.b / r.n + 0.05
 
 
+def trained(spark, texts, states=4):
+    frame = docs_frame(spark, list(enumerate(texts))).selectExpr("doc_id as row", "doc_id", "false as held_out", "text")
+    v = vocabulary(count_words(frame.select("text")), len(texts), 1000)
+    return train(encode(frame, v).select("row", "drawn", "symbols"), v, states, 4, 1 / 16, 1 << 20, 6, -1.0, 5.0, 512)
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 40])
+def test_states_part_on_small_tables(spark, n):
+    """Few texts are all in the warm share: no state ends up like another, and likelihood grows."""
+    model, seen = trained(spark, [prose(s, 60) for s in range(n)])
+    for a in range(4):
+        for b in range(a):
+            assert np.abs(model.emit[:, a] - model.emit[:, b]).sum() > 0.05
+    assert np.ptp(model.move) > 0.05 and seen[-1] > seen[0]
+
+
+def test_a_share_without_texts_leaves_the_model(spark):
+    frame = docs_frame(spark, [(i, prose(i, 30)) for i in range(3)]).selectExpr("doc_id as row", "doc_id", "false as held_out", "text")
+    v = vocabulary(count_words(frame.select("text")), 3, 1000)
+    encoded = encode(frame, v).select("row", "drawn", "symbols")
+    model, _ = train(encoded, v, 3, 2, 0.0, 0, 0, 0.0, 5.0, 512)
+    assert np.allclose(model.emit, first_model(v, 3).emit)
+
+
+def test_scores_do_not_follow_the_layout(spark):
+    """The same rows in one file or many, in another order: the same scores."""
+    rows = [(i, prose(i, 80)) for i in range(120)] + [(7, prose(7, 80)), (None, "no id"), (500, None)]
+    frame = docs_frame(spark, rows)
+    shown = lambda f: sorted((str(r.doc_id), r.n_tokens, r.score) for r in score_texts(f, states=4, warm_tokens=2000).collect())
+    one, many = shown(frame.coalesce(1)), shown(frame.repartition(7, "n_chars"))
+    assert [x[:2] for x in one] == [x[:2] for x in many]
+    assert np.allclose([x[2] for x in one], [x[2] for x in many], rtol=1e-9)
+
+
+def test_clashing_columns(spark):
+    frame = docs_frame(spark, [(i, prose(i, 20)) for i in range(5)])
+    more = frame.selectExpr("*", "1 as row", "'x' as symbols", "2 as h", "3 as drawn", "true as held_out")
+    assert shown(score_texts(more, states=2)) == shown(score_texts(frame, states=2))
+
+
 def test_empty(spark):
     assert score_texts(empty_frame(spark)).collect() == []
