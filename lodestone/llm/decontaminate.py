@@ -137,8 +137,8 @@ class Segment:
         return (low <= high) & (self.places[np.minimum(at, len(self.places) - 1)] <= high) & (at < len(self.places))
 
 
-def search_segment(s: Segment, test: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Exact matches (phrase, begin) and near ones (phrase, document) of one segment."""
+def search_segment(s: Segment, test: Phrases, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Exact matches (phrase, begin) and near ones (phrase, document) of one segment; none near without slop."""
     none = np.zeros(0, np.int64)
     if not len(test.terms) or not len(s.terms):
         return none, none, none, none
@@ -156,7 +156,7 @@ def search_segment(s: Segment, test: Phrases, slop: int) -> tuple[np.ndarray, np
     return exact, begin, near, doc
 
 
-def _intersect(s: Segment, test: Phrases, slop: int, at: np.ndarray, phrase: np.ndarray, order: np.ndarray, least: np.ndarray):
+def _intersect(s: Segment, test: Phrases, slop: int | None, at: np.ndarray, phrase: np.ndarray, order: np.ndarray, least: np.ndarray):
     """Postings of each phrase's rarest term, narrowed by the other terms' lists in order of rarity."""
     rarest = order[:, 0]
     list_of = at[test.terms[phrase, rarest]]
@@ -176,6 +176,8 @@ def _intersect(s: Segment, test: Phrases, slop: int, at: np.ndarray, phrase: np.
     for j in range(1, order.shape[1]):
         offset, base, real = steps(alive, j)
         alive = alive[~real | s.has(base + begin[alive] + offset)]
+    if slop is None:
+        return phrase[mine[alive]], begin[alive], alive[:0], alive[:0]
     close = np.arange(len(place))
     shift = np.zeros(len(place), np.int64)
     for reach in (2 * slop, slop):  # all places that could be near, then each of their beginnings
@@ -250,17 +252,18 @@ def _lists(n: int, pairs: set[tuple[int, int]]) -> pa.Array:
 
 
 def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phrases]:
-    """The test set in blocks of about ``block_bytes`` of text, dealt by a hash of the item id.
+    """The test set in blocks of about ``block_bytes`` of text, dealt by a hash of id and text.
 
-    One block at a time is on the driver, so its size does not follow that of the test set.
+    One block at a time is on the driver, so its size does not follow that of the test set, however often
+    an id repeats.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     if blocks == 1:
         yield phrases_of([tuple(r) for r in items.collect()], window)
         return
-    items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).repartition("block"), "op9-items")
+    items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartition("block"), "op9-items")
     for b in range(blocks):
         yield phrases_of([tuple(r) for r in items.where(F.col("block") == b).drop("block").collect()], window)
 
@@ -297,6 +300,55 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     return gathered.select("doc_id", "n_words", *_summary(share, hit, F.array_except("near_ids", "item_ids")))
 
 
+def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 1 << 20) -> DataFrame:
+    """All columns of ``docs`` and ``contaminated``, by the rule of :func:`decontaminate`.
+
+    The verdict is found in the pass that holds the text: a batch is indexed, its index searched and
+    forgotten. So rows need no number and no join, and nothing is shuffled. Each block of items is one more
+    such pass over the rows. A column ``contaminated`` of ``docs`` is replaced.
+    """
+    ship_code(docs.sparkSession)
+    kept = [c for c in docs.columns if c.lower() != "contaminated"]
+    named = docs.select(F.col("text").cast("string").alias("body"), F.lit(None).cast("array<int>").alias("spans"), F.lit(0).cast("long").alias("n_words"), *(F.col(f"`{c}`").alias(f"user{i}") for i, c in enumerate(kept)))
+
+    def marked(rows: DataFrame, test: Phrases) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, offsets = k.text_buffer(batch.column(0))
+                for lo, hi in k.row_chunks(offsets, _SEGMENT_BYTES):
+                    part = batch.slice(lo, hi - lo)
+                    ids = pa.array(np.zeros(hi - lo, np.int64))
+                    s = Segment(_segment(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ids, ids))
+                    exact, begin, _, _ = search_segment(s, test, None)
+                    spans = part.column(1).to_pylist()
+                    end = begin + test.lengths[exact]
+                    doc = np.searchsorted(s.bounds, begin, "right") - 1
+                    for d, a, b in zip(doc.tolist(), (begin - s.bounds[doc]).tolist(), (end - s.bounds[doc]).tolist(), strict=True):
+                        spans[d] = [*(spans[d] or []), a, b]
+                    found = pa.array([None if x is None else joined(x) for x in spans], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), found, pa.array(np.diff(s.bounds)), *part.columns[3:]], names=part.schema.names)
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for test in item_blocks(benchmark, window, block_bytes):
+        named = marked(named, test)
+    steps = F.transform(F.coalesce("spans", F.array().cast("array<int>")), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+    hit = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+    verdict = (hit > 0) & (hit * share >= F.col("n_words"))
+    return named.select(*(F.col(f"user{i}").alias(c) for i, c in enumerate(kept)), verdict.alias("contaminated"))
+
+
+def joined(spans: list[int]) -> list[int]:
+    """Begins and ends in turn, in order, of spans that overlap no more."""
+    out: list[int] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
 def _summary(share: int, hit: Column, near: Column) -> list[Column]:
     names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return [

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from lodestone.llm.decontaminate import decontaminate, items_digest
+from lodestone.llm.decontaminate import decontaminate, item_blocks, items_digest, joined, mark_contaminated
 
 from .helpers import awkward_docs, docs_frame, empty_frame, prose
 
@@ -111,3 +111,33 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(empty_frame(spark), none).collect() == []
     assert all(r.n_hit == 0 for r in decontaminate(docs_frame(spark), none).collect())
+
+
+def bench_frame(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_marks_equal_brute_force(spark, block_bytes):
+    """The verdict found in the text's own pass, with one block of items and with many."""
+    passage = prose(70, 40)
+    rows = awkward_docs() + [(600 + i, f"{prose(80 + i, 30 * i)} {passage if i % 2 else prose(3, 9)} {prose(90, 5)}") for i in range(12)]
+    items = [(1, passage), (2, prose(0, 120)), (3, "ka lo"), (3, prose(90, 5)), (4, None), (None, prose(1, 50)), (5, "a b c d")]
+    want = sorted((str(d), t or "", bad) for (d, t), bad in zip(rows, [brute_force([r], items)[0][-1] for r in rows], strict=True))
+    got = mark_contaminated(docs_frame(spark, rows), bench_frame(spark, items), block_bytes=block_bytes).collect()
+    assert sorted((str(r.doc_id), r.text or "", r.contaminated) for r in got) == want
+    assert {r.source for r in got} == {"src0"} and mark_contaminated(empty_frame(spark), bench_frame(spark, items)).count() == 0
+
+
+def test_an_item_id_that_repeats_very_often(spark):
+    """Copies of an item are one item; different texts of one id are dealt over blocks."""
+    copies = bench_frame(spark, [(1, prose(70, 40))] * 500 + [(2, prose(100 + i, 30)) for i in range(200)])
+    blocks = list(item_blocks(copies, 13, 4000))
+    assert len(blocks) > 3 and sum(len(set(b.owners.tolist()) & {2}) for b in blocks) > 3
+    rows = [(i, f"{prose(i + 100, 30)} tail {prose(70, 40)}") for i in range(20)]
+    items = [tuple(r) for r in copies.distinct().collect()]
+    assert shown(decontaminate(docs_frame(spark, rows), copies, block_bytes=4000)) == brute_force(rows, items)
+
+
+def test_joined_spans():
+    assert joined([5, 9, 0, 2, 8, 12, 12, 13, 20, 21]) == [0, 2, 5, 13, 20, 21]
