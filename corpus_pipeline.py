@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe
-from lodestone.llm.common import join_small_ids, materialize, numbered, table
-from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.common import materialize, numbered, table
+from lodestone.llm.decontaminate import mark_contaminated
 from lodestone.llm.line_quality import score_quality
 from lodestone.llm.neardup import near_duplicates
 from lodestone.llm.queries import VOCABULARY
@@ -43,7 +43,8 @@ def free_name(name: str, taken: list[str]) -> str:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Each row is judged by its own text: null and
-    repeated ids are no matter, a null text is one empty line. An empty table stays empty."""
+    repeated ids are no matter, a null text is one empty line, equal texts get equal scores. An empty table
+    stays empty."""
     return score_quality(apart(docs), table(spark, sf_dir, "labels")).where("predicted = 1").select(*restored(docs))
 
 
@@ -61,26 +62,26 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
     kept = grouped.groupBy("component_id").agg(first.alias("row")).select("row")
     dropped = materialize(grouped.select("row").join(kept, "row", "left_anti"), "dedup-dropped")
-    return join_small_ids(rows, dropped, dropped.count(), ["row"], "left_anti").select(*restored(docs))
+    # texts of all sizes are shuffled once, as what is dropped follows the corpus
+    return rows.join(dropped.hint("shuffle_hash"), "row", "left_anti").select(*restored(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark passage by the contamination rule, each judged by its own text. Null
-    and empty texts hold none. Decisions are joined by row; an empty table stays empty."""
-    rows = numbered(apart(docs), "decontaminate-rows")
-    found = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("row")), "contaminated")
-    # a row of one long is 16 bytes to Spark, so the few contaminated rows need no shuffle of the texts
-    return join_small_ids(rows, bad, bad.count(), ["row"], "left_anti", row_bytes=16).select(*restored(docs))
+    """Rows that hold no benchmark passage by the contamination rule, each judged by its own text, in the
+    pass that reads it. Null and empty texts hold none; repeated rows and tied ids are no matter; an empty
+    table stays empty."""
+    return mark_contaminated(apart(docs), table(spark, sf_dir, "benchmark")).where("not contaminated").select(*restored(docs))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with secrets masked in their text and n_chars set anew. Null texts stay null."""
+    """All rows, with secrets masked in their text and n_chars set anew. Null texts stay null; an empty table
+    stays empty."""
     return mask_secrets(docs)
 
 
 def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their token ids and whether decoding gives the text back; a null text is empty.
+    """All rows with their token ids and whether decoding gives the text back; a null text is empty, an empty
+    table stays empty.
 
     The new columns are n_tokens, ids and round_trip; where the table has such a name already, its
     column stays and the new one gets an underscore behind its name.
