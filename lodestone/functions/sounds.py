@@ -4,11 +4,13 @@ the canonical respelling, templates of wiki text, and edits of phonetic text tow
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from . import notation as n
 from . import respelling as r
@@ -327,22 +329,29 @@ def sanitized(ipa: Column, like: Column) -> Column:
     return _let(F.struct(clean.alias("text"), bare_phones(clean).alias("phones")), checked)
 
 
-def _edited(kind: str):
-    """:func:`moved_towards` and then :func:`voiced`, for pairs of short sequences."""
-    vowels, said = frozenset(VOWEL_PHONES), frozenset([*VOWEL_PHONES, *VOICE_PHONES.values()])
+def _edited(own: list[str], wanted: list[str], kind: str, like: str, vowels: frozenset[str], said: frozenset[str]) -> str:
+    """:func:`moved_towards` and then :func:`voiced`, for one pair of short sequences."""
+    body = [VOICE_PHONES.get(p, p) for p in r._moved(own, wanted, kind, vowels)]
+    first = next((i for i, p in enumerate(body) if p in said), None)
+    if n.PRIMARY in like and first is not None:
+        body.insert(first, n.PRIMARY)
+    return "".join(body)
+
 
-    def text(own: list[str], wanted: list[str], like: str) -> str:
-        body = [VOICE_PHONES.get(p, p) for p in r._moved(own, wanted, kind, vowels)]
-        first = next((i for i, p in enumerate(body) if p in said), None)
-        if n.PRIMARY in like and first is not None:
-            body.insert(first, n.PRIMARY)
-        return "".join(body)
+def _with_edits(rows: DataFrame, own: str, wanted: str, like: str, kinds: tuple[str, ...]) -> DataFrame:
+    """``rows`` with a column ``_kind`` for each kind of edit; one pass of Arrow batches for all of them."""
+    vowels, said = frozenset(VOWEL_PHONES), frozenset([*VOWEL_PHONES, *VOICE_PHONES.values()])
+    schema = rows.schema
+    for kind in kinds:
+        schema = StructType([*schema.fields, StructField(f"_{kind}", StringType())])
 
-    @F.pandas_udf(StringType())
-    def edited(own: pd.Series, wanted: pd.Series, like: pd.Series) -> pd.Series:
-        return pd.Series([text(list(a), list(b), x) for a, b, x in zip(own, wanted, like, strict=True)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            triples = list(zip(*(batch.column(c).to_pylist() for c in (own, wanted, like)), strict=True))
+            made = [pa.array([_edited(a, b, kind, x, vowels, said) for a, b, x in triples], pa.string()) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    return edited
+    return rows.mapInArrow(run, schema)
 
 
 def proposals(rows: DataFrame, ipa: str, human: str, synthetic: str, official: str) -> DataFrame:
@@ -350,9 +359,9 @@ def proposals(rows: DataFrame, ipa: str, human: str, synthetic: str, official: s
     were heard to say, and official texts: the first of these or what people say; the second or their vowels;
     one edit towards them; one edit if the voice still differs; schwas opened, else one edit."""
     text = F.coalesce(F.col(ipa), F.lit(""))
-    cut = rows.withColumns({"_own": bare_phones(text), "_said": heard_phones(F.col(human)), "_voice": heard_phones(F.col(synthetic))})
+    cut = rows.withColumns({"_text": text, "_own": bare_phones(text), "_said": heard_phones(F.col(human)), "_voice": heard_phones(F.col(synthetic))})
     near = cut.withColumns({"_span": n.nearest_window(F.col("_said"), F.col("_own")), "_voice": n.nearest_window(F.col("_voice"), F.col("_own"))})
-    edited = near.withColumns({f"_{kind}": _edited(kind)("_own", "_span", text) for kind in ("vowels", "one")})
+    edited = _with_edits(near, "_own", "_span", "_text", ("vowels", "one"))
     one = F.when((F.size("_own") > 0) & (F.size("_span") > 0), F.col("_one")).otherwise(text)
     same = (F.coalesce(synthetic, F.lit("")) != "") & (voiced(F.col("_span"), F.lit("")) == voiced(F.col("_voice"), F.lit("")))
     folded = F.replace(text, F.lit("ə"), F.lit("ʌ"))

@@ -281,52 +281,6 @@ def endpoint_report(entries: DataFrame, stages: list[tuple[str, DataFrame]], key
     return scored, rows.where("missing is not null").select(key, "missing")
 
 
-def retry_variants(rows: DataFrame, options: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], low: float, gain: float, most: int = 3) -> DataFrame:
-    """Walk on to the next unused variant of rows under ``low`` while each step gains enough.
-
-    ``rows`` has key, used (the variant in use of each part) and score; ``options`` has key and options
-    (the variants of each part). The first part that still has an unused variant moves on. A row stops at
-    its first step without the gain, without another variant, or after ``most`` steps. A round is one job
-    over all rows that still walk, scored by ``score`` (key, used -> key, score).
-    """
-    state = rows.join(options, key, "left").select(key, "used", "score", "options", F.lit(True).alias("walks"), F.lit(0).alias("tries"))
-    for _ in range(most):
-        nexts = F.transform("options", lambda o, i: F.when(F.array_position(o, F.get("used", i)) > 0, F.get(o, F.array_position(o, F.get("used", i)).cast("int"))).otherwise(F.get(o, F.lit(0))))
-        tried = state.withColumn("nexts", nexts)
-        at = F.array_position(F.transform("nexts", lambda x: x.isNotNull()), F.lit(True))
-        tried = tried.withColumn("at", F.when(F.col("walks") & (F.coalesce("score", F.lit(0.0)) < low), F.coalesce(at, F.lit(0))).otherwise(F.lit(0)))
-        tried = tried.withColumn("trial", F.when(F.col("at") > 0, F.transform("used", lambda u, i: F.when(i + 1 == F.col("at"), F.get("nexts", i)).otherwise(u))))
-        scored = score(tried.where("trial is not null").select(key, F.col("trial").alias("used"))).select(key, F.col("score").alias("new"))
-        joined = tried.join(scored, key, "left")
-        keeps = F.coalesce(F.col("new") >= F.coalesce("score", F.lit(0.0)) + gain, F.lit(False))
-        state = joined.select(
-            key,
-            F.when(keeps, F.col("trial")).otherwise(F.col("used")).alias("used"),
-            F.when(keeps, F.col("new")).otherwise(F.col("score")).alias("score"),
-            "options",
-            (F.col("walks") & keeps).alias("walks"),
-            (F.col("tries") + F.col("trial").isNotNull().cast("int")).alias("tries"),
-        )
-    return state.select(key, "used", "score", "tries")
-
-
-def hill_climb(rows: DataFrame, key: str, propose: list[Callable[[DataFrame], DataFrame]], score: Callable[[DataFrame], DataFrame], goal: float) -> DataFrame:
-    """Rounds of proposals over the rows still under ``goal``; a proposal is kept if it scores higher.
-
-    ``rows`` has key, form and score. Each round proposes a form (key, form) for the open rows, scores
-    them together and keeps the better one, with the round that gave it.
-    """
-    state = rows.withColumn("round", F.lit(0))
-    for n, step in enumerate(propose, 1):
-        trial = score(step(state.where(F.col("score") < goal))).select(key, F.col("form").alias("_form"), F.col("score").alias("_score"))
-        better = F.coalesce(F.col("_score") > F.col("score"), F.lit(False))
-        joined = state.join(trial, key, "left")
-        state = joined.select(
-            key, F.when(better, F.col("_form")).otherwise(F.col("form")).alias("form"), F.when(better, F.col("_score")).otherwise(F.col("score")).alias("score"), F.when(better, n).otherwise(F.col("round")).alias("round")
-        )
-    return state
-
-
 # Answers of services, as JSON.
 
 ANSWER = "struct<candidates: array<struct<content: struct<parts: array<struct<text: string>>>, groundingMetadata: struct<groundingChunks: array<struct<web: struct<uri: string, title: string, domain: string>>>, webSearchQueries: array<string>, searchEntryPoint: struct<renderedContent: string>>>>>"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import notation as n
@@ -11,6 +13,8 @@ from lodestone.functions import respelling as r
 from lodestone.functions import sounds as so
 from lodestone.functions import stats as s
 from lodestone.operators import evidence as e
+from lodestone.operators import loops
+from lodestone.sources.tables import fresh_path
 
 from .phonetics import spelled
 from .registry import Tables, query
@@ -126,7 +130,7 @@ def climbed_names(t: Tables) -> DataFrame:
     start = _closeness(t.part.select(F.col("p_name").alias("key")).distinct().withColumn("form", F.upper("key")))
     step = lambda f: lambda open_rows: open_rows.select("key", f.alias("form"))
     proposals = [step(F.lower("key")), step(F.replace(F.lower("key"), F.lit("e"), F.lit("a"))), step(F.replace("key", F.lit(" "), F.lit("")))]
-    return e.hill_climb(start, "key", proposals, _closeness, 0.9)
+    return loops.hill_climb(start, "key", proposals, _closeness, 0.9)
 
 
 def _walk_score(frame: DataFrame) -> DataFrame:
@@ -145,7 +149,7 @@ def walked_variants(t: Tables) -> DataFrame:
     names = t.part.select(F.col("p_name").alias("key")).distinct()
     rows = _walk_score(names.select("key", F.array(a, b).alias("used")))
     options = names.select("key", F.array(F.array(F.concat(a, b), b, F.concat(a, b, a), F.concat(a, b, a, b)), F.array(b)).alias("options"))
-    done = e.retry_variants(rows, options, "key", _walk_score, 0.6, 0.05)
+    done = loops.retry_variants(rows, options, "key", _walk_score, 0.6, 0.05)
     return done.select("key", F.array_join("used", "|").alias("used"), "score", "tries")
 
 
@@ -195,3 +199,68 @@ def normal_quantiles(t: Tables) -> DataFrame:
     """Two-sided limits of the normal distribution."""
     levels = t.spark.createDataFrame([(0.8,), (0.9,), (0.95,), (0.99,)], "confidence double")
     return levels.withColumn("z", F.round(s.normal_quantile((1 + F.col("confidence")) / 2), 9))
+
+
+def _said(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z]", "")
+
+
+def _alike(a: Column, b: Column) -> Column:
+    return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 4)
+
+
+def _refusing(asked: DataFrame) -> DataFrame:
+    """A service that turns away words with a double letter, by name, and others when more than four are left."""
+    bad = F.get(F.filter("phrases", lambda p: F.rlike(p, F.lit("ee|ll|oo|pp|rr|tt"))), F.lit(0))
+    message = F.when(bad.isNotNull(), F.concat(F.lit("not taken: "), bad)).when(F.size("phrases") > 4, "too many")
+    return asked.select("key", F.array_join("phrases", "").alias("answer"), message.alias("message"))
+
+
+@query("""
+with n as (select min(p_partkey) id, p_name k from part group by 2), x as (select *, string_split(k, ' ') w from n),
+c as (select *, case when id % 5 = 0 then replace(k, ' ', '') end cached, case when id % 7 <> 0 then replace(replace(k, 'e', 'a'), ' ', '-') end alias from x),
+p as (select *, case when cached is not null then w else list_filter(w, lambda y: not regexp_matches(y, 'ee|ll|oo|pp|rr|tt'))[1:4] end l,
+  case when cached is not null then [] else list_concat(list_filter(w, lambda y: regexp_matches(y, 'ee|ll|oo|pp|rr|tt')), list_reverse(list_filter(w, lambda y: not regexp_matches(y, 'ee|ll|oo|pp|rr|tt'))[5:])) end d from c),
+a as (select *, coalesce(cached, case when len(l) > 0 then array_to_string(l, '') end) one, regexp_replace(lower(alias), '[^a-z]', '', 'g') two, case when id % 2 = 0 then replace(upper(k), ' ', '') end clip from p),
+s as (select *, case when alias is not null then round(1 - levenshtein(one, two) / greatest(length(one), length(two), 1), 4) end alike from a),
+e as (select *, case when alias is null then 'no_respelling' when one is null then 'no_ipa' when alike < 0.55 then 'mixup_ipa' end error from s),
+f as (select *, case when error is null then round(1 - levenshtein(one, lower(clip)) / greatest(length(one), length(clip), 1), 4) end v1, case when error is null then round(1 - levenshtein(two, lower(clip)) / greatest(length(two), length(clip), 1), 4) end v2 from e)
+select k as key, case when one is null or error = 'mixup_ipa' then '' else array_to_string(l, '|') end used, array_to_string(d, '|') dropped, error, alike, v1 phrases_vs_clip, v2 alias_vs_clip, round(v1 - v2, 4) delta from f""")
+def two_arm_rows(t: Tables) -> DataFrame:
+    """Names by their words, without those that a service refuses, against names by a respelling."""
+    names = t.part.groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("id"))
+    joined = F.replace("key", F.lit(" "), F.lit(""))
+    rows = names.select("key", "id", F.split("key", " ").alias("phrases"), F.when(F.col("id") % 7 != 0, F.replace(F.replace("key", F.lit("e"), F.lit("a")), F.lit(" "), F.lit("-"))).alias("alias"), F.when(F.col("id") % 5 == 0, joined).alias("cached"))
+    speak = lambda d: d.select("key", _said(F.col("alias")).alias("answer"))
+    clips = names.where("id % 2 = 0").select("key", F.lower(joined).alias("clip"))
+    found = loops.two_arms(rows, "key", _refusing, speak, _alike, clips, 0.55)
+    return found.withColumns({c: F.array_join(c, "|") for c in ("used", "dropped")})
+
+
+def _trial_score(frame: DataFrame) -> DataFrame:
+    """Likeness of a form of a user's digits to the wanted ones."""
+    return frame.withColumn("score", F.round(1 - F.levenshtein("form", F.lpad("key", 6, "7")) / 6, 9))
+
+
+@query("""
+with u as (select distinct user_id::varchar k from events), s as (select k, lpad(k, 6, '7') w, [lpad('', 6, '0'), lpad(k, 6, '0'), reverse(lpad(k, 6, '7')), lpad(k, 6, '7')[1:5] || 'x', lpad(k, 6, '7')[1:3] || lpad('', 3, '7'), lpad('', 6, '7')] f from u),
+x as (select *, list_transform(f, lambda y: round(1 - levenshtein(y, w) / 6, 9)) p from s),
+b1 as (select *, case when p[1] < 0.95 and p[2] > p[1] + 0.05 then 2 else 1 end b from x), b2 as (select * exclude (b), case when p[b] < 0.95 and p[3] > p[b] + 0.05 then 3 else b end b from b1),
+b3 as (select * exclude (b), case when p[b] < 0.95 and p[4] > p[b] + 0.05 then 4 else b end b from b2), b4 as (select * exclude (b), case when p[b] < 0.95 and p[5] > p[b] + 0.05 then 5 else b end b from b3),
+b5 as (select * exclude (b), case when p[b] < 0.95 and p[6] > p[b] + 0.05 then 6 else b end b from b4)
+select k as key, f[b] form, p[b] score, (b - 1)::int round from b5""")
+def resumed_climb(t: Tables) -> DataFrame:
+    """Five rounds of proposals, killed within the fourth and gone on with from the stored rounds."""
+    users = t.events.select(F.col("user_id").cast("string").alias("key")).distinct()
+    start = _trial_score(users.withColumn("form", F.lit("000000")))
+    padded = F.lpad("key", 6, "7")
+    forms = [F.lpad("key", 6, "0"), F.reverse(padded), F.concat(F.left(padded, F.lit(5)), F.lit("x")), F.concat(F.left(padded, F.lit(3)), F.lit("777")), F.lit("777777")]
+    steps = [lambda d, f=f: d.select("key", f.alias("form")) for f in forms]
+    folder = fresh_path(t.spark, "climb")
+
+    def killed(rows: DataFrame) -> DataFrame:
+        raise KeyboardInterrupt
+
+    with contextlib.suppress(KeyboardInterrupt):
+        loops.hill_climb(start, "key", [*steps[:3], killed], _trial_score, 0.95, 0.05, folder)
+    return loops.hill_climb(start, "key", steps, _trial_score, 0.95, 0.05, folder)

@@ -10,7 +10,9 @@ from lodestone.functions import variants as v
 from lodestone.operators import evidence as e
 from lodestone.operators import similarity as sim
 from lodestone.plans import catalog
+from lodestone.plans import sounds as plans_sounds
 from lodestone.plans.phonetics import LETTERS
+from lodestone.plans.registry import Tables
 
 
 def one(spark, column, **values):
@@ -80,6 +82,68 @@ def test_voice_texts(spark):
     assert weak.round5 == "kˈʌp"
 
 
+def test_voice_texts_of_all_words(spark):
+    """The query's rounds against difflib's edits and a search of all windows, written out."""
+    from difflib import SequenceMatcher
+    from itertools import zip_longest
+
+    folder = "/root/testdata/sf0.001"
+    vowels, said = set(so.VOWEL_PHONES), {*so.VOWEL_PHONES, *so.VOICE_PHONES.values()}
+
+    def steps(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y)))
+        return rows[-1][-1]
+
+    def window(heard, own):
+        n, m = len(own), len(heard)
+        if not m:
+            return own
+        if not n or m <= n + 1:
+            return heard
+        every = [heard[:n]] + [heard[i : i + w] for w in (n - 1, n, n + 1) if 3 <= w <= m for i in range(m - w + 1)]
+        return min(every, key=lambda x: steps(x, own))
+
+    def shown(phones, like):
+        body = [so.VOICE_PHONES.get(p, p) for p in phones]
+        at = next((i for i, p in enumerate(body) if p in said), None)
+        return "".join(body[:at] + ["ˈ"] + body[at:] if "ˈ" in like and at is not None else body)
+
+    def edited(own, wanted, kind):
+        if not own or not wanted:
+            return own if own or kind == "one" else wanted
+        codes, out = SequenceMatcher(None, own, wanted, autojunk=False).get_opcodes(), []
+        if kind == "one":
+            for tag, i, _, j, _ in codes:
+                if tag == "delete":
+                    return own[:i] + own[i + 1 :] or own
+                if tag == "insert":
+                    return own[:i] + [wanted[j]] + own[i:]
+                if tag == "replace":
+                    return own[:i] + [wanted[j]] + own[i + 1 :]
+            return own
+        for tag, i, i2, j, j2 in codes:
+            pairs = zip_longest(own[i:i2], wanted[j:j2]) if tag == "replace" else ((x, x) for x in own[i:i2])
+            out += [b if not a or (b and a in vowels and b in vowels) else a for a, b in pairs]
+        return out
+
+    rows = plans_sounds._texts(Tables(spark, folder)).select("*", so.bare_phones(F.col("ipa")).alias("own"), so.heard_phones(F.col("human")).alias("said"), so.heard_phones(F.col("synthetic")).alias("voice"))
+    got = {r.word: r for r in catalog.queries()["voice_texts"](spark, folder).collect()}
+    inputs = rows.collect()
+    assert len(got) == len(inputs) > 1000
+    for r in inputs:
+        span, voice = window(r.said, r.own), window(r.voice, r.own)
+        official = [r.ipa + "ə"] if len(r.word) % 3 == 0 else []
+        one_edit = shown(edited(r.own, span, "one"), r.ipa) if r.own and span else r.ipa
+        same = r.synthetic != "" and shown(span, "") == shown(voice, "")
+        folded = r.ipa.replace("ə", "ʌ")
+        want = (official[0] if official else shown(span, r.ipa), shown(edited(r.own, span, "vowels"), r.ipa), one_edit, r.ipa if same else one_edit, folded if folded != r.ipa else one_edit)
+        assert tuple(got[r.word][f"round{i}"] for i in range(1, 6)) == want, r.word
+
+
 def test_templates(spark):
     note = lambda text: one(spark, so.template_notation(F.col("t")), t=text)
     assert tuple(note("a {{IPAc-en|k|æ|t}} {{respell|x}}")) == ("ipa", "kæt") and tuple(note("{{respell|KAT|ee}}")) == ("respell", "KAT|ee")
