@@ -237,11 +237,13 @@ def build(leaves: DataFrame, order: list[str], per_part: int, name: str) -> Tree
     group = Window.partitionBy("grp")
     before = F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     spans = materialize(counts.select("part", "grp", F.coalesce(before, F.lit(0)).alias("first"), F.sum("n").over(group).alias("size")), f"{name}-spans")
+    # as many partitions as there are, whatever was asked for
+    held = spans.agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("last")).first()
     others = [c for c in columns if c not in ("grp", "node")]
-    full = join_small_ids(placed, spans, spans.count(), ["part", "grp"]).select("part", "grp", "size", (F.col("first") + F.col("within")).alias("at"), "node", *others)
+    full = join_small_ids(placed, spans, held["n"], ["part", "grp"]).select("part", "grp", "size", (F.col("first") + F.col("within")).alias("at"), "node", *others)
     climbed = materialize(_dealt(full.select("part", "grp", "size", F.lit(0).alias("level"), "at", "node"), parts).mapInArrow(climb(True), _NODE), f"{name}-open")
     lacking, nodes = climbed.where("node is null").select("part", "grp", "level", "at"), climbed.where("node is not null")
-    left, above = nodes, parts
+    left, above = nodes, (held["last"] or 0) + 1
     while above > 1:
         above = -(-above // FAN)
         left = materialize(_dealt(left.where("open").drop("open"), above).mapInArrow(climb(False), _NODE), f"{name}-open")

@@ -78,6 +78,17 @@ def test_equals_whole_levels(spark, monkeypatch, leaves, fan):
     assert sorted(tuple(map(repr, (r[f] for f in fields))) for r in got.collect()) == sorted(tuple(map(repr, r)) for r in brute(rows))
 
 
+def test_more_partitions_than_asked_for(spark, monkeypatch):
+    """What counts is how many there are: a session may deal rows to more."""
+    frame = type(spark.range(0))
+    asked = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: asked(self, max(n, 40), *cols))
+    monkeypatch.setattr(merkle, "FAN", 4)
+    rows = rows_of_test()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert all(r.verified for r in audit(manifest(docs)).collect())
+
+
 def test_untampered_rows_verify(spark):
     docs = spark.createDataFrame(rows_of_test(), SCHEMA)
     assert all(r.verified for r in audit(manifest(docs)).collect())
