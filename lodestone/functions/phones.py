@@ -231,6 +231,81 @@ def segmental_cost(refs: pd.Series, hyps: pd.Series) -> pd.Series:
     return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
 
+BARE = list(dict.fromkeys(_BARE))
+_BARE_OF = np.array([BARE.index(b) for b in _BARE])
+#: Least cost of any swap between two symbols, whatever their stress.
+_LEAST_SWAP = np.array([[SWAP[np.ix_(_BARE_OF == a, _BARE_OF == b)].min() for b in range(len(BARE))] for a in range(len(BARE))])
+_LEAST_DROP = np.array([DROP[_BARE_OF == a].min() for a in range(len(BARE))])
+_LEAST_ADD = np.array([ADD[_BARE_OF == a].min() for a in range(len(BARE))])
+LEAST_STEP = float(min(DROP.min(), ADD.min()))
+
+
+def symbol_counts(rows: list[list[int]]) -> np.ndarray:
+    """How often each sequence has each symbol (without stress)."""
+    out = np.zeros((len(rows), len(BARE)))
+    for i, r in enumerate(rows):
+        out[i] = np.bincount(_BARE_OF[r], minlength=len(BARE)) if r else 0
+    return out
+
+
+def least_lost(present: np.ndarray) -> np.ndarray:
+    """For sets of symbols (rows of 0/1): what each symbol of a reference costs at least against one with them."""
+    return np.minimum(_LEAST_DROP, np.where(present[:, None, :] > 0, _LEAST_SWAP[None], np.inf).min(axis=2))
+
+
+def least_added(present: np.ndarray) -> np.ndarray:
+    """For sets of symbols: what each symbol of a hypothesis costs at least against a reference with them."""
+    return np.minimum(_LEAST_ADD, np.where(present[:, :, None] > 0, _LEAST_SWAP[None], np.inf).min(axis=1))
+
+
+def least_costs(refs: np.ndarray, hyps: np.ndarray) -> np.ndarray:
+    """A bound from below of the cost of every pair, from symbol counts alone: every symbol of a side is lost,
+    or swapped for its cheapest partner on the other side; what is over in length is lost or added."""
+    n, m = refs.sum(axis=1), hyps.sum(axis=1)
+    over = np.maximum(n[:, None] - m[None, :], 0) * DROP.min() + np.maximum(m[None, :] - n[:, None], 0) * ADD.min()
+    return np.maximum(over, np.maximum(refs @ least_lost(hyps).T, least_added(refs) @ hyps.T))
+
+
+def bounded_costs(refs: list[list[int]], hyps: list[list[int]], ceilings: np.ndarray) -> np.ndarray:
+    """The cost of every pair, or infinity once it is known to lie above the pair's ceiling.
+
+    A cell d places off the diagonal costs at least d times the least step, so only a band that the ceilings
+    allow is computed; a pair whose whole row lies above its ceiling is left out of the following rows.
+    """
+    out = np.full(len(refs), np.inf)
+    if not len(refs):
+        return out
+    r, n = _padded(refs)
+    h, m = _padded(hyps)
+    slack = ceilings + 1e-9
+    live = np.flatnonzero(np.abs(n - m) * LEAST_STEP <= slack)
+    width = h.shape[1]
+    row = np.full((len(live), width + 1), np.inf)
+    row[:, 0] = 0
+    np.cumsum(ADD[h[live]], axis=1, out=row[:, 1:])
+    for i in range(r.shape[1] + 1):
+        if i:
+            band = int(min(width + r.shape[1], slack[live].max() / LEAST_STEP)) if len(live) else 0
+            lo, hi = max(0, i - band), min(width, i + band)
+            code = r[live, i - 1]
+            new = np.full_like(row, np.inf)
+            new[:, lo] = row[:, lo] + DROP[code]
+            if lo:
+                new[:, lo] = np.minimum(new[:, lo], row[:, lo - 1] + SWAP[code, h[live, lo - 1]])
+            for j in range(lo + 1, hi + 1):
+                across = row[:, j - 1] + SWAP[code, h[live, j - 1]]
+                new[:, j] = np.minimum(np.minimum(across, row[:, j] + DROP[code]), new[:, j - 1] + ADD[h[live, j - 1]])
+            row = new
+        ended = n[live] == i
+        at = live[ended]
+        out[at] = row[ended, m[at]]
+        inside = ~ended & (np.where(np.arange(width + 1) <= m[live][:, None], row, np.inf).min(axis=1) <= slack[live])
+        live, row = live[inside], row[inside]
+        if not len(live):
+            break
+    return np.where(out <= slack, out, np.inf)
+
+
 def length_scale(n: Column) -> Column:
     return F.sqrt(F.greatest(n, F.lit(LEAST_LENGTH)) / PIVOT_LENGTH)
 

@@ -85,34 +85,6 @@ def nearest(queries: DataFrame, pool: DataFrame, name: str, k: int, reach: int)
     return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query", "neighbour", "distance", "place")
 
 
-def nearest_by_length(names: DataFrame, item: str, ref: str, k: int) -> DataFrame:
-    """item, neighbour, distance, place: the ``k`` nearest other items by scaled alignment cost, exactly.
-
-    Sequences meet by the difference of their lengths, the smallest first. The difference alone sets a
-    least cost, so after each round only items whose ``k``-th neighbour lies beyond the next round's least
-    cost go on. A round is an equality join; its pairs are aligned once.
-    """
-    sized = stored(names.select(F.col(item).alias("item"), F.col(ref).alias("ref")).withColumn("n", F.size(F.split("ref", " "))), "sized")
-    span = sized.agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
-    if span["low"] is None:
-        return sized.select("item", F.col("item").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("place"))
-    place = F.row_number().over(Window.partitionBy("item").orderBy("distance", "neighbour"))
-    best, open_items = None, sized
-    for gap in range(span["high"] - span["low"] + 1):
-        lengths = F.array(F.col("n") - gap, F.col("n") + gap) if gap else F.array("n")
-        pool = sized.select(F.col("item").alias("neighbour"), F.col("ref").alias("other"), F.col("n").alias("m"))
-        met = open_items.select("item", "ref", "n", F.explode(lengths).alias("m")).join(pool, "m").where("item <> neighbour")
-        found = met.select("item", "neighbour", (phones.segmental_cost("ref", "other") / phones.length_scale(F.col("n"))).alias("distance"))
-        every = found if best is None else best.select("item", "neighbour", "distance").unionByName(found)
-        best = stored(every.withColumn("place", place).where(F.col("place") <= k), "nearest")
-        reach = best.where(F.col("place") == k).select("item", F.col("distance").alias("_reach"))
-        beyond = F.col("_reach").isNull() | (phones.least_distance(F.col("n"), F.col("n") + gap + 1) <= F.col("_reach"))
-        open_items = sized.join(reach, "item", "left").where(beyond).drop("_reach")
-        if open_items.isEmpty():
-            break
-    return best
-
-
 def margins(nearest_rows: DataFrame, own: Column, narrow: float = 0.25) -> DataFrame:
     """query, margin to the nearest neighbour, confusable (margin <= 0), narrow."""
     first = nearest_rows.where("place = 1").withColumn("margin", F.col("distance") - own)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import fuzzy, phones
 from lodestone.functions import stats as s
 from lodestone.functions import text as x
-from lodestone.operators import similarity as sim
+from lodestone.operators import nearest
 
 from .registry import Tables, query
 
@@ -64,7 +64,7 @@ def phonetic_scores(t: Tables) -> DataFrame:
 def phonetic_neighbours(t: Tables) -> DataFrame:
     """Three nearest other names by scaled alignment cost, whatever their lengths."""
     names = t.part.select(F.col("p_name").alias("item")).distinct().withColumn("ref", spelled(F.col("item")))
-    near = sim.nearest_by_length(names, "item", "ref", 3)
+    near = nearest.nearest_names(names, "item", "ref", 3)
     return near.select("item", "neighbour", F.round("distance", 9).alias("distance"), "place")
 
 

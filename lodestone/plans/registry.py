@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources.tables import ship_code
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,6 +16,7 @@ class Tables:
     """The tables of a folder, read when named."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship_code(spark)
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once per application: their Python workers import it by name, so
+    they need it even where they were started without it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    folder = tempfile.mkdtemp(prefix="lodestone-code-")  # the driver's file server hands it out
+    path = os.path.join(folder, "lodestone_code.zip")
+    Path(path).write_bytes(packed.getvalue())
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a local session gets a temporary folder."""
@@ -26,6 +50,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: its rows and their partitions can't change any more."""
+    ship_code(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -169,20 +169,6 @@ def test_token_error_rate(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-8) for k in want)
 
 
-def test_nearest_by_length_is_exact(spark):
-    names = [r.p_name for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct().collect()] + ["a", "small old new red blue plate widget"]
-    refs = {x: " ".join(LETTERS[c] for c in x if c.isalpha()) for x in names}
-    codes = {x: phones.parse(t) for x, t in refs.items()}
-    found = sim.nearest_by_length(spark.createDataFrame(list(refs.items()), "item string, ref string"), "item", "ref", 3).collect()
-    got = {(r.item, r.place): r.distance for r in found}
-    for x in names:
-        others = [y for y in names if y != x]
-        table, _, n, _, m = phones.cost_tables([codes[x]] * len(others), [codes[y] for y in others])
-        scale = math.sqrt(max(len(codes[x]), phones.LEAST_LENGTH) / phones.PIVOT_LENGTH)
-        best = sorted(float(table[i, a, b]) / scale for i, (a, b) in enumerate(zip(n, m, strict=True)))[:3]
-        assert [got[x, k] for k in (1, 2, 3)] == pytest.approx(best)
-
-
 def test_scorers(spark):
     rows = spark.createDataFrame([("a", "K AE1 T", ["K AE1 T", "HH K AE1 T"]), ("b", "K AE1 T", []), ("c", None, ["K AE1 T"])], "item_id string, heard string, variants array<string>")
     got = {r.item_id: (r.score, r.scoreable, r.error, r.passed) for r in scorers.build_scorer("phoneme-distance")(rows).collect()}
