@@ -15,8 +15,9 @@ symbols but fewer interior ones, so more rows; two leave 0.19 rows for each wind
 2. The rows of a symbol meet. Where only one document has it, no window of it repeats. Else the windows of
    equal marks are compared: a window also found under a smaller id is a repeat. So symbols reveal repeats,
    and symbol and mark (over 100 bits) verify them.
-3. Symbols that a sample shows to be frequent are dealt by document, so none fills a task. Their windows
-   are counted apart: the least id of each window (combined before the shuffle), joined back.
+3. Symbols that a sample shows to fill a fourth of a task are dealt by document. Their rows have few
+   shapes (the marks that stand side by side), as they come from copies: the least id of each shape is
+   combined before the shuffle, windows are compared among shapes, and each row gets its shape's answer.
 4. Repeats are brought back to the texts by row number, and the words that they cover are taken out.
 
 Null and empty texts have no words. A text of fewer words than a window loses none. Rows without an id
@@ -24,8 +25,8 @@ lose no word and take none from others; rows that share an id take none from eac
 smaller id has. A very long text is worked off in segments that overlap by a window. An empty table gives
 no rows. Extra columns, of whatever name, are not read.
 
-Bound: at most ``most_hot`` frequent symbols are known to all tasks. Others have less than 1 of ``most_hot``
-of all rows (or some hundreds), a share that a task holds at once.
+Bound: all tasks know the frequent symbols, four for each shuffle partition at most. Any other has less than
+a fourth of a partition's rows (or some hundreds), which a task holds at once.
 """
 
 from __future__ import annotations
@@ -186,12 +187,13 @@ def symbol_rows(texts: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     return texts.select("row", "doc", "text").mapInArrow(run, _ROWS)
 
 
-def hot_symbols(texts: DataFrame, window: int, share: int, most_hot: int) -> np.ndarray:
-    """Symbols that hold a large share of the rows of a sample of documents; ``most_hot`` at most."""
+def hot_symbols(texts: DataFrame, window: int, share: int, parts: int) -> np.ndarray:
+    """Symbols that would fill a fourth of one of ``parts`` tasks, by a sample of documents; so ``4 * parts``
+    at most."""
     sampled = texts.where(F.pmod(F.xxhash64(F.lit("hot"), "row"), F.lit(share)) == 0)
-    counts = materialize(symbol_rows(sampled, window, np.zeros(0, k.U)).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "op12-sample")
+    counts = materialize(symbol_rows(sampled, window, np.zeros(0, k.U)).groupBy("name").agg(F.count(F.lit(1)).alias("n")), "op12-sample")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(16, -(-total // most_hot))
+    least = max(16, -(-total // (4 * parts)))
     return np.sort(counts.where(F.col("n") >= least).select("name").toPandas().name.to_numpy(np.int64).view(k.U))
 
 
@@ -282,23 +284,28 @@ def compare(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def hot_repeats(hot: DataFrame) -> DataFrame:
-    """Spans of repeats among the rows of hot symbols: every window against the least id that has it."""
+    """(row, spans) of repeats among the rows of hot symbols: each window against the least id that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, mark = unpacked(batch["marks"])
             of = np.repeat(np.arange(len(batch)), counts)
-            start = batch["start"].to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            columns = [batch["name"].to_numpy()[of], mark.view(np.int64), batch["doc"].to_numpy()[of], batch["row"].to_numpy()[of], start, start + batch["span"].to_numpy()[of]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["name", "mark", "doc", "row", "start", "end"])
-
-    windows = hot.mapInArrow(run, "name long, mark long, doc long, row long, start long, end long")
-    least = windows.groupBy("name", "mark").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    found = windows.join(least.select("name", "mark", "least"), ["name", "mark"]).where("doc > least")
-    return found.select("row", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, share: int = 32, most_hot: int = 65_536) -> DataFrame:
+            within = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            held = batch.select(["name", "marks", "least", "most"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(mark.view(np.int64)), pa.array(within.astype(np.int32))], names=["name", "marks", "least", "most", "mark", "within"])
+
+    shapes = hot.groupBy("name", "marks").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    windows = materialize(shapes.select("name", "marks", "least", "most").mapInArrow(run, "name long, marks binary, least long, most long, mark long, within int"), "op12-shapes")
+    shared = windows.groupBy("name", "mark").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last")
+    answers = windows.select("name", "marks", "mark", "within").join(shared.select("name", "mark", "first"), ["name", "mark"])
+    answers = materialize(answers.groupBy("name", "marks").agg(F.collect_list(F.struct("within", "first")).alias("firsts")), "op12-answers")
+    found = hot.select("row", "start", "doc", "span", "name", "marks").join(answers, ["name", "marks"])
+    mine = F.filter("firsts", lambda x: x["first"] < F.col("doc"))
+    spans = F.transform(mine, lambda x: F.struct((F.col("start") + x["within"]).alias("start"), (F.col("start") + x["within"] + F.col("span")).alias("end")))
+    return found.select("row", spans.alias("spans")).where(F.size("spans") > 0)
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, share: int = 32) -> DataFrame:
     """doc_id, text (the words that stay, one space between), n_words, n_removed of every row.
 
     ``share``: one of so many documents is looked at to find frequent symbols, which decides where windows
@@ -311,10 +318,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, share: int = 32, most_hot:
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")), "op12-rows")
     texts = rows.where("doc is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_symbols(texts, window, share, most_hot)
+    hot = hot_symbols(texts, window, share, parts)
     found = materialize(compare(symbol_rows(texts, window, hot), parts), "op12-found")
-    spans = found.where("marks is null").select("row", "start", "end").unionAll(hot_repeats(found.where("marks is not null")))
-    covered = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cold = found.where("marks is null").select("row", F.array(F.struct("start", "end")).alias("spans"))
+    covered = cold.unionAll(hot_repeats(found.where("marks is not null"))).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
