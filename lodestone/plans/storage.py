@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import stats as s
 from lodestone.operators import aggregates as a
 from lodestone.operators import windows as w
-from lodestone.sources import files
+from lodestone.sources import files, jsonl
 from lodestone.sources.tables import fresh_path
 from lodestone.streaming import changelog
 
@@ -33,6 +33,34 @@ def jsonl_last_records(t: Tables) -> DataFrame:
     return files.read_jsonl_lenient(t.spark, path, "event_id long, user_id long, event_type string", "user_id", "event_id")
 
 
+@query("select user_id, max(event_id) event_id, case when max(event_id) % 5 > 0 then arg_max(event_type, event_id) end event_type, max(event_id) % 5 > 0 typed from events group by 1")
+def offset_last_records(t: Tables) -> DataFrame:
+    """The last line of each key by its place in the files, with nothing in the lines that counts; a null on
+    the last line counts too, and every tenth record is followed by one that was cut off."""
+    path = fresh_path(t.spark, "lines")
+    kind = F.when(F.col("event_id") % 5 > 0, F.col("event_type"))
+    line = F.to_json(F.struct("user_id", "event_id", kind.alias("event_type")), {"ignoreNullFields": "false"})
+    cut = F.when(F.col("event_id") % 10 == 0, F.array(line, F.left(line, F.lit(20)))).otherwise(F.array(line))
+    ordered = t.events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    ordered.select(F.explode(cut).alias("value")).write.text(path)
+    found = jsonl.last_records(t.spark, path, "user_id long, event_id long, event_type string", "user_id", range_bytes=50_000)
+    return found.select("user_id", "event_id", "event_type", (F.col("event_id") % 5 > 0).alias("typed"))
+
+
+@query("select event_id, user_id, event_type from events union all select event_id, user_id, 'again' from events where event_id % 3 = 0")
+def committed_lines(t: Tables) -> DataFrame:
+    """Two writers append to one folder, one of them a stream whose batches are all replayed; each counts once."""
+    source, path = fresh_path(t.spark, "changes"), fresh_path(t.spark, "appended")
+    rows = t.events.select("event_id", "user_id", "event_type")
+    rows.repartition(3).write.parquet(source)
+    for _ in range(2):  # the second time without the progress of the first
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        jsonl.append_stream(stream, path, fresh_path(t.spark, "progress"), "stream").awaitTermination()
+    for _ in range(2):
+        jsonl.append(rows.where("event_id % 3 = 0").withColumn("event_type", F.lit("again")), path, "run-1")
+    return jsonl.read_records(t.spark, path, "event_id long, user_id long, event_type string", committed=True).drop("file", "offset")
+
+
 @query("select p_partkey, p_name, case when p_size % 3 = 0 then 'brand' when p_size % 3 = 1 then 'generic' else '2' end kind from part")
 def json_documents(t: Tables) -> DataFrame:
     """Documents with their rows in a field, one a brand; codes by the names they have."""
