@@ -172,7 +172,8 @@ def page_is_for(word: Column, url: Column) -> Column:
 
 
 def names_in(text: Column, names: Column, own: Column, least: int = 6) -> Column:
-    """Names, squeezed, of some length that a squeezed text contains though the own name does not."""
+    """Of a row's own short list of names those, squeezed, that a squeezed text contains though the own name does
+    not. Names of any number are looked up by ``operators.containment``."""
     return F.filter(names, lambda n: (F.length(squeezed(n)) >= least) & F.contains(squeezed(text), squeezed(n)) & ~F.contains(squeezed(own), squeezed(n)))
 
 

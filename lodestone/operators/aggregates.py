@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats as s
+from lodestone.operators.windows import cumulative
 
 PASS = 4  # fixed value: the least passing score
 
@@ -200,10 +201,30 @@ def duplicate_groups(rows: DataFrame, content: Column, member: str) -> DataFrame
     return each.join(shared, "digest").select("digest", "n", "member")
 
 
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and median (the mean of the two middle values), null values left out.
+
+    Values are counted before they are ordered, and the distinct values of one key are cut into ranges, so a
+    key with most of the rows, all of them different, is many tasks.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    placed = cumulative(counts, keys, value, ["c"])
+    totals = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), "c").groupBy(*(f"_{k}" for k in keys)).agg(F.sum("c").alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    ranked = placed.join(totals, same)
+    holds = lambda rank: (F.col("before_c") <= rank) & (rank < F.col("before_c") + F.col("c"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = ranked.where(holds(low) | holds(high))
+    both = (F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2
+    return middle.groupBy(*keys).agg(both.alias("median"))
+
+
 def rate_outliers(rows: DataFrame, group: str, rate: Column, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Rows whose rate is outside [low, high] times their group's median."""
     rated = rows.withColumn("rate", rate)
-    middle = rated.groupBy(group).agg(F.median("rate").alias("median"))
+    middle = medians(rated, [group], "rate")
     return rated.join(middle, group).where((F.col("rate") < low * F.col("median")) | (F.col("rate") > high * F.col("median")))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import variants as v
-from lodestone.functions.fuzzy import matching_ratio
 
 from .resolve import pending, require
 
@@ -119,14 +118,6 @@ def preferred(rows: DataFrame, fresh: DataFrame, keys: list[str], columns: list[
     return rows.join(new, keys, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def best_candidates(rows: DataFrame, key: str, target: str, titles: list[str], least: float = 0.85) -> DataFrame:
-    """key and its best candidate row by the largest similarity over ``titles``; none under ``least``."""
-    form = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]+", " ")
-    scored = rows.withColumn("ratio", F.greatest(*(matching_ratio(form(F.col(target)), form(F.col(c))) for c in titles), F.lit(0.0)))
-    best = scored.groupBy(key).agg(F.min_by(F.struct(*titles, "ratio"), F.struct(-F.col("ratio"), *titles)).alias("x"))
-    return best.where(F.col("x.ratio") >= least).select(key, "x.*")
-
-
 def first_existing(rows: DataFrame, key: str, candidates: Column, stored: DataFrame, name: str, size: str, least: int = 500) -> DataFrame:
     """key and the first of its candidate names that is stored with more than ``least`` bytes; null if none is."""
     each = rows.select(key, F.posexplode(candidates).alias("place", name))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import variants as v
 from lodestone.operators import evidence as e
+from lodestone.operators import titles
 
 from .registry import Tables, query
 from .variants import _EXPECTED, _sounds, _spoken, _symbols, sounds, symbols, vocabulary, WORDS
@@ -349,11 +350,10 @@ def work_order(t: Tables) -> DataFrame:
 
 
 def best_names(t: Tables) -> DataFrame:
-    """The stored name most like each target, by title or slug."""
-    parts = t.part.select("p_name").distinct()
-    slug = tx.slug_dash_runs(F.concat("p_name", F.lit(" salt")))
-    rows = parts.select(F.concat("p_name", F.lit("s")).alias("target"), F.col("p_name").alias("title"), slug.alias("slug"))
-    return e.best_candidates(rows, "target", "target", ["title", "slug"])
+    """The stored name most like each target, by title or slug, of all names."""
+    names = t.part.select("p_name").distinct()
+    pool = names.select(F.col("p_name").alias("title"), tx.slug_dash_runs(F.concat("p_name", F.lit(" salt"))).alias("slug"))
+    return titles.best_matches(names.select(F.concat("p_name", F.lit("s")).alias("target")), "target", pool, ["title", "slug"])
 
 
 query()(best_names)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import stats as s
 from lodestone.operators import aggregates as a
+from lodestone.operators import frames
 from lodestone.operators import similarity as sim
 from lodestone.operators import windows as w
 
@@ -353,3 +354,25 @@ def difficulty_profile(t: Tables) -> DataFrame:
     rows = near.withColumn("len", F.length("p_name"))
     bands = w.difficulty_bands(rows, "p_name", "len", "near", (F.col("len") % 3) / 2)
     return bands.select("p_name", "near", *(F.round(c, 9).alias(c) for c in ("length_rank", "crowding_rank", "composite")), "band")
+
+
+@query("""
+with f as (select user_id clip, row_number() over (partition by user_id order by ts, event_id) - 1 frame, event_type label, coalesce(value, 0) score from events),
+n as (select *, case when lag(label) over w = label then 0 else 1 end new from f window w as (partition by clip order by frame)), g as (select *, sum(new) over (partition by clip order by frame) run from n),
+r as (select clip, run, any_value(label) label, min(frame) s, max(frame) + 1 e, avg(score) score from g where label <> 'view' group by 1, 2),
+p as (select *, row_number() over (partition by clip order by run) - 1 place from r),
+o as (select *, lag(e) over w b, lead(s) over w a from p window w as (partition by clip order by place)),
+q as (select clip, arg_min(s, place) s, arg_min({'x': b}, place).x b, arg_max(e, place) e, arg_max({'x': a}, place).x a, sum(score * (e - s)) / sum(e - s) score from o where place % 3 = 1 and clip % 4 > 0 group by 1)
+select clip, round(case when b is null then greatest(0, s * 0.02 - 0.03) else s * 0.02 - least((s - b) / 2 * 0.02, 0.15) end, 9) from_s,
+  round(case when a is null then least(c * 0.02, e * 0.02 + 0.03) else e * 0.02 + least((a - e) / 2 * 0.02, 0.15) end, 9) to_s, round(score, 9) score
+from q join (select user_id, count(*) c from events group by 1) l on l.user_id = q.clip""")
+def aligned_words(t: Tables) -> DataFrame:
+    """Spans of every third token of a clip by its frames' labels; every fourth clip was said otherwise."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    frames_ = t.events.select(F.col("user_id").alias("clip"), (F.row_number().over(order) - 1).alias("frame"), F.col("event_type").alias("label"), F.coalesce("value", F.lit(0.0)).alias("p"))
+    found = frames.segments(frames_, ["clip"], "frame", "label", "p", "view")
+    said = F.when((F.col("clip") % 4 == 0) & (F.col("place") == 0), "other").otherwise(F.col("label"))
+    tokens = found.select("clip", "place", said.alias("label"), (F.col("place") % 3 == 1).alias("wanted"))
+    lengths = frames_.groupBy("clip").agg(F.count(F.lit(1)).alias("frames")).withColumn("seconds", F.col("frames") * 0.02)
+    spans = frames.aligned_spans(found, tokens, lengths, ["clip"])
+    return spans.select("clip", *(F.round(c, 9).alias(c) for c in ("from_s", "to_s", "score")))

@@ -10,7 +10,7 @@ from lodestone.operators import aggregates as a
 from lodestone.operators import windows as w
 from lodestone.sources import files, jsonl
 from lodestone.sources.tables import fresh_path
-from lodestone.streaming import changelog
+from lodestone.streaming import changelog, stateful
 
 from .registry import Tables, query
 
@@ -197,3 +197,40 @@ def sound_seconds(t: Tables) -> DataFrame:
     from lodestone.functions import text as x
 
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(x.pcm_seconds(F.col("l_quantity") * 1000, 2, 1, 16000), 9).alias("secs"), F.round(s.f1_score(F.col("l_discount")), 9).alias("f1"))
+
+
+@query("""
+with e as (select user_id::varchar request, ts, event_id, event_type k, max((event_type = 'error')::int) over (partition by user_id order by ts, event_id) over_ from events)
+select request, coalesce(string_agg(event_id::varchar, '' order by ts, event_id) filter (k = 'view' and over_ = 0), '') audio, (count(*) filter (k = 'view' and over_ = 0))::int chunks,
+  round((epoch_us(min(ts) filter (k = 'view' and over_ = 0)) - epoch_us(min(ts))) / 1e6, 6) first_chunk,
+  arg_max(event_id, (ts, event_id)) filter (k = 'signup' and over_ = 0) usage, max(over_) = 1 ended from e group by 1""")
+def chunk_answers(t: Tables) -> DataFrame:
+    """Answers joined from a stream of chunks that is stopped and goes on; each is closed by its end mark or by time."""
+    source, out, progress = (fresh_path(t.spark, x) for x in ("chunks", "answers", "progress"))
+    kind = F.when(F.col("event_type") == "view", "audio").when(F.col("event_type") == "error", "done").otherwise("other")
+    body = F.when(F.col("event_type") == "view", F.col("event_id").cast("string").cast("binary"))
+    usage = F.when(F.col("event_type") == "signup", F.create_map(F.lit("n"), F.col("event_id").cast("long")))
+    rows = t.events.select(F.col("user_id").cast("string").alias("request"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("seq"), kind.alias("kind"), body.alias("audio"), usage.alias("usage"), F.lit("pcm").alias("mime"))
+    # a chunk of another request moves the time on, past all patience
+    last = rows.agg(F.max("at").alias("at")).select(F.lit("").alias("request"), *(c.alias(n) for n, c in {"at": F.col("at") + F.expr("interval 400 days"), "seq": F.lit(0).cast("long"), "kind": F.lit("other"), "audio": F.lit(None).cast("binary"), "usage": F.lit(None).cast("map<string,bigint>"), "mime": F.lit(None).cast("string")}.items()))
+    for part in (rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), last):
+        part.write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(rows.schema).parquet(source)
+        stateful.answers_stream(stream, "365 days", 86_400.0).writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+    found = t.spark.read.parquet(out).where("request <> ''")
+    return found.select("request", F.col("audio").cast("string").alias("audio"), "chunks", F.round("first_chunk", 6).alias("first_chunk"), F.try_element_at("usage", F.lit("n")).alias("usage"), "ended")
+
+
+@query("""
+with x as (select user_id::varchar k, list({'r': event_id, 's': value} order by event_id) xs from events where value is not null group by 1), y as (select k, list_reduce(xs, lambda a, b: case when b.s > a.s + 5 then b else a end) b from x)
+select k as key, b.r::int round, 'f' || b.r form, b.s score from y""")
+def best_over_restarts(t: Tables) -> DataFrame:
+    """The best trial of each key of a stream that is stopped and goes on; a better one must gain enough."""
+    source, table, progress = (fresh_path(t.spark, x) for x in ("trials", "best", "progress"))
+    rows = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("int").alias("round"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("form"), F.col("value").alias("score"))
+    half = rows.agg(F.expr("percentile_approx(round, 0.5)").alias("m")).first()["m"] or 0
+    for part in (rows.where(F.col("round") <= half), rows.where(F.col("round") > half)):
+        part.write.mode("append").parquet(source)
+        stateful.keep_best(t.spark.readStream.schema(rows.schema).parquet(source), table, progress, 5.0).awaitTermination()
+    last = F.max(F.struct("batch", F.struct("round", "form", "score").alias("x"))).alias("l")
+    return t.spark.read.parquet(table).groupBy("key").agg(last).select("key", "l.x.*")

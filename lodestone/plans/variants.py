@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import variants as v
+from lodestone.operators.containment import contained_names
 
 from .registry import Tables, query
 
@@ -166,11 +167,9 @@ def page_for_word(t: Tables) -> DataFrame:
 with n as (select distinct w from (select unnest(string_split(p_name, ' ')) w from part)), p as (select page_id, {_SQUEEZED.format("html")} blob, {_SQUEEZED.format("url")} own from pages)
 select page_id, w other from p, n where length(w) >= 4 and contains(blob, w) and not contains(own, w)""")
 def names_on_pages(t: Tables) -> DataFrame:
-    """Other names that a page's text contains; the names are a list with a checked bound."""
-    words = [r[0] for r in t.part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").limit(1001).collect()]
-    if len(words) > 1000:
-        raise ValueError("more than 1,000 names: join them by words instead")
-    return t.pages.select("page_id", F.explode(v.names_in(F.col("html"), F.array(*map(F.lit, words)), F.col("url"), 4)).alias("other"))
+    """Other names that a page's text contains, whatever the number of names."""
+    words = t.part.select(F.explode(F.split("p_name", " ")).alias("other")).distinct()
+    return contained_names(t.pages, ["page_id"], "html", "url", words, "other", 4)
 
 
 @query(r"""

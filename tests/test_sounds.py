@@ -191,12 +191,6 @@ def test_variant_options(spark):
     assert sorted(got[1]) == ["kəˈtoʊ", "ˈkəta", "ˈkɪtə"] and got[1][-1] == "ˈkɪtə" and got[2] == []
 
 
-def test_best_candidates(spark):
-    rows = spark.createDataFrame([("q", "aspirin", "x", "aspirins"), ("q", "aspirin", "aspirin", "y"), ("r", "aspirin", "banana", "tree")], "k string, target string, title string, slug string")
-    got = e.best_candidates(rows, "k", "target", ["title", "slug"]).collect()
-    assert [(r.k, r.title, r.ratio) for r in got] == [("q", "aspirin", 1.0)]
-
-
 def test_raised_errors(spark):
     frame = spark.createDataFrame([("a b", "zz"), ("x", "x")], "t string, n string")
     with pytest.raises(Exception, match="not among the tokens"):
