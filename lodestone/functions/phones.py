@@ -115,6 +115,13 @@ def symbol_cost(a: str, b: str) -> float:
     return ACROSS_SONORANT if _SONORANT & {a, b} else ACROSS
 
 
+@F.pandas_udf(DoubleType())
+def pair_cost(a: pd.Series, b: pd.Series) -> pd.Series:
+    """:func:`symbol_cost` of two symbols each; an unknown symbol raises."""
+    known = {(x, y): symbol_cost(x, y) for x, y in set(zip(a, b, strict=True)) if x in SYMBOLS and y in SYMBOLS}
+    return pd.Series([known[x, y] for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 #: Tokens are consonants, and vowels without or with a stress digit.
 TOKENS = [*_CONSONANT_FEATURES, *(v + d for v in _VOWEL_FEATURES for d in STRESS_LEVEL)]
 CODE = {t: i for i, t in enumerate(TOKENS)}

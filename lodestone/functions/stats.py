@@ -47,10 +47,37 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(known)
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse of the normal distribution; raises outside (0, 1)."""
-    return p.map(NormalDist().inv_cdf, na_action="ignore")
+# Acklam's rational approximation of the inverse normal distribution: the middle and the tails, each
+# as numerator and denominator from the highest power down, and where the lower tail ends.
+MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+TAIL_ENDS = 0.02425
+
+
+def _polynomial(x: Column, powers: tuple[float, ...]) -> Column:
+    out = F.lit(powers[0])
+    for c in powers[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution (relative error below 1.2e-9); an error outside (0, 1), null stays null."""
+    checked = F.when((p > 0) & (p < 1), p).when(p.isNotNull(), F.raise_error(F.lit("a probability is not between 0 and 1")).cast("double"))
+
+    def tail(q: Column) -> Column:
+        x = F.sqrt(-2 * F.log(q))
+        return _polynomial(x, TAIL[0]) / _polynomial(x, TAIL[1])
+
+    x = checked - 0.5
+    middle = _polynomial(x * x, MIDDLE[0]) * x / _polynomial(x * x, MIDDLE[1])
+    return F.when(checked < TAIL_ENDS, tail(checked)).when(checked <= 1 - TAIL_ENDS, middle).otherwise(-tail(1 - checked))
 
 
 def two_sided_p(z: Column) -> Column:

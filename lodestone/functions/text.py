@@ -211,17 +211,47 @@ def pcm_seconds(n_bytes: Column, width: int, channels: int, rate: int) -> Column
     return n_bytes / (width * channels * rate)
 
 
-# Spelling rules of the phonetic code, applied in order.
+# The rules of the published Metaphone code, in an order in which each can be applied to a whole word.
+# Small letters are spelling, capitals and 0 are sounds that are settled; rules look at spelling around them.
 CODE_RULES = [
-    ("^(?:kn|gn|pn|wr)", "n"), ("^x", "s"), ("^wh", "w"), ("mb$", "m"), ("([a-z])\\1+", "$1"), ("tch|ch", "x"), ("sch", "sk"), ("sh", "x"), ("tio|tia", "x"), ("sio|sia", "x"),
-    ("th", "0"), ("ph", "f"), ("gh(?![aeiou])", ""), ("dg(?=[eiy])", "j"), ("g(?=[eiy])", "j"), ("ck", "k"), ("c(?=[eiy])", "s"), ("c", "k"), ("q", "k"), ("x(?=$)", "ks"), ("z", "s"), ("v", "f"), ("d", "t"), ("g", "k"),
-    ("(?<=[a-z])h(?![aeiou])", ""), ("[wy](?![aeiou])", ""),
-]
+    (r"([abd-z])\1+", "$1"),  # doubled letters but c
+    (r"^(?:k(?=n)|g(?=n)|p(?=n)|a(?=e)|w(?=r))", ""),
+    (r"(?<=m)b$", ""),
+    ("g(?=n(?:ed)?$)", ""),
+    ("sch", "SK"),
+    ("t(?=ch)", ""),
+    ("ch|c(?=ia)", "X"),
+    ("c(?=[iey])", "S"),
+    ("ck|c", "K"),
+    ("dg(?=[iey])", "J"),
+    ("d", "T"),
+    ("gh(?=[^aeiou])", ""),
+    ("g(?=[iey])", "J"),
+    ("g", "K"),
+    ("ph", "F"),
+    ("sh|s(?=i[oa])", "X"),
+    ("t(?=i[oa])", "X"),
+    ("th", "0"),
+    ("s", "S"),
+    ("t", "T"),
+    ("^wh", "W"),
+    ("(?<=[aeiou])h(?![aeiou])", ""),
+    ("h", "H"),
+    ("[wy](?![aeiou])", ""),
+    ("w", "W"),
+    ("y", "Y"),
+    ("^x", "S"),
+    ("x", "KS"),
+    ("v", "F"),
+    ("q", "K"),
+    ("z", "S"),
+    ("(?<!^)[aeiou]", ""),
+]
 
 
 def phonetic_code(name: Column) -> Column:
-    """A coarse code of how a name sounds: consonants by class, vowels only at the beginning."""
+    """The Metaphone code of a name's letters: consonants by sound, a vowel only at the beginning."""
     out = F.regexp_replace(F.lower(name), "[^a-z]", "")
     for pattern, to in CODE_RULES:
         out = F.regexp_replace(out, pattern, to)
-    return F.upper(F.regexp_replace(out, "(?<!^)[aeiou]", ""))
+    return F.upper(out)

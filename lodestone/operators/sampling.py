@@ -11,6 +11,30 @@ def hash_order(key: Column, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
+def with_ids(rows: DataFrame, key: str, order: list[str], ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Rows whose ``key`` is among ``ids`` (all without), the first ``limit`` of them by ``order``: a user's own cut."""
+    kept = rows if ids is None else rows.join(ids.select(key).distinct(), key, "left_semi")
+    return kept if limit is None else kept.orderBy(*order).limit(limit)
+
+
+def hash_number(key: Column, seed: str) -> Column:
+    """An unsigned 32-bit number of a key: the first half of SHA-256's first 64 bits."""
+    return F.conv(F.left(hash_order(key, seed), F.lit(8)), 16, 10).cast("long")
+
+
+def mock_score(key: Column, seed: str, best: int = 5) -> Column:
+    """A judge that isn't one: a whole score from 0 to ``best`` by the key's number, the same each time."""
+    return (hash_number(key, seed) % (best + 1)).cast("int")
+
+
+def jittered(score: Column, key: Column, seed: str, best: int = 5) -> Column:
+    """A judge that differs from another: by one, up or down as the key's number says, for keys whose number's bit
+    10 is set; within 0 to ``best``."""
+    n = hash_number(key, seed)
+    step = F.when(n % 2 == 0, 1).otherwise(-1)
+    return F.when(F.shiftright(n, 10).bitwiseAND(F.lit(1)) == 1, F.greatest(F.lit(0), F.least(F.lit(best), score + step))).otherwise(score)
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed: str, floor: int = 1, forced: Column | None = None, least_forced: int = 0) -> DataFrame:
     """``size`` rows: ``floor`` of each stratum (or all it has), the others in proportion to what the
     strata have beyond the floor, remainders to the largest fractions. In a stratum hash order decides.

@@ -194,13 +194,6 @@ def distance_scores(t: Tables) -> DataFrame:
     return t.events.where("value is not null").select("event_id", scorers.rate_to_score(F.col("value") / 100).alias("score"))
 
 
-@query("select confidence::double confidence, round(z::double, 9) z from (values (0.8, 1.281551565544600), (0.9, 1.644853626951473), (0.95, 1.959963984540054), (0.99, 2.575829303548901)) v(confidence, z)")
-def normal_quantiles(t: Tables) -> DataFrame:
-    """Two-sided limits of the normal distribution."""
-    levels = t.spark.createDataFrame([(0.8,), (0.9,), (0.95,), (0.99,)], "confidence double")
-    return levels.withColumn("z", F.round(s.normal_quantile((1 + F.col("confidence")) / 2), 9))
-
-
 def _said(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z]", "")
 

@@ -30,6 +30,16 @@ def read_json_document(spark: SparkSession, path: str, schema: str, field: str =
     return spark.read.schema(f"`{field}` array<struct<{schema}>>").option("multiLine", True).json(path).select(F.explode(field).alias("x")).select("x.*")
 
 
+def read_json_map(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
+    """The members of whole-file objects without a field for rows: each name as ``key``, its object's fields beside it.
+
+    A file is one object, so it is one row of one task; a member that is no object has null fields.
+    """
+    texts = spark.read.option("wholetext", True).text(path)
+    members = F.from_json("value", f"map<string, struct<{schema}>>", {"mode": "FAILFAST"})
+    return texts.select(F.explode(members).alias(key, "x")).select(key, "x.*")
+
+
 def decode_labels(rows: DataFrame, column: str, labels: Mapping[int, str]) -> DataFrame:
     """Integer labels by name; a code without a name stays as text."""
     table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])

@@ -85,3 +85,15 @@ def test_nearest_rank_is_half_even(spark):
     got = {r.k: (r.n, r.p50, r.p90, r.most) for r in a.latency(rows, ["k"], "v").collect()}
     assert got == {"a": (4, 3.0, 4.0, 4.0), "b": (1, 7.0, 7.0, 7.0)}
     assert math.isclose(a.latency(rows.where("k = 'a'"), ["k"], "v").first()["mean"], 2.5)
+
+
+def test_quantiles_over_the_whole_range(spark):
+    from statistics import NormalDist
+
+    ps = [1e-9, 1e-4, 0.0242, 0.0243, 0.3, 0.5, 0.7, 0.9757, 0.9758, 1 - 1e-6]
+    rows = spark.createDataFrame([(p,) for p in ps] + [(None,)], "p double")
+    got = {r.p: r.z for r in rows.select("p", s.normal_quantile(F.col("p")).alias("z")).collect()}
+    assert got[None] is None and all(got[p] == pytest.approx(NormalDist().inv_cdf(p), rel=2e-9, abs=1e-9) for p in ps)
+    for bad in (0.0, 1.0, -0.5, 2.0):
+        with pytest.raises(Exception, match="between 0 and 1"):
+            spark.createDataFrame([(bad,)], "p double").select(s.normal_quantile(F.col("p"))).collect()
