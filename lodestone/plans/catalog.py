@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composites, evidence, notations, phonetics, pieces, rates, sounds, storage, strata, texts, variants  # noqa: F401  they register their queries
+from . import composites, evidence, notations, phonetics, pieces, rates, reports, sounds, storage, strata, texts, variants  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
