@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lodestone.operators.windows import cumulative
+from lodestone.sources.tables import stored
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 %
 Z80 = 0.8416212335729143  # fixed value: 80 % power
@@ -111,16 +112,19 @@ def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def spearman(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, n, rho: null under four pairs, 0 if a side doesn't vary. Pairs with a null are left out.
 
-    Ranks are those of distinct values, from counts, so no task orders all rows of a key.
+    Ranks are those of distinct values, from counts of both sides at once, so no task orders all rows of a key.
     """
     both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("a"), F.col(b).alias("b"))
+    sides = F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(x).alias("v")) for x in ("a", "b"))))
+    ranks = average_ranks(both.select(*keys, sides.alias("x")).select(*keys, "x.side", "x.v"), [*keys, "side"], "v")
+    ranks = stored(ranks, "ranks")
     ranked = both
     for side in ("a", "b"):
-        ranks = average_ranks(both, keys, side).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(side).alias("_v"), F.col("rank").alias(f"r{side}"))
+        own = ranks.where(F.col("side") == side).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("v").alias("_v"), F.col("rank").alias(f"r{side}"))
         same = F.col(side) == F.col("_v")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        ranked = ranked.join(ranks, same).drop("_v", *(f"_{k}" for k in keys))
+        ranked = ranked.join(own, same).drop("_v", *(f"_{k}" for k in keys))
     found = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("ra", "rb").alias("c"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
     rho = F.when(F.col("n") < 4, None).when((F.col("sa") == 0) | (F.col("sb") == 0), 0.0).otherwise(F.col("c") / (F.col("sa") * F.col("sb")))
     return found.select(*keys, "n", rho.alias("rho"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import byte_count, stored
+
 
 def lookup(rows: DataFrame, references: DataFrame, name: str, key: str) -> DataFrame:
     """Left join on the case-folded name. ``references`` has one row for each folded key."""
@@ -80,12 +82,24 @@ def prefix_join(long: DataFrame, short: DataFrame, name: str, prefix: str) -> Da
 
 
 def resolve_words(texts: DataFrame, key: str, words: Column, lexicon: DataFrame, word: str, value: str) -> DataFrame:
-    """key, n_words, resolved: every word's value in order, null unless all words have one."""
-    parts = texts.select(key, F.posexplode(words).alias("place", word))
-    found = parts.join(lexicon.select(word, value), word, "left")
-    g = found.groupBy(key).agg(F.count(F.lit(1)).alias("n_words"), F.count(value).alias("n_found"), F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("place", value)))).alias("xs"))
-    joined = F.array_join(F.transform("xs", lambda x: x[value]), " ")
-    return g.select(key, "n_words", F.when(F.col("n_words") == F.col("n_found"), joined).alias("resolved"))
+    """key, n_words, resolved: every word's value in order, null unless all words have one.
+
+    Whether a text has a word that the lexicon lacks is asked of its distinct words alone; only the other texts
+    get a row for each place. The lexicon is sent to all tasks if its rows, at 64 bytes each, are under Spark's
+    limit for that; else hot words are left to adaptive joins. Equal keys are one text.
+    """
+    known = stored(lexicon.select(word, value).where(F.col(word).isNotNull()), "lexicon")
+    limit = texts.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    small = known.count() * 64 <= byte_count(limit)
+    held = F.broadcast(known) if small else known
+    rows = texts.select(key, words.alias("_words")).where(F.size("_words") > 0)
+    lacking = rows.select(key, F.explode(F.array_distinct("_words")).alias(word)).join(held.where(F.col(value).isNotNull()), word, "left_anti").select(key).distinct()
+    counted = stored(rows.groupBy(key).agg(F.sum(F.size("_words")).alias("n_words")).join(lacking.withColumn("_lacks", F.lit(True)), key, "left"), "resolvable")
+    whole = rows.join(counted.where("_lacks is null").select(key), key, "left_semi")
+    found = whole.select(key, F.posexplode("_words").alias("place", word)).join(held, word)
+    joined = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", value))).alias("xs"))
+    resolved = joined.select(key, F.array_join(F.transform("xs", lambda x: x[value]), " ").alias("resolved"))
+    return counted.select(key, "n_words").join(resolved, key, "left")
 
 
 def miss_reasons(expected: DataFrame, stages: list[tuple[str, DataFrame]], key: str) -> DataFrame:

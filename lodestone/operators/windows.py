@@ -99,12 +99,17 @@ def global_rank(rows: DataFrame, order: list[str], into: str) -> tuple[DataFrame
     return tagged.withColumn(into, F.element_at(offsets, F.col("_part")) + within).drop("_part"), total
 
 
-def cumulative(counts: DataFrame, keys: list[str], value: str, amounts: list[str]) -> DataFrame:
+def cumulative(counts: DataFrame, keys: list[str], value: str, amounts: list[str], most: int = 1 << 18) -> DataFrame:
     """The rows with before_<amount>: what the amounts sum up to over smaller values of the same keys.
 
-    ``counts`` has one row for each keys and value. No task sees all values of a key: rows are
-    range-partitioned and stored, sums of earlier partitions are added to those within the own one.
+    ``counts`` has one row for each keys and value. ``most`` of them at most are ordered by key as they are. Of more
+    no task sees all values of a key: rows are range-partitioned and stored, sums of earlier partitions are added
+    to those within the own one.
     """
+    before = lambda w: {f"before_{a}": F.coalesce(F.sum(a).over(w), F.lit(0)) for a in amounts}
+    counts = stored(counts, "counts")
+    if counts.count() <= most:
+        return counts.withColumns(before(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)))
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = stored(counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()), "cumulative")
     sums = tagged.groupBy("_part", *keys).agg(*(F.sum(a).alias(a) for a in amounts))
@@ -113,9 +118,9 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, amounts: list[str
     same = F.col("_part") == F.col("_p")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    within = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = before(Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
     joined = tagged.join(offsets, same)
-    return joined.select(*counts.columns, *((F.col(f"_o_{a}") + F.coalesce(F.sum(a).over(within), F.lit(0))).alias(f"before_{a}") for a in amounts))
+    return joined.select(*counts.columns, *((F.col(f"_o_{a}") + within[f"before_{a}"]).alias(f"before_{a}") for a in amounts))
 
 
 def tertiles(rows: DataFrame, value: str, tie: str, into: str) -> DataFrame:

@@ -54,3 +54,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def byte_count(text: str) -> int:
+    """A size as Spark's settings write it: '10485760b', '10MB', '256k'."""
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = text.strip().lower().removesuffix("b")
+    return int(text[:-1]) * units[text[-1]] if text and text[-1] in units else int(text)

@@ -12,6 +12,7 @@ from lodestone.operators import aggregates as a
 from lodestone.operators.containment import contained_names
 from lodestone.operators.frames import aligned_spans, segments
 from lodestone.operators.titles import best_matches, first_source, similar_texts
+from lodestone.operators.windows import cumulative
 
 squeeze = lambda x: re.sub("[^a-z0-9]+", "", (x or "").lower())
 
@@ -119,8 +120,10 @@ def test_spans_of_frames(spark):
     assert all(rows[c] == pytest.approx(want[c]) for c in want)
 
 
-def test_medians_of_a_hot_group(spark):
+@pytest.mark.parametrize("most", [1 << 18, 100])
+def test_medians_of_a_hot_group(spark, monkeypatch, most):
     """One group holds most rows, all different: its values stand in several partitions."""
+    monkeypatch.setattr(a, "cumulative", lambda *args: cumulative(*args, most=most))
     r = random.Random(4)
     rows = [("hot", r.random()) for _ in range(3000)] + [("odd", float(x)) for x in (5, 1, 3)] + [("even", 1.0), ("even", 4.0), ("none", None), (None, 2.0), (None, 2.0)] + [("same", 7.0)] * 50
     frame = spark.createDataFrame(rows, "g string, v double").repartition(6)
