@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import spread
+
 from . import bpe, fim, hmm, licenses, merkle, quality_rules, recompression, secrets
 from .common import table
 from .decontaminate import decontaminate
@@ -19,22 +21,27 @@ from .toxicity import score_toxicity
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores where they lie in few files."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.drop("text")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+    return count_tokens(documents(spark, sf_dir), VOCABULARY)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = score_quality(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.drop("text")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+    coded = bpe.round_trip(documents(spark, sf_dir), VOCABULARY)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -44,23 +51,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(documents(spark, sf_dir))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.score_texts(table(spark, sf_dir, "documents"))
+    return hmm.score_texts(documents(spark, sf_dir))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.summarize(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    return secrets.summarize(secrets.find_secrets(documents(spark, sf_dir)))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.drop("item_ids", "near_ids")
 
 
@@ -69,18 +76,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    made = fim.restored(fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text")))
     digests = (F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = recompression.remove_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     proved = merkle.manifest(docs, offered=merkle.without_newlines(docs))
     return merkle.audit(proved, "offered").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
