@@ -20,6 +20,7 @@ from lodestone.llm.line_quality import score_quality
 from lodestone.llm.neardup import near_duplicates
 from lodestone.llm.queries import VOCABULARY
 from lodestone.llm.secrets import mask_secrets
+from lodestone.sources.tables import spread
 
 ORACLE_SQL = None
 
@@ -103,7 +104,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

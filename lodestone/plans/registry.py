@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.sources.tables import ship_code
+from lodestone.sources.tables import ship_code, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are much work each, over all cores even where it is one file."""
+        return spread(getattr(self, name))
+
 
 def query(sql: str | None = None):
     """Register a function of :class:`Tables` under its own name."""

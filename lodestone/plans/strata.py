@@ -341,7 +341,7 @@ with w as (select doc_id, generate_subscripts(ws, 1) - 1 place, unnest(ws) word
 select doc_id, count(*) n_words, case when count(v) = count(*) then array_to_string(list(v order by place), ' ') end resolved from w left join x using (word) group by 1""")
 def word_resolution(t: Tables) -> DataFrame:
     """Texts whose every word is in a lexicon, and its values in order; all or nothing."""
-    d = t.documents.select("doc_id", "text")
+    d = t.spread("documents").select("doc_id", "text")
     words = d.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
     lexicon = words.groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").cast("string").alias("v")).where("c >= 3")
     return r.resolve_words(d, "doc_id", F.split("text", " "), lexicon, "word", "v")

@@ -59,7 +59,7 @@ def locate_spans(t: Tables) -> DataFrame:
 with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda a: a <> '') ws from documents)
 select doc_id, greatest(1, list_sum([0] || list_transform(ws, lambda a: greatest(1, len(regexp_extract_all(a, '[aeiouy]+'))))))::int syllables from w""")
 def syllable_estimate(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", x.syllables(F.col("text")).alias("syllables"))
+    return t.spread("documents").select("doc_id", x.syllables(F.col("text")).alias("syllables"))
 
 
 SYMBOLS = ["sch", "tion", "ing", "the", "er", "en", "ch", "an", "on", "re"]
@@ -109,7 +109,7 @@ select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(repl
  regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) title, len(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>'))::int paragraphs from pages""")
 def page_text(t: Tables) -> DataFrame:
     h = F.col("html")
-    return t.pages.select("page_id", x.plain_text(h).alias("body"), F.coalesce(F.get(x.blocks(h, "title"), F.lit(0)), F.lit("")).alias("title"), F.size(x.blocks(h, "p")).alias("paragraphs"))
+    return t.spread("pages").select("page_id", x.plain_text(h).alias("body"), F.coalesce(F.get(x.blocks(h, "title"), F.lit(0)), F.lit("")).alias("title"), F.size(x.blocks(h, "p")).alias("paragraphs"))
 
 
 @query(r"""

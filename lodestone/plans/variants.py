@@ -17,7 +17,7 @@ WORDS = "words as (select distinct lower(w) word from (select unnest(regexp_extr
 
 def vocabulary(t: Tables) -> DataFrame:
     """Distinct plain words of all documents."""
-    return t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
+    return t.spread("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
 
 
 def sounds(word: Column) -> Column:

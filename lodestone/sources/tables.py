@@ -44,6 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores where their files give fewer partitions than there are cores.
+
+    A table of one small file is one task, whatever is done to its texts; a table of many files is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
