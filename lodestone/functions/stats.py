@@ -68,8 +68,9 @@ def _polynomial(x: Column, powers: tuple[float, ...]) -> Column:
     return out
 
 
-def normal_quantile(p: Column) -> Column:
+def normal_quantile(p: Column | str) -> Column:
     """Inverse of the normal distribution (relative error below 1.2e-9); an error outside (0, 1), null stays null."""
+    p = F.col(p) if isinstance(p, str) else p
     checked = F.when((p > 0) & (p < 1), p).when(p.isNotNull(), F.raise_error(F.lit("a probability is not between 0 and 1")).cast("double"))
 
     def tail(q: Column) -> Column:

@@ -6,6 +6,7 @@ worker builds an Aho-Corasick automaton from it once and walks every text of its
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -50,7 +51,7 @@ def contained_names(texts: DataFrame, keys: list[str], text: str, own: str, name
     found = None
     for b in range(blocks):
         held = texts.sparkSession.sparkContext.broadcast([r["key"] for r in dealt.where(F.col("block") == b).select("key").collect()])  # block_bytes, whatever the number of names
-        token = f"{id(held)}-{b}-{total}"
+        token = uuid.uuid4().hex  # workers live on from call to call
 
         def run(batches: Iterator[pa.RecordBatch], held=held, token=token) -> Iterator[pa.RecordBatch]:
             if not held.value:
