@@ -14,7 +14,7 @@ symbols but fewer interior ones, so more rows; two leave 0.19 rows for each wind
    symbol stands in a smaller id of the same batch sends nothing else.
 2. The rows of a symbol meet. Where only one document has it, no window of it repeats. Else the windows of
    equal marks are compared: a window also found under a smaller id is a repeat. So symbols reveal repeats,
-   and symbol and mark (over 100 bits) verify them.
+   and symbol and mark (98 bits) verify them.
 3. Symbols that a sample shows to fill a fourth of a task are dealt by document. Their rows have few
    shapes (the marks that stand side by side), as they come from copies: the least id of each shape is
    combined before the shuffle, windows are compared among shapes, and each row gets its shape's answer.
