@@ -74,7 +74,7 @@ def asked_orders(t: Tables) -> DataFrame:
 @query("""
 with w as (select user_id::varchar item_id, max(event_type = 'purchase') done from events group by 1)
 select item_id from w where not done""")
-def open_items(t: Tables) -> DataFrame:
+def items_not_done(t: Tables) -> DataFrame:
     """Items of a log that no successful record names."""
     log = t.events.select(F.col("user_id").cast("string").alias("item_id"), F.when(F.col("event_type") == "purchase", "ok").otherwise("error").alias("status"))
     return runs.not_started(log.select("item_id").distinct(), log)
