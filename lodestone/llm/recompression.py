@@ -44,7 +44,7 @@ from .common import materialize, numbered, ship_code
 
 PAIR_ROUNDS = 2
 LONG = 3
-SEGMENT = 1 << 18
+SEGMENT = 1 << 16
 _MARK = 5  # bytes
 _A, _B = k.U(0xD6E8FEB86659FD93), k.U(0xA0761D6478BD642F)
 _LOG2 = np.array([0, 0, 1, 1, 2, 2, 2, 2, *[3] * 8, *[4] * 16])
@@ -291,14 +291,16 @@ def hot_repeats(hot: DataFrame) -> DataFrame:
             counts, mark = unpacked(batch["marks"])
             of = np.repeat(np.arange(len(batch)), counts)
             within = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            held = batch.select(["name", "marks", "least", "most"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(mark.view(np.int64)), pa.array(within.astype(np.int32))], names=["name", "marks", "least", "most", "mark", "within"])
+            held = batch.select(["shape", "name", "least", "most"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(mark.view(np.int64)), pa.array(within.astype(np.int32))], names=["shape", "name", "least", "most", "mark", "within"])
 
     shapes = hot.groupBy("name", "marks").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    windows = materialize(shapes.select("name", "marks", "least", "most").mapInArrow(run, "name long, marks binary, least long, most long, mark long, within int"), "op12-shapes")
+    shapes = materialize(shapes.withColumn("shape", F.monotonically_increasing_id()), "op12-shapes")
+    windows = shapes.mapInArrow(run, "shape long, name long, least long, most long, mark long, within int")
     shared = windows.groupBy("name", "mark").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last")
-    answers = windows.select("name", "marks", "mark", "within").join(shared.select("name", "mark", "first"), ["name", "mark"])
-    answers = materialize(answers.groupBy("name", "marks").agg(F.collect_list(F.struct("within", "first")).alias("firsts")), "op12-answers")
+    answers = windows.select("shape", "name", "mark", "within").join(shared.select("name", "mark", "first"), ["name", "mark"])
+    answers = answers.groupBy("shape").agg(F.collect_list(F.struct("within", "first")).alias("firsts"))
+    answers = materialize(shapes.select("shape", "name", "marks").join(answers, "shape").drop("shape"), "op12-answers")
     found = hot.select("row", "start", "doc", "span", "name", "marks").join(answers, ["name", "marks"])
     mine = F.filter("firsts", lambda x: x["first"] < F.col("doc"))
     spans = F.transform(mine, lambda x: F.struct((F.col("start") + x["within"]).alias("start"), (F.col("start") + x["within"] + F.col("span")).alias("end")))
