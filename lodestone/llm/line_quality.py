@@ -14,7 +14,7 @@ The model is fitted on at most ``most_docs`` labelled documents (those with the
 documents are scored.
 
 Null and empty texts are one empty line. Very long texts are scored whole. Repeated rows are scored row by
-row; in the fit an id that repeats counts once, with the lowest of its labels and one of its texts. Rows
+row, tied scores stay tied; in the fit an id that repeats counts once, with the lowest of its labels and one of its texts. Rows
 without label or id are scored too. With no labels of one class the score is the share of the other (0.5
 without labels). An empty table gives no rows. Other columns are never inputs and pass through, but those
 named held_out, score or predicted are replaced by the operator's.
