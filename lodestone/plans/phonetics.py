@@ -21,15 +21,15 @@ def spelled(name):
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit("[a-z]"), F.lit(0)), lambda c: F.try_element_at(table, c)), " ")
 
 
-def _values(rows: str, tables: tuple[dict, ...]) -> str:
+def _values(rows: list[tuple], tables: tuple[dict, ...]) -> str:
     """Feature rows as SQL values, names by their numbers."""
     out = []
-    for name, *fields in (r.split() for r in rows.strip().splitlines()):
-        out.append(f"('{name}', " + ", ".join(str(float(t[f])) if t else f for f, t in zip(fields, tables, strict=True)) + ")")
+    for name, *fields in rows:
+        out.append(f"('{name}', " + ", ".join(str(float(t[f])) if t else str(f) for f, t in zip(fields, tables, strict=True)) + ")")
     return ", ".join(out)
 
 
-_SONORANT = [r.split()[0] for r in phones.CONSONANTS.strip().splitlines() if r.split()[2] in ("nasal", "liquid", "glide")]
+_SONORANT = [name for name, _, manner, _ in phones.CONSONANTS if manner in ("nasal", "liquid", "glide")]
 _LISTED = ", ".join(f"('{x}', '{y}', {c})" for pair, c in phones.PAIRS.items() for x, y in (pair, pair[::-1]))
 _WEIGHED = " + ".join(f"{w} * abs(x.f{i} - y.f{i})" for i, w in enumerate(phones.VOWEL_WEIGHTS))
 
