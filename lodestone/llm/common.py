@@ -64,15 +64,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     Like checkpoints, these tables stay until the folder is cleaned: a result may be read lazily
-    long after this call.
+    long after this call. Rows of megabytes need ``group_bytes``: writers hold a row group, readers up to
+    4096 rows of one, and by default a group has 100 rows at least.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    groups = {} if group_bytes is None else {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1}
+    df.write.options(**groups).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

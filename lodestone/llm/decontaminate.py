@@ -37,6 +37,7 @@ SEGMENT_SCHEMA = (
 )
 MATCH_SCHEMA = "row long, doc_id long, n_words long, starts array<int>, ends array<int>, item_ids array<long>, near_ids array<long>"
 _SEGMENT_BYTES = 1 << 21
+_GROUP_BYTES = 1 << 23
 _MOST_PLACES = 1 << 21
 _NEVER = 1 << 40
 
@@ -275,7 +276,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     times the hit words reach the words), item_ids, n_near and near_ids (items with a proximity match
     only). The corpus is read and indexed once; test items are searched block by block.
     """
-    index = materialize(build_index(docs), "op9-index")
+    index = materialize(build_index(docs), "op9-index", _GROUP_BYTES)
     blocks = item_blocks(benchmark, window, block_bytes)
     first = next(blocks)
     found = search_index(index, first, slop)

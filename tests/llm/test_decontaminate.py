@@ -141,3 +141,20 @@ def test_an_item_id_that_repeats_very_often(spark):
 
 def test_joined_spans():
     assert joined([5, 9, 0, 2, 8, 12, 12, 13, 20, 21]) == [0, 2, 5, 13, 20, 21]
+
+
+def test_index_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """A reader takes up to 4096 rows of a row group at once, and a segment's row has megabytes."""
+    import pyarrow.parquet as pq
+
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "shared_path", lambda spark, name: str(tmp_path / name))
+    text = "array_join(transform(sequence(1, 200000), x -> concat('w', id, 'x', x)), ' ') as text"
+    docs = spark.range(16).selectExpr("id as doc_id", text).coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(f"w3x{i}" for i in range(70, 83)))], "item_id long, text string")
+    found = decontaminate(docs, items).where("n_items > 0").select("doc_id", "n_hit").collect()
+    (file,) = (tmp_path / "op9-index").glob("*.parquet")
+    index = pq.ParquetFile(file).metadata
+    assert [tuple(r) for r in found] == [(3, 13)]
+    assert max(index.row_group(i).total_byte_size for i in range(index.num_row_groups)) <= 16 << 20
