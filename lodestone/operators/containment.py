@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.variants import squeezed
@@ -71,3 +71,26 @@ def contained_names(texts: DataFrame, keys: list[str], text: str, own: str, name
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionAll(part)
     return found.join(listed, "key").select(*keys, F.col("name").alias(name))
+
+
+def undominated(rows: DataFrame, group: str, text: str, most: int) -> DataFrame:
+    """group, text: of each group's distinct phonetic texts, without dots and spaces, those inside no longer one,
+    the first ``most``; of texts that differ in dots and spaces alone the first.
+
+    Texts meet by equality with parts of longer ones. A part can be a text of its group only if it begins as all of
+    them do and is no shorter than the shortest, so few parts of a text are rows, and no group is ever gathered.
+    """
+    keyed = rows.where(F.col(text).isNotNull()).withColumn("key", F.regexp_replace(text, "[. ]", "")).groupBy(group, "key").agg(F.min(text).alias(text))
+    bounds = keyed.groupBy(group).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.length("key")).alias("least"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i > 0)
+    # what the first and the last text in order begin with, all texts between them begin with
+    shared = F.size(F.filter(upto(F.col("least")), lambda i: F.left("low", i) == F.left("high", i)))
+    bounds = bounds.select(group, "least", F.left("low", shared).alias("begin"))
+    own, key = F.length("key"), F.col("key")
+    starts = F.filter(upto(own), lambda i: F.substr(key, i, F.length("begin")) == F.col("begin"))
+    parts = lambda i: F.transform(F.filter(upto(own - i + 1), lambda n: (n >= F.col("least")) & (n < own)), lambda n: F.substr(key, i, n))
+    inner = keyed.join(bounds, group).select(group, F.explode(F.array_distinct(F.flatten(F.transform(starts, parts)))).alias("key"))
+    # an empty text is inside every other
+    free = keyed.where("key <> ''").join(inner, [group, "key"], "left_anti").unionByName(keyed.where("key = ''").join(keyed.where("key <> ''"), group, "left_anti"))
+    order = F.row_number().over(Window.partitionBy(group).orderBy(text))
+    return free.withColumn("place", order).where(F.col("place") <= most).select(group, text)

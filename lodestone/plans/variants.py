@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import variants as v
-from lodestone.operators.containment import contained_names
+from lodestone.operators.containment import contained_names, undominated
+from lodestone.sources.tables import dealt
 
 from .registry import Tables, query
 
@@ -16,8 +17,8 @@ WORDS = "words as (select distinct lower(w) word from (select unnest(regexp_extr
 
 
 def vocabulary(t: Tables) -> DataFrame:
-    """Distinct plain words of all documents."""
-    return t.spread("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
+    """Distinct plain words of all documents, over all tasks."""
+    return dealt(t.spread("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct())
 
 
 def sounds(word: Column) -> Column:
@@ -123,8 +124,9 @@ select head, array_to_string(list_filter(items, lambda x, i: list_position(keys,
 def pruned_variants(t: Tables) -> DataFrame:
     """Of the phonetic texts with one beginning those that no longer one contains, three at most."""
     shown = F.concat(F.lit("ˈ"), sounds(F.left("word", F.lit(3))), F.lit("."), sounds(F.substr(F.col("word"), F.lit(4))))
-    rows = vocabulary(t).where(F.length("word").between(3, 9)).groupBy(F.left("word", F.lit(3)).alias("head")).agg(F.array_sort(F.collect_set(shown)).alias("items"))
-    return rows.select("head", F.array_join(v.dominated_pruned(F.col("items")), "|").alias("kept"))
+    rows = vocabulary(t).where(F.length("word").between(3, 9)).select(F.left("word", F.lit(3)).alias("head"), shown.alias("item"))
+    kept = undominated(rows, "head", "item", 3)
+    return kept.groupBy("head").agg(F.array_join(F.array_sort(F.collect_list("item")), "|").alias("kept"))
 
 
 _REWRITES = [("tʃ", "ʧ"), ("dʒ", "ʤ"), ("æɪ", "A"), ("ɒʌ", "W"), ("ɛɪ", "I"), ("ː", "")]
