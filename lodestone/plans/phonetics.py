@@ -42,18 +42,19 @@ with c(s, place, manner, voiced) as (values {_values(phones.CONSONANTS, (phones.
 v(s, f0, f1, f2, f3, f4, f5, f6) as (values {_values(phones.VOWELS, (phones.HEIGHTS, phones.BACKNESS, {}, {}, {}, phones.HEIGHTS, phones.BACKNESS))}),
 l(a, b, cost) as (values {_LISTED}), n as (select s from c union all select s from v),
 letter(c, s) as (values {_LETTER_VALUES}), met as (select distinct s from (select unnest(regexp_extract_all(lower(p_name), '[a-z]')) c from part) join letter using (c)),
-p as (select x.s a, y.s b from n x join n y on x.s < y.s where x.s in (select s from met) and y.s in (select s from met)),
+p as (select x.s a, y.s b, x.s in (select s from met) and y.s in (select s from met) met from n x join n y on x.s < y.s),
 cc as (select x.s a, y.s b, ({phones.CONSONANT_WEIGHTS[0]} * abs(x.place - y.place) + {phones.CONSONANT_WEIGHTS[1]} * abs(x.manner - y.manner) + {phones.CONSONANT_WEIGHTS[2]} * abs(x.voiced - y.voiced)) / {sum(phones.CONSONANT_WEIGHTS)} cost from c x, c y),
 vv as (select x.s a, y.s b, ({_WEIGHED}) / {sum(phones.VOWEL_WEIGHTS)} cost from v x, v y)
-select p.a, p.b, round(coalesce(l.cost, cc.cost, vv.cost, case when p.a in {tuple(_SONORANT)} or p.b in {tuple(_SONORANT)} then {phones.ACROSS_SONORANT} else {phones.ACROSS} end)::double, 9) cost
+select p.a, p.b, round(coalesce(l.cost, cc.cost, vv.cost, case when p.a in {tuple(_SONORANT)} or p.b in {tuple(_SONORANT)} then {phones.ACROSS_SONORANT} else {phones.ACROSS} end)::double, 9) cost, p.met
 from p left join l on l.a = p.a and l.b = p.b left join cc on cc.a = p.a and cc.b = p.b left join vv on vv.a = p.a and vv.b = p.b""")
 def symbol_pairs(t: Tables) -> DataFrame:
-    """The cost of every pair of symbols that the names' references have."""
+    """The cost of every pair of symbols, and whether the names' references have both."""
     symbols = F.filter(F.transform(F.split(spelled(F.col("p_name")), " "), lambda x: F.regexp_replace(x, "[012]$", "")), lambda x: x != "")
-    met = t.part.select(F.explode(F.array_distinct(symbols)).alias("a")).distinct()
-    every = met.agg(F.array_sort(F.collect_set("a")).alias("all"))  # at most the inventory's symbols
-    pairs = every.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda b: b > F.col("a"))).alias("b"))
-    return pairs.select("a", "b", F.round(phones.pair_cost("a", "b"), 9).alias("cost"))
+    met = t.part.select(F.explode(F.array_distinct(symbols)).alias("s")).agg(F.collect_set("s").alias("met"))  # at most the inventory's symbols
+    every = F.array(*map(F.lit, sorted(phones.SYMBOLS)))
+    pairs = met.select(F.explode(every).alias("a"), "met").select("a", F.explode(F.filter(every, lambda b: b > F.col("a"))).alias("b"), "met")
+    both = F.array_contains("met", F.col("a")) & F.array_contains("met", F.col("b"))
+    return pairs.select("a", "b", F.round(phones.pair_cost("a", "b"), 9).alias("cost"), both.alias("met"))
 
 
 @query()
