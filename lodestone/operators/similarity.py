@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import phones
 from lodestone.functions.notation import as_letters
-from lodestone.sources.tables import stored
+from lodestone.sources.tables import dealt, stored
 
 
 def unit(vector: Column) -> Column:
@@ -22,7 +22,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-FRAMES = 256
+FRAMES = 8192
+_TILE = 1024
 
 BEST = "struct<rows: array<double>, columns: array<double>>"
 
@@ -31,9 +32,15 @@ def _best_matches(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """For every pair of frame blocks the best match of each row and of each column."""
     rows, columns = [], []
     for x, y in zip(a, b, strict=True):
-        product = np.stack(x) @ np.stack(y).T
-        rows.append(product.max(axis=1))
-        columns.append(product.max(axis=0))
+        left, right = np.stack(x), np.stack(y).T
+        best = np.full(right.shape[1], -np.inf)
+        of_rows = []
+        for lo in range(0, len(left), _TILE):
+            product = left[lo : lo + _TILE] @ right
+            of_rows.append(product.max(axis=1))
+            np.maximum(best, product.max(axis=0), out=best)
+        rows.append(np.concatenate(of_rows))
+        columns.append(best)
     return pd.DataFrame({"rows": rows, "columns": columns})
 
 
@@ -41,21 +48,20 @@ def max_similarity(frames_a: DataFrame, frames_b: DataFrame, pairs: DataFrame, d
     """a, b, precision, recall, f1 of each pair of clips in ``pairs`` (a, b).
 
     Frames are (clip, frame, v) with unit vectors. A clip's frames are packed in blocks of ``FRAMES`` at
-    most; a pair's blocks meet in an equality join and are compared by one matrix product each, so
-    neither a whole clip nor the pairwise products are ever rows of one task.
+    most; the blocks of a pair meet by their numbers and are compared once, tile by tile, so neither a whole
+    clip nor the pairwise products are ever rows of one task. All products are made: the time follows their number.
     """
     place = F.row_number().over(Window.partitionBy("clip").orderBy("frame")) - 1
     packed = lambda f: f.withColumn("part", F.floor(place / FRAMES)).groupBy("clip", "part").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("fs"))
     left = packed(frames_a).select(F.col("clip").alias("a"), F.col("part").alias("pa"), F.transform("fs", lambda f: f["v"]).alias("va"))
     right = packed(frames_b).select(F.col("clip").alias("b"), F.col("part").alias("pb"), F.transform("fs", lambda f: f["v"]).alias("vb"))
+    parts = lambda f, clip, part: f.groupBy(F.col("clip").alias(clip)).count().select(clip, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / FRAMES))).alias(part))
+    blocks = pairs.join(parts(frames_a, "a", "pa"), "a").join(parts(frames_b, "b", "pb"), "b")
     compare = F.pandas_udf(_best_matches, BEST)
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", compare("va", "vb").alias("m"))
-
-    def mean(side: str, part: str, other: str, name: str) -> DataFrame:
-        each = met.select("a", "b", part, F.posexplode(f"m.{side}").alias("i", "s")).groupBy("a", "b", part, "i").agg(F.max("s").alias("s"))
-        return each.groupBy("a", "b").agg(F.avg("s").alias(name))
-
-    both = mean("rows", "pa", "pb", "p").join(mean("columns", "pb", "pa", "r"), ["a", "b"])
+    met = dealt(blocks.join(left, ["a", "pa"]), "b", "pb").join(right, ["b", "pb"]).select("a", "b", "pa", "pb", compare("va", "vb").alias("m"))
+    sides = F.array(F.struct(F.lit("p").alias("side"), F.col("pa").alias("part"), F.col("m.rows").alias("best")), F.struct(F.lit("r").alias("side"), F.col("pb").alias("part"), F.col("m.columns").alias("best")))
+    each = met.select("a", "b", F.inline(sides)).select("a", "b", "side", "part", F.posexplode("best").alias("i", "s")).groupBy("a", "b", "side", "part", "i").agg(F.max("s").alias("s"))
+    both = each.groupBy("a", "b").agg(*(F.avg(F.when(F.col("side") == x, F.col("s"))).alias(x) for x in ("p", "r")))
     f1 = F.when(F.col("p") + F.col("r") <= 0, 0.0).otherwise(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))
     return both.select("a", "b", F.round("p", digits).alias("precision"), F.round("r", digits).alias("recall"), F.round(f1, digits).alias("f1"))
 

@@ -53,11 +53,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` over all shuffle partitions, which Spark won't put together again: few bytes with much work for
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` (by ``keys``, if any) over all shuffle partitions, which Spark won't put together again: few bytes with much work for
     each row would end in one task."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
