@@ -41,9 +41,10 @@ def offset_last_records(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_id") % 5 > 0, F.col("event_type"))
     line = F.to_json(F.struct("user_id", "event_id", kind.alias("event_type")), {"ignoreNullFields": "false"})
     cut = F.when(F.col("event_id") % 10 == 0, F.array(line, F.left(line, F.lit(20)))).otherwise(F.array(line))
-    ordered = t.events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    ordered = t.events.repartitionByRange(max(4, t.spark.sparkContext.defaultParallelism), "event_id").sortWithinPartitions("event_id")
     ordered.select(F.explode(cut).alias("value")).write.text(path)
-    found = jsonl.last_records(t.spark, path, "user_id long, event_id long, event_type string", "user_id", range_bytes=50_000)
+    ranges = jsonl.range_bytes(t.spark, path, least=50_000)
+    found = jsonl.last_records(t.spark, path, "user_id long, event_id long, event_type string", "user_id", range_bytes=ranges)
     return found.select("user_id", "event_id", "event_type", (F.col("event_id") % 5 > 0).alias("typed"))
 
 
@@ -52,9 +53,10 @@ def committed_lines(t: Tables) -> DataFrame:
     """Two writers append to one folder, one of them a stream whose batches are all replayed; each counts once."""
     source, path = fresh_path(t.spark, "changes"), fresh_path(t.spark, "appended")
     rows = t.events.select("event_id", "user_id", "event_type")
-    rows.repartition(3).write.parquet(source)
+    cores = t.spark.sparkContext.defaultParallelism
+    rows.repartition(3 * cores).write.parquet(source)  # three batches, each over all cores
     for _ in range(2):  # the second time without the progress of the first
-        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", cores).parquet(source)
         jsonl.append_stream(stream, path, fresh_path(t.spark, "progress"), "stream").awaitTermination()
     for _ in range(2):
         jsonl.append(rows.where("event_id % 3 = 0").withColumn("event_type", F.lit("again")), path, "run-1")

@@ -53,6 +53,13 @@ def _files(path: str, committed: bool) -> list[fs.FileInfo]:
     return system.get_file_info([f"{root}/{n}" for n in names]) if names else []
 
 
+def range_bytes(spark: SparkSession, path: str, least: int, most: int = 64 << 20) -> int:
+    """Bytes of a range for four tasks a core, within bounds: the number of tasks doesn't grow with the lines
+    until ranges are as long as ``most``."""
+    total = sum(f.size for f in _files(path, committed=False))
+    return min(most, max(least, -(-total // (4 * spark.sparkContext.defaultParallelism))))
+
+
 @dataclass
 class Range(InputPartition):
     path: str
