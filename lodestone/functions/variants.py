@@ -73,7 +73,7 @@ def coverage_class(query: Column, name: Column) -> Column:
 
 def bare(text: Column) -> Column:
     """Without slashes, brackets and blanks at its edges."""
-    return F.regexp_replace(F.trim(text), r"^[/\[\]() ]+|[/\[\]() ]+$", "")
+    return F.btrim(F.trim(text), F.lit("/[]() "))
 
 
 def unwrapped(text: Column) -> Column:
@@ -84,41 +84,43 @@ def unwrapped(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """:func:`unwrapped` without syllable dots and white space."""
-    return F.regexp_replace(unwrapped(text), r"[.\s]", "")
+    return F.translate(unwrapped(text), ". \t\n\x0b\f\r", "")
 
 
 def folded(text: Column) -> Column:
     """Sounds alone, to compare two transcriptions: no stress, length, dots, blanks or brackets."""
-    return F.regexp_replace(F.translate(F.lower(stripped(text)), "ɹɡ", "rg"), r"[ˈˌː. /\[\]()-]", "")
+    return F.translate(F.lower(stripped(text)), "ɹɡˈˌː. /[]()-", "rg")
 
 
 def same_with_stress(a: Column, b: Column) -> Column:
     """Equal sounds and equal stress, whatever the dots, blanks and letters for r and g."""
-    form = lambda c: F.translate(F.regexp_replace(bare(F.coalesce(c, F.lit(""))), "[. ]", ""), "ɹɡ", "rg")
-    return (form(a) != "") & (form(a) == form(b))
+    form = lambda c: F.translate(bare(F.coalesce(c, F.lit(""))), "ɹɡ. ", "rg")
+    return F.coalesce(F.nullif(form(a), F.lit("")) == form(b), F.lit(False))
 
 
 def plain_phonemes(text: Column) -> Column:
     """Without stress and blanks, with one letter for r, before sounds are compared."""
-    return F.translate(F.regexp_replace(text, "[ˈˌ ]", ""), "r", "ɹ")
+    return F.translate(text, "rˈˌ ", "ɹ")
 
 
 def source_ipa(text: Column) -> Column:
     """Published phonetic text of a whole word; respellings, fragments and misplaced stress are not."""
     v, c = IPA_VOWELS, IPA_CONSONANTS
-    t = F.lower(bare(F.coalesce(text, F.lit(""))))
-    syllables = F.filter(F.split(F.regexp_replace(t, "[ˈˌ]", ""), "[. ]+"), lambda s: s != "")
-    onset = lambda s: F.regexp_extract(s, f"^([^{v}]*)", 1)
-    spoken = F.forall(syllables, lambda s: s.rlike(f"[{v}]") & ((F.length(onset(s)) < 3) | onset(s).rlike("^[sʃ]")))
-    return (
-        (t != "")
-        & ~bare(F.coalesce(text, F.lit(""))).rlike(r'[āēīōüăěŏ"“”]|\.\.|[-–]|[A-Z]{2,}')
-        & t.rlike(f"[{IPA_MARKS}]")
-        & ~t.rlike(r"[ʝχβɲʎɣʔɓɗ]|[\x{0300}-\x{036F}]")
-        & (F.regexp_count(t, F.lit(f"[{v}]+")) >= 2)
-        & ~t.rlike(f"(?:^|[^{v}])[{c}][ˈˌ][{v}]")
-        & spoken
-    )
+
+    def judged(b: Column, t: Column) -> Column:
+        syllables = F.filter(F.split(F.translate(t, "ˈˌ", ""), "[. ]+"), lambda s: s != "")
+        spoken = F.forall(syllables, lambda s: s.rlike(f"^(?:[^{v}]{{0,2}}|[sʃ][^{v}]*)[{v}]"))
+        return (
+            (t != "")
+            & ~b.rlike(r'[āēīōüăěŏ"“”–-]|\.\.|[A-Z]{2}')
+            & t.rlike(f"[{IPA_MARKS}]")
+            & ~t.rlike(r"[ʝχβɲʎɣʔɓɗ\x{0300}-\x{036F}]")
+            & t.rlike(f"[{v}][^{v}]+[{v}]")
+            & ~t.rlike(f"(?:^|[^{v}])[{c}][ˈˌ][{v}]")
+            & spoken
+        )
+
+    return _let(bare(F.coalesce(text, F.lit(""))), lambda b: _let(F.lower(b), lambda t: judged(b, t)))
 
 
 def lenient_ipa(text: Column) -> Column:

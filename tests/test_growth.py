@@ -1,7 +1,9 @@
 """Work that must not grow faster than its tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from lodestone.functions import variants as v
 from lodestone.operators import similarity as sim
 from lodestone.sources import jsonl
 
@@ -27,3 +29,11 @@ def test_ranges_do_not_grow_with_lines(spark, tmp_path):
         size = jsonl.range_bytes(spark, path, least=1_000)
         lines = jsonl.read_lines(spark, path, range_bytes=size)
         assert lines.rdd.getNumPartitions() <= 4 * cores + 2 and lines.count() == n
+
+
+def test_texts_are_stripped_once(spark):
+    form = F.col("form")
+    frame = spark.createDataFrame([("/ˈbæ.kə/",), ("[ˈsprɪŋtən]",), ("(ˈbtkæ.kə)",), ("ab-ˈæ",), ("",), (None,)], "form string")
+    judged = frame.select(v.source_ipa(form).alias("x"))
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("btrim") + judged._jdf.queryExecution().optimizedPlan().toString().count("trim(both") <= 2
+    assert [r.x for r in judged.collect()] == [True, True, False, False, False, False]
