@@ -214,11 +214,14 @@ def nearest_window(heard: Column, wanted: Column) -> Column:
     than wanted are kept whole; if a side is empty the other is the answer.
     """
     n, m = F.size(wanted), F.size(heard)
-    windows = F.flatten(F.transform(F.array(n - 1, n, n + 1), lambda w: F.when((w >= 3) & (w <= m), F.transform(F.sequence(F.lit(1), m - w + 1), lambda i: F.slice(heard, i, w))).otherwise(F.array().cast("array<array<string>>"))))
-    every = F.concat(F.array(F.slice(heard, 1, n)), windows)
+    place = lambda at, w: F.struct(at.alias("at"), w.alias("w"))
+    windows = F.flatten(F.transform(F.array(n - 1, n, n + 1), lambda w: F.when((w >= 3) & (w <= m), F.transform(F.sequence(F.lit(1), m - w + 1), lambda i: place(i, w))).otherwise(F.array().cast("array<struct<at:int,w:int>>"))))
+    every = F.concat(F.array(place(F.lit(1), n)), windows)
 
-    def distance(x: Column) -> Column:
-        return _let(as_letters(x, wanted), lambda p: F.levenshtein(p["a"], p["b"]))
+    def nearest(p: Column) -> Column:
+        """The place of the least distance; tokens become letters once for all windows."""
+        distance = lambda x: F.levenshtein(F.substr(p["a"], x["at"], x["w"]), p["b"])
+        return F.array_min(F.transform(every, lambda x, i: F.struct(distance(x).alias("d"), i.alias("i"), x.alias("x"))))["x"]
 
-    ranked = F.transform(every, lambda x, i: F.struct(distance(x).alias("d"), i.alias("i"), x.alias("x")))
-    return F.when(m == 0, wanted).when((n == 0) | (m <= n + 1), heard).otherwise(F.array_min(ranked)["x"])
+    found = _let(_let(as_letters(heard, wanted), nearest), lambda x: F.slice(heard, x["at"], x["w"]))
+    return F.when(m == 0, wanted).when((n == 0) | (m <= n + 1), heard).otherwise(found)

@@ -77,6 +77,10 @@ def letter_sounds(words: pd.Series) -> pd.Series:
     return words.map(said)
 
 
+# A filter on the symbols stays behind them: below a distinct it would sound every occurrence of every word.
+letter_sounds = letter_sounds.asNondeterministic()
+
+
 def stressed(symbols: Column, from_end: Column) -> Column:
     """Stress digits on the vowels: primary on the one that many from the end, or the first of fewer;
     secondary on the first of four or more."""
@@ -305,11 +309,14 @@ def word_spaced(ipa: Column, like: Column) -> Column:
 
     def cut(x: Column) -> Column:
         total = F.aggregate(x["lens"], F.lit(0), lambda a, v: a + v)
-        take = lambda v: F.greatest(F.lit(1), F.rint(F.size(x["phones"]) * v / total).cast("int"))
-        begin = lambda i: F.aggregate(F.slice(x["lens"], 1, i), F.lit(0), lambda a, v: a + take(v))
-        chunk = lambda v, i: F.slice(x["phones"], begin(i) + 1, F.when(i + 1 == F.size(x["lens"]), F.size(x["phones"])).otherwise(take(v)))
-        said = F.transform(x["lens"], lambda v, i: voiced(chunk(v, i), F.get(words, i)))
-        return F.when(F.size(x["phones"]) > 0, F.array_join(F.filter(said, lambda w: w != ""), " ")).otherwise(ipa)
+        takes = _let(total, lambda all_: F.transform(x["lens"], lambda v: F.greatest(F.lit(1), F.rint(F.size(x["phones"]) * v / all_).cast("int"))))
+
+        def said(ts: Column) -> Column:
+            begin = lambda i: F.aggregate(F.slice(ts, 1, i), F.lit(0), lambda a, v: a + v)
+            chunk = lambda v, i: F.slice(x["phones"], begin(i) + 1, F.when(i + 1 == F.size(ts), F.size(x["phones"])).otherwise(v))
+            return F.transform(ts, lambda v, i: voiced(chunk(v, i), F.get(words, i)))
+
+        return F.when(F.size(x["phones"]) > 0, F.array_join(F.filter(_let(takes, said), lambda w: w != ""), " ")).otherwise(ipa)
 
     lens = F.transform(words, lambda w: F.greatest(F.lit(1), F.size(bare_phones(w))))
     fused = F.contains(F.coalesce(like, F.lit("")), F.lit(" ")) & ~F.contains(ipa, F.lit(" "))
@@ -329,13 +336,16 @@ def sanitized(ipa: Column, like: Column) -> Column:
     return _let(F.struct(clean.alias("text"), bare_phones(clean).alias("phones")), checked)
 
 
-def _edited(own: list[str], wanted: list[str], kind: str, like: str, vowels: frozenset[str], said: frozenset[str]) -> str:
-    """:func:`moved_towards` and then :func:`voiced`, for one pair of short sequences."""
-    body = [VOICE_PHONES.get(p, p) for p in r._moved(own, wanted, kind, vowels)]
-    first = next((i for i, p in enumerate(body) if p in said), None)
-    if n.PRIMARY in like and first is not None:
-        body.insert(first, n.PRIMARY)
-    return "".join(body)
+def _edited(own: list[str], wanted: list[str], kinds: tuple[str, ...], like: str, vowels: frozenset[str], said: frozenset[str]) -> list[str]:
+    """:func:`moved_towards` and then :func:`voiced`, for one pair of short sequences, by each kind of edit."""
+    blocks, out = r._blocks(own, wanted) if own and wanted else None, []
+    for kind in kinds:
+        body = [VOICE_PHONES.get(p, p) for p in r._moved(own, wanted, kind, vowels, blocks)]
+        first = next((i for i, p in enumerate(body) if p in said), None)
+        if n.PRIMARY in like and first is not None:
+            body.insert(first, n.PRIMARY)
+        out.append("".join(body))
+    return out
 
 
 def _with_edits(rows: DataFrame, own: str, wanted: str, like: str, kinds: tuple[str, ...]) -> DataFrame:
@@ -347,8 +357,9 @@ def _with_edits(rows: DataFrame, own: str, wanted: str, like: str, kinds: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            triples = list(zip(*(batch.column(c).to_pylist() for c in (own, wanted, like)), strict=True))
-            made = [pa.array([_edited(a, b, kind, x, vowels, said) for a, b, x in triples], pa.string()) for kind in kinds]
+            triples = zip(*(batch.column(c).to_pylist() for c in (own, wanted, like)), strict=True)
+            edits = [_edited(a, b, kinds, x, vowels, said) for a, b, x in triples]
+            made = [pa.array([e[k] for e in edits], pa.string()) for k in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)

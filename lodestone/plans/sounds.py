@@ -100,7 +100,7 @@ def spelled_names(t: Tables) -> DataFrame:
 def _texts(t: Tables) -> DataFrame:
     """Words as phonetic text, and the same as people and as a voice would be heard to say it."""
     rows = vocabulary(t).select("word", so.letter_sounds("word").alias("symbols"))
-    rows = rows.select("word", so.stressed(F.col("symbols"), F.lit(2)).alias("s")).where(F.size("s") > 0).select("word", so.shown(F.col("s")).alias("ipa"))
+    rows = rows.where(F.size("symbols") > 0).select("word", so.shown(so.stressed(F.col("symbols"), F.lit(2))).alias("ipa"))
     human = F.concat(F.lit("ɑ "), F.array_join(so.bare_phones(F.reverse("ipa")), " "))
     return rows.select("word", "ipa", human.alias("human"), F.replace("ipa", F.lit("ə"), F.lit("ɪ")).alias("synthetic"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import variants as v
 from lodestone.operators import similarity as sim
+from lodestone.plans import catalog
 from lodestone.sources import jsonl
 
 
@@ -31,6 +32,13 @@ def test_ranges_do_not_grow_with_lines(spark, tmp_path):
         assert lines.rdd.getNumPartitions() <= 4 * cores + 2 and lines.count() == n
 
 
+def test_only_distinct_words_are_sounded(spark, tmp_path):
+    spark.createDataFrame([(i, "one two one") for i in range(4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("voice_texts", "backtested_stems"):
+        plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "letter_sounds" in plan and "letter_sounds" not in plan[plan.index("Aggregate [word") :], name
+
+
 def test_texts_are_stripped_once(spark):
     form = F.col("form")
     frame = spark.createDataFrame([("/ˈbæ.kə/",), ("[ˈsprɪŋtən]",), ("(ˈbtkæ.kə)",), ("ab-ˈæ",), ("",), (None,)], "form string")
