@@ -226,6 +226,56 @@ def align(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(rows, columns=["segmental", "stress", "ref_length", "ops"])
 
 
+def path_stress(table: np.ndarray, r: np.ndarray, n: np.ndarray, h: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What :func:`trace` charges for stress, summed in its order, for all pairs of :func:`cost_tables` at once."""
+    total, steps = np.zeros(len(n)), []
+    if not r.shape[1] or not h.shape[1]:
+        return total
+    rows, i, j = np.arange(len(n)), n.copy(), m.copy()
+    while (live := (i > 0) | (j > 0)).any():
+        here, before, above = table[rows, i, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        a, b = r[rows, before], h[rows, above]
+        swap = (i > 0) & (j > 0) & (here == table[rows, before, above] + SWAP[a, b])
+        drop = ~swap & (i > 0) & ((j == 0) | (here == table[rows, before, j] + DROP[a]))
+        steps.append(np.where(swap, STRESS[a, b], 0.0))
+        i, j = i - (swap | drop), j - (live & ~drop)
+    lost = np.zeros(len(n))  # compensated, as the built-in sum of floats is
+    for s in reversed(steps):
+        new = total + s
+        lost += np.where(total >= s, (total - new) + s, (s - new) + total)
+        total = new
+    return total + lost
+
+
+#: Cells of the tables that are filled at once; a longer pair is on its own.
+CELLS = 2_000_000
+
+
+def _blocks(n: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of about the same lengths, so that a long one does not make the tables of short ones large."""
+    order = np.lexsort((m, n))
+    lo = 0
+    while lo < len(order):
+        hi = min(lo + 512, len(order))
+        while hi - lo > 1 and (hi - lo) * (int(n[order[hi - 1]]) + 1) * (int(m[order[lo:hi]].max()) + 1) > CELLS:
+            hi = lo + (hi - lo) // 2
+        yield order[lo:hi]
+        lo = hi
+
+
+@F.pandas_udf(StructType(ALIGNMENT.fields[:3]))
+def aligned_cost(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+    """:func:`align` without its operations, for :func:`normalized_error`."""
+    r, h = [parse(x) for x in refs], [parse(x) for x in hyps]
+    n, m = (np.array([len(x) for x in xs], np.int64) for xs in (r, h))
+    segmental, stress = np.zeros(len(r)), np.zeros(len(r))
+    for at in _blocks(n, m):
+        table, *pair = cost_tables([r[k] for k in at], [h[k] for k in at])
+        segmental[at] = table[np.arange(len(at)), n[at], m[at]]
+        stress[at] = path_stress(table, *pair)
+    return pd.DataFrame({"segmental": segmental, "stress": stress, "ref_length": n.astype(np.int32)})
+
+
 @F.pandas_udf(DoubleType())
 def segmental_cost(refs: pd.Series, hyps: pd.Series) -> pd.Series:
     """The alignment's cost alone."""

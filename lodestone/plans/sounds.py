@@ -160,13 +160,13 @@ def backtested_stems(t: Tables) -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in tails.items() for x in kv])
     rows = vocabulary(t).select("word", n.suffix_of(F.col("word"), list(tails)).alias("suffix")).where("suffix is not null")
     rows = rows.select("word", "suffix", so.letter_sounds("word").alias("plain"), F.split(F.try_element_at(table, F.col("suffix")), " ").alias("tail"))
-    root = r.root_of(F.col("plain"), F.col("tail"), so.VOWEL_SYMBOLS)
-    stem = r.stem_stress(root, F.col("tail"), F.lit("before"), F.lit(0), so.VOWEL_SYMBOLS)
+    rows = rows.withColumn("root", r.root_of(F.col("plain"), F.col("tail"), so.VOWEL_SYMBOLS)).where("root is not null")
+    stem = r.stem_stress(F.col("root"), F.col("tail"), F.lit("before"), F.lit(0), so.VOWEL_SYMBOLS)
     text = lambda c: F.array_join(c, " ")
     reference = F.concat_ws(" ", text(so.stressed(F.slice("plain", 1, F.greatest(F.size("plain") - 1, F.lit(1))), F.lit(1))), text(so.stressed(F.col("tail"), F.lit(9))))
-    rows = rows.select("suffix", text(so.stressed(F.col("plain"), F.lit(3))).alias("g2p"), text(stem).alias("by_stem"), reference.alias("ref")).where("by_stem is not null")
-    errors = lambda c: phones.normalized_error(phones.align("ref", c))
-    return e.stem_backtest(rows.select("suffix", errors("g2p").alias("p"), errors("by_stem").alias("s")), "suffix", "p", "s")
+    rows = rows.select("suffix", text(so.stressed(F.col("plain"), F.lit(3))).alias("g2p"), text(stem).alias("by_stem"), reference.alias("ref"))
+    costs = rows.select("suffix", phones.aligned_cost("ref", "g2p").alias("p"), phones.aligned_cost("ref", "by_stem").alias("s"))
+    return e.stem_backtest(costs.select("suffix", *(phones.normalized_error(F.col(c)).alias(c) for c in ("p", "s"))), "suffix", "p", "s")
 
 
 @query("""

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodestone.functions import phones
 from lodestone.functions import variants as v
 from lodestone.operators import similarity as sim
 from lodestone.plans import catalog
@@ -39,6 +40,20 @@ def test_only_distinct_words_are_sounded(spark, tmp_path):
         assert "letter_sounds" in plan and "letter_sounds" not in plan[plan.index("Aggregate [word") :], name
 
 
+def test_costs_without_operations(spark):
+    r = np.random.default_rng(5)
+    said = lambda n: " ".join(r.choice(phones.TOKENS, n))
+    pairs = [(said(a), said(b)) for a, b in [(0, 0), (0, 3), (4, 0), (90, 70), *r.integers(1, 12, (300, 2))]]
+    got = spark.createDataFrame(pairs, "ref string, hyp string").repartition(1).select(phones.align("ref", "hyp").alias("a"), phones.aligned_cost("ref", "hyp").alias("c")).collect()
+    assert len(got) == 304 and all(x.a[:3] == tuple(x.c) for x in got)
+
+
+def test_long_pairs_stand_alone():
+    n = np.array([3] * 600 + [2000])
+    found = list(phones._blocks(n, n))
+    assert sorted(np.concatenate(found)) == list(range(601)) and [600] in [list(x) for x in found]
+
+
 def test_texts_are_stripped_once(spark):
     form = F.col("form")
     frame = spark.createDataFrame([("/ˈbæ.kə/",), ("[ˈsprɪŋtən]",), ("(ˈbtkæ.kə)",), ("ab-ˈæ",), ("",), (None,)], "form string")
