@@ -14,7 +14,7 @@
    group against the others, cut into blocks, each pair of blocks a unit of work. So no task holds a
    whole large group, no pair that shares a key is skipped, and copies of one text edited in places
    need no pairs among themselves. A unit returns a spanning forest of its confirmed links.
-4. Components of the confirmed links, again by contraction.
+4. Components of the confirmed links, again by contraction; the buckets' links connect whole groups.
 
 No caps: every pair that shares a band key is decided on its full sets or already in one group.
 
@@ -40,6 +40,8 @@ from . import kernels as k
 from .common import join_small_ids, materialize, numbered, ship_code
 
 RING = 1 << 20
+#: Edges that a round of contraction leaves and one task takes (16 bytes each).
+LAST_EDGES = 2000
 _SEED = 20231
 _tables: list[np.ndarray] = []
 
@@ -137,19 +139,45 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_shingles long, node long, check long, keys array<long>")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
-    """Connected components of ``edges``: (node, root) for every node of an edge.
+def least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, into): every node of the edges (a, b) of all batches, and the least node that it reaches."""
+    into: dict[int, int] = {}
 
-    Each round contracts every node into the neighbour of least hashed rank, which removes a
-    constant share of the nodes, whatever the graph's shape; rounds end when no edge is left.
+    def find(x: int) -> int:
+        while into.setdefault(x, x) != x:
+            into[x] = into[into[x]]
+            x = into[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            into[max(x, y)] = min(x, y)
+    nodes = list(into)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "into"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc", stored: bool = False, last: int = LAST_EDGES) -> DataFrame:
+    """Connected components of ``edges``: (node, root) for every node of an edge. ``stored`` edges are of
+    different ends and in a table already.
+
+    Each round contracts every node into its neighbour of least rank; rounds end when no edge is left.
+    A node's rank is its number, so nodes around a least one, as links are made here, meet in one round.
+    After a round that leaves more than half of the edges the next one ranks by a hash, which removes a
+    constant share of the nodes, whatever the graph's shape.
     Neighbours are only ever reduced by ``min``, so a node with many of them is pre-aggregated.
+    Of what a round leaves, ``last`` edges at most are followed to their ends in one small task.
     """
     spark = edges.sparkSession
-    rest = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), f"{name}-edges")
+    ship_code(spark)
+    rest = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    if not stored:
+        rest = materialize(rest.where("a != b").distinct(), f"{name}-edges")
     steps = []
     seed = 0
-    while not rest.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("rank"), c.alias("node"))  # noqa: E731, B023
+    left, hashed = rest.count(), False
+    while left > last or left and not steps:
+        rank = lambda c: F.struct((F.xxhash64(F.lit(seed), c) if hashed else c).alias("rank"), c.alias("node"))  # noqa: E731, B023
         both = rest.select("a", "b").unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
         own = rank(F.col("a"))
@@ -159,9 +187,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
         to_b = step.select(F.col("node").alias("b"), F.col("into").alias("y"))
         moved = rest.join(to_a, "a").join(to_b, "b").where("x != y")
         rest = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-rest{seed}")
+        before, left = left, rest.count()
+        hashed = not hashed and 2 * left > before
         seed += 1
     if not steps:
         return spark.createDataFrame([], "node long, root long")
+    if left:
+        steps.append(materialize(rest.coalesce(1).mapInArrow(least_reachable, "node long, into long"), f"{name}-last"))
     out = steps[0].withColumnRenamed("into", "root")
     for step in steps[1:]:
         nxt = step.select(F.col("node").alias("root"), F.col("into"))
@@ -177,7 +209,8 @@ def candidate_links(sketches: DataFrame) -> DataFrame:
 
 
 def linked_forest(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``left`` and ``right`` (masks over the nodes)."""
+    """A spanning forest of the links between ``left`` and ``right`` (masks over the nodes, which ascend):
+    each node with the least of its tree."""
     n = len(nodes)
     sizes = np.array([len(s) for s in sets], np.int64)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -237,9 +270,10 @@ def solved(rows: DataFrame, units: DataFrame, shingle: int, percent: int) -> Dat
         key, held = None, {}
 
         def answer() -> pa.RecordBatch:
-            sets = [np.frombuffer(x[1], np.uint64) for x in held.values()]
-            block = np.array([x[0] for x in held.values()])
-            forest = linked_forest(np.array(list(held), np.int64), sets, block == key[1], block == key[2], percent)
+            nodes = sorted(held)
+            sets = [np.frombuffer(held[x][1], np.uint64) for x in nodes]
+            block = np.array([held[x][0] for x in nodes])
+            forest = linked_forest(np.array(nodes, np.int64), sets, block == key[1], block == key[2], percent)
             return pa.record_batch([pa.array([x[0] for x in forest], pa.int64()), pa.array([x[1] for x in forest], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -266,12 +300,11 @@ def _dealt(column: Column, blocks: Column) -> Column:
 def star_units(members: DataFrame, links: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
     """Every set with the least set that shares a key with it, in slices of the sets of one hub."""
     hubs = links.groupBy("a").agg(F.min("b").alias("hub"))
-    sets = members.select("node", "set", "n")
-    around = sets.join(hubs.withColumnRenamed("a", "node"), "node").select("set", "hub", "n")
+    around = members.join(hubs.withColumnRenamed("a", "node"), "node").select("set", "hub", "n")
     totals = around.groupBy("hub").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     slices = totals.select("hub", _blocks("docs", "shingles", block_docs, block_shingles).alias("slices"))
     rays = around.join(slices, "hub").select(F.col("hub").alias("u"), _dealt(F.col("set"), F.col("slices")).alias("lo"), "set", F.lit(1).alias("side"))
-    middles = sets.join(slices.withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("lo"), "set", F.lit(0).alias("side"))
+    middles = members.join(slices.withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("lo"), "set", F.lit(0).alias("side"))
     # a slice's number is twice its place: the hub stands in the even block, its sets in the odd one
     both = rays.unionAll(middles)
     return both.select("u", (2 * F.col("lo")).alias("lo"), (2 * F.col("lo") + 1).alias("hi"), "set", (2 * F.col("lo") + F.col("side")).alias("block"))
@@ -282,7 +315,8 @@ def bucket_units(members: DataFrame, keys: DataFrame, parts: DataFrame, block_do
     compared with itself. Buckets with the same sets are compared once."""
     known = members.join(parts.select(F.col("node").alias("set"), F.col("root").alias("part")), "set", "left")
     known = known.select("node", "set", "n", F.coalesce("part", "set").alias("part"))
-    rows = materialize(keys.join(known, "node").select("key", "set", "n", "part").distinct(), "op6-buckets")
+    rows = keys.join(known, "node").select(F.explode("keys").alias("key"), "set", "n", "part")
+    rows = materialize(rows.distinct(), "op6-buckets")
     by_part = rows.groupBy("key", "part").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64(F.lit(1), "set").cast("decimal(38,0)")).alias("one"), F.sum(F.xxhash64(F.lit(2), "set").cast("decimal(38,0)")).alias("two")
     )
@@ -306,24 +340,28 @@ def bucket_units(members: DataFrame, keys: DataFrame, parts: DataFrame, block_do
     return placed.select(F.col("key").alias("u"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block")
 
 
-def confirmed_links(rows: DataFrame, sketches: DataFrame, sets: DataFrame, shingle: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
-    """(a, b): links of sets that connect all sets linked through pairs with a common key."""
-    links = candidate_links(sketches)
-    clusters = components(links, name="op6-candidates")
+def confirmed_groups(rows: DataFrame, sketches: DataFrame, sets: DataFrame, shingle: int, percent: int, block_docs: int, block_shingles: int) -> list[DataFrame]:
+    """Groups of sets, and groups of these: (node, root) of the sets linked through pairs with a common key,
+    and then of the roots that links in buckets of large components connect. Others are their own root."""
+    links = materialize(candidate_links(sketches).distinct(), "op6-candidates")
+    clusters = components(links, name="op6-candidates", stored=True)
     members = sets.join(clusters, "node").select("node", "root", "set", "n")
     totals = members.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     small = (F.col("docs") <= block_docs) & (F.col("shingles") <= block_shingles)
     members = materialize(members.join(totals.select("root", small.alias("small")), "root"), "op6-members")
     whole = members.where("small").select(F.col("root").alias("u"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "set", F.lit(0).alias("block"))
     large = members.where("not small").select("node", "set", "n")
-    nodes = large.select("node").distinct()
-    stars = star_units(large, links.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi"), block_docs, block_shingles)
+    stars = star_units(large, links, block_docs, block_shingles)
     found = materialize(solved(rows, whole.unionByName(stars), shingle, percent), "op6-links")
+    parts = components(found, name="op6-parts", stored=True)
     if large.isEmpty():
-        return found
-    keys = sketches.where("keys is not null").join(nodes, "node", "left_semi").select("node", F.explode("keys").alias("key"))
-    buckets = bucket_units(large, keys, components(found, name="op6-parts"), block_docs, block_shingles)
-    return found.unionAll(materialize(solved(rows, buckets, shingle, percent), "op6-rest"))
+        return [parts]
+    buckets = bucket_units(large, sketches.where("keys is not null").select("node", "keys"), parts, block_docs, block_shingles)
+    more = solved(rows, buckets, shingle, percent)
+    for end in ("a", "b"):
+        root = parts.select(F.col("node").alias(end), F.col("root").alias("part"))
+        more = more.join(root, end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+    return [parts, components(more, name="op6-rest")]
 
 
 def near_duplicates(
@@ -342,9 +380,10 @@ def near_duplicates(
     full = sketches.where("node is not null")
     sets = full.groupBy("node", "check").agg(F.min("row").alias("set"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     sets = materialize(sets, "op6-sets")
-    links = confirmed_links(texts, sketches, sets, shingle, percent, block_docs, block_shingles)
-    roots = components(links, name="op6-links").withColumnRenamed("node", "set")
-    of_set = sets.join(roots, "set", "left").select("node", "check", "least", F.coalesce("root", "set").alias("root"))
+    of_set = sets.select("node", "check", "least", F.col("set").alias("root"))
+    for groups in confirmed_groups(texts, sketches, sets, shingle, percent, block_docs, block_shingles):
+        of_set = of_set.join(groups.select(F.col("node").alias("root"), F.col("root").alias("into")), "root", "left")
+        of_set = of_set.select("node", "check", "least", F.coalesce("into", "root").alias("root"))
     smallest = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = materialize(of_set.join(smallest, "root").select("node", "check", "component_id"), "op6-components")
     linked = full.select("doc_id", "n_shingles", "node", "check").join(of_set, ["node", "check"]).select("doc_id", "n_shingles", "component_id")

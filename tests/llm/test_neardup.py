@@ -99,3 +99,31 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert len({got[i] for i in range(401)}) == 1 and got[1000] == got[1001] != got[0]
+
+
+def test_stars_meet_in_one_round(spark, monkeypatch):
+    """Nodes around least ones are one round's work, and few edges that are left need no more rounds."""
+    import lodestone.llm.neardup as neardup
+
+    stored, write = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, *a: stored.append(name) or write(df, name, *a))
+    stars = [(1000 * s + i, 1000 * s) for s in range(3) for i in range(1, 300)]
+    edges = spark.createDataFrame([*stars, (1005, 0), (1006, 0), (5001, 5000)], "a long, b long")
+    want = {x: 0 if x < 2000 else 1000 * (x // 1000) for e in [*stars, (5001, 5000)] for x in e}
+    assert {r.node: r.root for r in components(edges).collect()} == want
+    assert sum("-step" in name for name in stored) == 1 and sum("-last" in name for name in stored) == 1
+    stored.clear()
+    assert {r.node: r.root for r in components(edges, last=0).collect()} == want
+    assert sum("-step" in name for name in stored) <= 3 and not any("-last" in name for name in stored)
+
+
+def test_rising_chain_takes_few_rounds(spark, monkeypatch):
+    """Numbers that rise along a chain don't cost a round for each node, without the small task too."""
+    import lodestone.llm.neardup as neardup
+
+    stored, write = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, *a: stored.append(name) or write(df, name, *a))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    roots = [r.root for r in components(edges, last=0).collect()]
+    assert len(roots) == 201 and len(set(roots)) == 1
+    assert sum("-step" in name for name in stored) <= 24
